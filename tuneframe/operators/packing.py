@@ -34,6 +34,10 @@ from .tokens import truncate_lists
 _BIN_SHIFT = 1 << 32
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
 def _list_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
 
@@ -131,7 +135,7 @@ def pack_bfd(
     grouped = joined.groupBy("_tf_shard", "bin").agg(
         F.array_sort(F.collect_list(F.struct("pos", *lists))).alias("_tf_items")
     )
-    outs = [F.flatten(F.transform("_tf_items", lambda x, c=c: x[c])).alias(c) for c in lists]
+    outs = [F.flatten(F.transform("_tf_items", _field(c))).alias(c) for c in lists]
     return grouped.select(
         "bin",
         *outs,
@@ -184,7 +188,7 @@ def pack_wrapped(
     return grouped.select(
         F.col("_tf_batch").alias("batch"),
         "chunk",
-        *[F.flatten(F.transform("_tf_items", lambda x, c=c: x[c])).alias(c) for c in lists],
+        *[F.flatten(F.transform("_tf_items", _field(c))).alias(c) for c in lists],
     )
 
 

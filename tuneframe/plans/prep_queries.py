@@ -286,8 +286,8 @@ def conv_pc_to_lm_messages(spark, d):
 TOKEN_RE = tk.TOKEN_PATTERN
 
 TOK_CTES = PC_CTES + [
-    ("tk0", "SELECT example_id, left(p, n) AS prompt, f AS full FROM k"),
-    ("toks", f"SELECT example_id, regexp_extract_all(prompt, '{TOKEN_RE}') AS pt, regexp_extract_all(full, '{TOKEN_RE}') AS ft FROM tk0"),
+    ("tk0", "SELECT example_id, left(p, n) AS prompt, f AS ftext FROM k"),
+    ("toks", f"SELECT example_id, regexp_extract_all(prompt, '{TOKEN_RE}') AS pt, regexp_extract_all(ftext, '{TOKEN_RE}') AS ft FROM tk0"),
     ("counts", "SELECT token, count(*) AS n FROM (SELECT unnest(ft) AS token FROM toks) "
                "WHERE token NOT IN ('<|pad|>', '<|im_start|>', '<|im_end|>') GROUP BY token"),
     ("vocab", "SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 + 3 AS token_id FROM counts "
@@ -331,8 +331,8 @@ def truncate_tokens(spark, d):
 
 
 @register("bos_eos", tok_sql(
-    "SELECT example_id, array_to_string(CASE WHEN input_ids[-1] = 2 THEN list_prepend(1, input_ids) "
-    "ELSE list_append(list_prepend(1, input_ids), 2) END, ' ') AS ids FROM ids"))
+    "SELECT example_id, array_to_string(list_concat(CASE WHEN input_ids[1] = 1 THEN [] ELSE [1] END, input_ids, "
+    "CASE WHEN input_ids[-1] = 2 THEN [] ELSE [2] END), ' ') AS ids FROM ids"))
 def bos_eos(spark, d):
     """Add BOS (id 1) and EOS (id 2) only where absent."""
     t = sft.tokenized(spark, d)

@@ -113,6 +113,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROLLOUTS_SQL = """
+SELECT *, group_id * 16 + sample_no AS example_id FROM (
 SELECT l_orderkey AS group_id,
        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
                           l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS sample_no,
@@ -122,7 +123,7 @@ SELECT l_orderkey AS group_id,
        CAST(floor(l_extendedprice / 1000) AS INTEGER) + 1 AS completion_len,
        l_linestatus = 'O' AS truncated,
        l_partkey, l_tax, l_discount, l_quantity, l_extendedprice
-FROM lineitem
+FROM lineitem)
 """
 
 
@@ -154,6 +155,39 @@ FROM ({ROLLOUTS_SQL}) ro
 """
 
 
+# ---------------------------------------------------------------- token-level rollouts
+def rtokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-token logged values of each rollout: sampler (``old_logps``),
+    reference (``ref_logps``) and current policy (``logps``) log-probs,
+    entropies, value estimates and the completion mask (the last token of a
+    truncated completion is masked). Lengths are ``sample_no + 3``."""
+    ro = rollouts(spark, sf_dir)
+    n = F.col("sample_no") + 3
+    idx = F.sequence(F.lit(0), n - 1)
+    tax, disc, qty = F.col("l_tax"), F.col("l_discount"), F.col("l_quantity")
+    return ro.select(
+        "example_id", "group_id", "sample_no", "step", "reward_a", "reward_b", "truncated",
+        F.transform(idx, lambda i: -(tax + F.lit(0.01) * i)).alias("old_logps"),
+        F.transform(idx, lambda i: -(disc + F.lit(0.015) * i)).alias("ref_logps"),
+        F.transform(idx, lambda i: -(tax * F.lit(1.2) + F.lit(0.011) * i)).alias("logps"),
+        F.transform(idx, lambda i: disc * F.lit(10.0) + F.lit(0.05) * i).alias("entropies"),
+        F.transform(idx, lambda i: qty / F.lit(50.0) - F.lit(0.02) * i).alias("values"),
+        F.transform(idx, lambda i: F.when(F.col("truncated") & (i == n - 1), F.lit(0)).otherwise(F.lit(1))).alias("mask"),
+    )
+
+
+RTOKENS_SQL = f"""
+SELECT group_id * 16 + sample_no AS example_id, group_id, sample_no, step, reward_a, reward_b, truncated,
+       list_transform(range(sample_no + 3), lambda i: -(l_tax + 0.01::DOUBLE * i)) AS old_logps,
+       list_transform(range(sample_no + 3), lambda i: -(l_discount + 0.015::DOUBLE * i)) AS ref_logps,
+       list_transform(range(sample_no + 3), lambda i: -(l_tax * 1.2::DOUBLE + 0.011::DOUBLE * i)) AS logps,
+       list_transform(range(sample_no + 3), lambda i: l_discount * 10.0::DOUBLE + 0.05::DOUBLE * i) AS entropies,
+       list_transform(range(sample_no + 3), lambda i: l_quantity / 50.0::DOUBLE - 0.02::DOUBLE * i) AS "values",
+       list_transform(range(sample_no + 3), lambda i: CASE WHEN truncated AND i = sample_no + 2 THEN 0 ELSE 1 END) AS mask
+FROM ({ROLLOUTS_SQL}) ro
+"""
+
+
 # ---------------------------------------------------------------- steps
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stepwise supervision: per order, its lines in total order are the steps.
@@ -265,6 +299,7 @@ VIEW_SQL = {
     "steps": STEPS_SQL,
     "verdicts": VERDICTS_SQL,
     "completions": COMPLETIONS_SQL,
+    "rtokens": RTOKENS_SQL,
 }
 
 

@@ -30,17 +30,41 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
-def finish(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every float column so both engines agree on the printed value."""
+SCALE = 1e6
+
+
+def finish(df: DataFrame) -> DataFrame:
+    """Round every float column to 6 decimals as ``round(x * 1e6) / 1e6``.
+
+    Both engines compute ``x * 1e6`` as the same IEEE double and round it to
+    an integer half away from zero, so values on a decimal half-way point
+    agree too (rounding straight to 6 digits does not: one engine rounds the
+    decimal text, the other the binary value)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            x = F.col(f.name).cast("double")
+            # "+ 0.0" turns a negative zero into zero on both sides
+            cols.append((F.round(x * F.lit(SCALE)) / F.lit(SCALE) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
 
 
+def round_sql(sql: str, describe) -> str:
+    """Wrap an oracle query so its DOUBLE/FLOAT columns get the same rounding
+    as :func:`finish`. ``describe(sql)`` returns ``[(name, type), ...]``."""
+    cols = describe(sql)
+    parts = []
+    for name, typ in cols:
+        q = '"' + name.replace('"', '""') + '"'
+        if typ.upper() in ("DOUBLE", "FLOAT", "REAL") or typ.upper().startswith("DECIMAL"):
+            parts.append(f"round(CAST({q} AS DOUBLE) * 1e6) / 1e6 + CAST(0.0 AS DOUBLE) AS {q}")
+        else:
+            parts.append(q)
+    return f"SELECT {', '.join(parts)} FROM (\n{sql}\n) AS _oracle"
+
+
 def ints_text(c) -> F.Column:
     """``array<int>`` -> ``'1 2 3'`` (DuckDB: ``array_to_string(x, ' ')``)."""
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import catalog
-from .catalog import finish
+from .catalog import finish, round_sql
 
 
 def _load():
@@ -27,4 +27,4 @@ def all_oracles():
     return dict(catalog.ORACLES)
 
 
-__all__ = ["all_queries", "all_oracles", "finish"]
+__all__ = ["all_queries", "all_oracles", "finish", "round_sql"]

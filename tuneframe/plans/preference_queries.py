@@ -327,7 +327,7 @@ def class_balance(spark, d):
 
 
 @register("ref_logp_join", with_views(
-    "SELECT step, CAST(count(*) AS BIGINT) AS n, sum(c - c0) AS chosen_logratio, sum(r - r0) AS rejected_logratio FROM logps GROUP BY step",
+    "SELECT step, CAST(count(*) AS BIGINT) AS n, avg(c - c0) AS chosen_logratio, avg(r - r0) AS rejected_logratio FROM logps GROUP BY step",
     "logps"))
 def ref_logp_join(spark, d):
     """Attach precomputed reference log-probs to the policy rows by key."""
@@ -336,8 +336,8 @@ def ref_logp_join(spark, d):
     ref = lp.select("example_id", "c0", "r0")
     joined, missing = jn.attach_reference_logps(pol, ref)
     return joined.groupBy("step").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("c") - F.col("c0")).alias("chosen_logratio"),
-        F.sum(F.col("r") - F.col("r0")).alias("rejected_logratio"),
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("c") - F.col("c0")).alias("chosen_logratio"),
+        F.avg(F.col("r") - F.col("r0")).alias("rejected_logratio"),
     )
 
 

@@ -9,7 +9,8 @@ from .catalog import finish, round_sql
 def _load():
     from . import prep_queries  # noqa: F401
 
-    for mod in ("rollout_queries", "preference_queries", "judge_queries", "misc_queries", "stream_queries"):
+    for mod in ("rollout_queries", "preference_queries", "judge_queries", "misc_queries", "stream_queries",
+                "policy_queries", "recipe_queries", "token_queries"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:

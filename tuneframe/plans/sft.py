@@ -28,11 +28,18 @@ def rendered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 
 
-def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``example_id, input_ids, completion_mask, prompt_is_prefix`` (T1+T2)."""
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``example_id, prompt_ids, input_ids``: the prompt and prompt+completion
+    encoded separately with one corpus vocabulary (T1)."""
     pc = rendered_pairs(spark, sf_dir).withColumn("full", F.concat("prompt", "completion"))
     vocab = tk.build_vocab(pc, ["full"])
     enc = tk.encode(pc, "example_id", {"prompt_ids": F.col("prompt"), "input_ids": F.col("full")}, vocab)
+    return enc.select("example_id", "prompt_ids", "input_ids")
+
+
+def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``example_id, input_ids, completion_mask, prompt_is_prefix`` (T1+T2)."""
+    enc = encoded(spark, sf_dir)
     return enc.select("example_id", "input_ids", *tk.completion_mask_columns("prompt_ids", "input_ids"))
 
 

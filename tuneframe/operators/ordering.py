@@ -37,9 +37,13 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _tag_positions(df: DataFrame, order: Sequence[Column | str], num_partitions: int | None) -> DataFrame:
+def _tag_positions(df: DataFrame, order: Sequence[Column | str], num_partitions: int | None, materialize: bool = False) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     n = _partitions(df, num_partitions)
+    if materialize:
+        # an expensive input is written once instead of being recomputed by
+        # the range-boundary sampling job and again by the tagging job
+        df = df.checkpoint(eager=True)
     tagged = (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
@@ -68,13 +72,14 @@ def global_rank(
     order: Sequence[Column | str],
     rank_col: str = "rank",
     num_partitions: int | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """Add a 1-based position of every row in the total order ``order``.
 
     ``order`` must be a total order (ties broken by a key) for the result to be
     deterministic.
     """
-    tagged = _tag_positions(df, order, num_partitions)
+    tagged = _tag_positions(df, order, num_partitions, materialize)
     offsets = _partition_offsets(tagged, F.lit(1).cast("long"))
     return (
         tagged.join(F.broadcast(offsets), "_tf_pid")
@@ -90,12 +95,13 @@ def prefix_sum(
     out_col: str = "prefix",
     inclusive: bool = True,
     num_partitions: int | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """Running sum of ``value`` along the total order ``order``.
 
     ``inclusive=False`` gives the sum of all *earlier* rows (the start offset).
     """
-    tagged = _tag_positions(df, order, num_partitions)
+    tagged = _tag_positions(df, order, num_partitions, materialize)
     offsets = _partition_offsets(tagged, F.col(value).cast("long"))
     frame_end = Window.currentRow if inclusive else -1
     w = Window.partitionBy("_tf_pid").orderBy("_tf_local").rowsBetween(Window.unboundedPreceding, frame_end)

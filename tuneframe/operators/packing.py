@@ -119,7 +119,8 @@ def pack_bfd(
     t = truncate_lists(df.select(key, *lists), seq_length, lists)
     t = t.withColumn("_tf_len", F.size(lists[0])).filter(F.col("_tf_len") > 0)
     if num_shards is None:
-        num_shards = max(1, -(-t.count() // shard_rows))
+        # one small job: only the key column is needed, Catalyst prunes the payload
+        num_shards = max(1, -(-df.select(key).count() // shard_rows))
     t = t.withColumn("_tf_shard", F.pmod(F.xxhash64(key), F.lit(num_shards)))
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     payload = t.repartition(n_parts, "_tf_shard")

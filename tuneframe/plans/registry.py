@@ -10,7 +10,7 @@ def _load():
     from . import prep_queries  # noqa: F401
 
     for mod in ("rollout_queries", "preference_queries", "judge_queries", "misc_queries", "stream_queries",
-                "policy_queries", "recipe_queries", "token_queries"):
+                "policy_queries", "recipe_queries", "token_queries", "extra_queries"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:

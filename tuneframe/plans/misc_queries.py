@@ -23,7 +23,9 @@ def split_fraction(spark, d):
     return sm.split_fraction(c, "example_id", 0.1, seed=42).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("split_train_size")
+@register("split_train_size", with_views(
+    "SELECT 'train' AS split, CAST(least(count(*), 4992) AS BIGINT) AS n FROM rollouts "
+    "UNION ALL SELECT 'test', CAST(count(*) - least(count(*), 4992) AS BIGINT) FROM rollouts HAVING count(*) > 4992", "rollouts"))
 def split_train_size(spark, d):
     """L1: exactly 4992 training rows (or all rows when fewer), the rest test."""
     c = vw.rollouts(spark, d).select("example_id")

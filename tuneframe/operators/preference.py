@@ -134,11 +134,14 @@ def rank_matched_delta(df: DataFrame, kind: str, step: str = "step", key: str =
         a, b = F.col("c") - F.col("c0"), F.col("r") - F.col("r0")
     else:
         a, b = F.col("c") - F.col("r"), F.col("c0") - F.col("r0")
-    left = group_rank(df.select(step, key, a.alias("v")), [step], ["v", key], "rank")
-    right = group_rank(df.select(step, key, b.alias("v")), [step], ["v", key], "rank")
-    return left.select(step, "rank", F.col("v").alias("va")).join(
-        right.select(step, "rank", F.col("v").alias("vb")), [step, "rank"]
-    ).select(step, "rank", (F.col("va") - F.col("vb")).alias("aot_delta"))
+    # both distributions ranked in one pass: groups are (step, side)
+    both = df.select(step, key, F.lit(0).alias("_tf_side"), a.alias("v")).unionByName(
+        df.select(step, key, F.lit(1).alias("_tf_side"), b.alias("v"))
+    )
+    ranked = group_rank(both, [step, "_tf_side"], ["v", key], "rank")
+    left = ranked.filter(F.col("_tf_side") == 0).select(step, "rank", F.col("v").alias("va"))
+    right = ranked.filter(F.col("_tf_side") == 1).select(step, "rank", F.col("v").alias("vb"))
+    return left.join(right, [step, "rank"]).select(step, "rank", (F.col("va") - F.col("vb")).alias("aot_delta"))
 
 
 def preference_report(df: DataFrame, loss: Column, beta: float, step: str = "step", by: Sequence[str] = ()) -> DataFrame:

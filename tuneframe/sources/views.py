@@ -55,17 +55,18 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     by ``doc_id``) is paired with the k-th poor one. Ranks inside a source use
     the skew-safe ``group_rank`` (one source may hold a large share of rows).
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    labelled = docs.join(lab, "doc_id")
-    ranked = group_rank(labelled, ["source", "quality"], ["doc_id"], "k")
-    good = ranked.filter("quality = 1").select(
-        "source", "k", F.col("doc_id").alias("example_id"), F.col("text").alias("chosen")
-    )
-    poor = ranked.filter("quality = 0").select(
-        "source", "k", F.col("doc_id").alias("rejected_doc"), F.col("text").alias("rejected")
-    )
-    return good.join(poor, ["source", "k"]).select("example_id", "rejected_doc", "source", "chosen", "rejected")
+    # rank only the narrow keys; the texts are joined back once per side
+    keys = docs.select("doc_id", "source").join(lab, "doc_id")
+    ranked = group_rank(keys, ["source", "quality"], ["doc_id"], "k")
+    good = ranked.filter("quality = 1").select("source", "k", F.col("doc_id").alias("example_id"))
+    poor = ranked.filter("quality = 0").select("source", "k", F.col("doc_id").alias("rejected_doc"))
+    text = docs.select("doc_id", "text")
+    pairs_ = good.join(poor, ["source", "k"])
+    pairs_ = pairs_.join(text.withColumnRenamed("doc_id", "example_id").withColumnRenamed("text", "chosen"), "example_id")
+    pairs_ = pairs_.join(text.withColumnRenamed("doc_id", "rejected_doc").withColumnRenamed("text", "rejected"), "rejected_doc")
+    return pairs_.select("example_id", "rejected_doc", "source", "chosen", "rejected")
 
 
 PAIRS_SQL = """

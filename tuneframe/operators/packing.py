@@ -1,15 +1,14 @@
 """Sequence packing.
 
-**Best-fit decreasing (D2)** is split into a *plan* and a *payload* side. Only
-``(shard, key, length)`` (a few bytes per example) goes through
-``groupBy(shard).applyInPandas`` where a bin-packing planner assigns every
-example to ``(bin, pos)``; the token payload is hash-partitioned by the same
-shard, joined with the plan on ``(shard, key)`` and assembled per bin with
-native array functions. Because plan and payload share the shard
-partitioning, the join and the per-bin assembly reuse it (the payload is
-shuffled once). Shards are hash buckets of a bounded number of rows, so bin
-quality is per shard, like the reference's per-batch packing, and no shard
-holds an unbounded group.
+**Best-fit decreasing (D2).** Rows are hash-sharded by key into shards of a
+bounded row count (``shard_rows``; bin quality is per shard, like the
+reference's per-batch packing, and no shard is an unbounded group). The
+payload is shuffled once, by shard; each shard is planned (lengths only, an
+O(n log L) best-fit search) and assembled with numpy inside one
+``applyInPandas`` call. An alternative ``assemble="join"`` keeps the token
+payload on the JVM (only ``(shard, key, length)`` goes to Python, the plan is
+joined back and bins are built with ``collect_list``) at the price of a second
+payload shuffle.
 
 **Wrapped packing (D1)** concatenates every list column and cuts it every
 ``seq_length`` items. Token offsets come from the distributed prefix sum;
@@ -23,6 +22,7 @@ from __future__ import annotations
 import bisect
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,12 +99,35 @@ def _plan_shard(seq_length: int):
     return run
 
 
+def _assemble_shard(seq_length: int, key: str, lists: list[str]):
+    """Per shard: plan the bins on the lengths, then concatenate every list
+    column in bin order with numpy (one pass over the shard's rows)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["_tf_shard"].iloc[0])
+        bins, pos = bfd_plan(pdf["_tf_len"].tolist(), pdf[key].tolist(), seq_length)
+        order = np.lexsort((np.asarray(pos), np.asarray(bins)))
+        b_sorted = np.asarray(bins)[order]
+        cuts = np.flatnonzero(np.diff(b_sorted)) + 1
+        groups = np.split(order, cuts)
+        lens = pdf["_tf_len"].to_numpy()
+        out = {"bin": [shard * _BIN_SHIFT + int(bins[g[0]]) for g in groups]}
+        for c in lists:
+            col = pdf[c].to_numpy()
+            out[c] = [np.concatenate([col[i] for i in g]) for g in groups]
+        out["seq_lengths"] = [lens[g].astype("int32") for g in groups]
+        return pd.DataFrame(out)
+
+    return run
+
+
 def pack_bfd(
     df: DataFrame,
     seq_length: int,
     key: str = "example_id",
     shard_rows: int = 100_000,
     num_shards: int | None = None,
+    assemble: str = "pandas",
 ) -> DataFrame:
     """Pack whole sequences into bins of ``seq_length`` (never split).
 
@@ -112,6 +135,12 @@ def pack_bfd(
     gives the length. Output: one row per bin with every list column
     concatenated in bin order, ``seq_lengths`` and the ``bin`` id. Empty
     sequences carry no tokens and are not placed (the reference rejects them).
+
+    ``assemble="pandas"`` (default) shuffles the payload once, by shard, and
+    plans + concatenates each shard in one ``applyInPandas`` call (memory per
+    call bounded by ``shard_rows``). ``assemble="join"`` keeps the payload on
+    the JVM: only lengths go to Python, the plan is joined back and bins are
+    assembled with ``collect_list`` - two payload shuffles instead of one.
     """
     lists = _list_columns(df)
     if not lists:
@@ -122,6 +151,10 @@ def pack_bfd(
         # one small job: only the key column is needed, Catalyst prunes the payload
         num_shards = max(1, -(-df.select(key).count() // shard_rows))
     t = t.withColumn("_tf_shard", F.pmod(F.xxhash64(key), F.lit(num_shards)))
+    if assemble == "pandas":
+        types = {f.name: f.dataType.simpleString() for f in t.schema.fields}
+        schema = ", ".join(["bin long", *[f"{c} {types[c]}" for c in lists], "seq_lengths array<int>"])
+        return t.groupBy("_tf_shard").applyInPandas(_assemble_shard(seq_length, key, lists), schema)
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     payload = t.repartition(n_parts, "_tf_shard")
     plan_in = payload.select(

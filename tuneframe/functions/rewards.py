@@ -65,6 +65,13 @@ def contains_eos(ids: Column | str, eos_id: int) -> Column:
     return F.array_contains(col(ids), eos_id)
 
 
+def mask_truncated(mask: Column | str, truncated: Column | str) -> Column:
+    """zero the completion mask of truncated completions (they carry no
+    loss), keep it otherwise."""
+    m = col(mask)
+    return F.when(col(truncated), F.transform(m, lambda _x: F.lit(0))).otherwise(m)
+
+
 def missing_eos_penalty(score: Column | str, has_eos: Column | str, penalty: float) -> Column:
     """subtract ``penalty`` from scores of completions without EOS."""
     return F.when(col(has_eos), col(score)).otherwise(col(score) - F.lit(penalty))

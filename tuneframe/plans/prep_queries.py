@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..operators import conversions as cv
 from ..operators import formats as fm
 from ..operators import tokens as tk
-from ..operators.packing import fill_ratio, pack_bfd, pack_wrapped
+from ..operators.packing import fill_ratio, pack
 from ..sources import views as vw
 from ..sources.views import build_sql, with_views
 from . import sft
@@ -407,5 +407,5 @@ _WRAP_SQL = tok_sql(
 def wrapped_pack(spark, d):
     """Concatenate all token rows in key order and cut every 256 tokens."""
     t = sft.tokenized(spark, d).select("example_id", "input_ids")
-    p = pack_wrapped(t, 256)
+    p = pack(t, 256, strategy="wrapped")
     return p.select("batch", "chunk", F.size("input_ids").alias("n"), ints_text("input_ids").alias("ids"))

@@ -55,7 +55,8 @@ def accuracy_reward(spark, d):
 @register("eos_penalty", tok_sql(
     "SELECT example_id, NOT (list_slice(input_ids, 1, 64)[-1] IN (2, 0)) AS truncated, list_contains(list_slice(input_ids, 1, 64), 2) AS has_eos, "
     "CASE WHEN list_contains(list_slice(input_ids, 1, 64), 2) THEN len(list_slice(input_ids, 1, 64)) / 10.0 "
-    "ELSE len(list_slice(input_ids, 1, 64)) / 10.0 - 1.0 END AS score FROM ids"))
+    "ELSE len(list_slice(input_ids, 1, 64)) / 10.0 - 1.0 END AS score, "
+    "CAST(CASE WHEN NOT (list_slice(input_ids, 1, 64)[-1] IN (2, 0)) THEN 0 ELSE len(list_slice(input_ids, 1, 64)) END AS INTEGER) AS loss_tokens FROM ids"))
 def eos_penalty(spark, d):
     """F4 + F5 + F6: completions cut at 64 tokens; EOS / truncation flags and
     the missing-EOS penalty (1.0) on a length score."""
@@ -66,6 +67,8 @@ def eos_penalty(spark, d):
         rw.is_truncated("input_ids", 2, 0).alias("truncated"),
         rw.contains_eos("input_ids", 2).alias("has_eos"),
         rw.missing_eos_penalty(score, rw.contains_eos("input_ids", 2), 1.0).alias("score"),
+        F.aggregate(rw.mask_truncated(F.transform("input_ids", lambda _x: F.lit(1)), rw.is_truncated("input_ids", 2, 0)),
+                    F.lit(0), lambda a, x: a + x).alias("loss_tokens"),
     )
 
 

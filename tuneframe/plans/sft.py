@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..operators import tokens as tk
 from ..operators.conversions import split_last_message
-from ..operators.formats import apply_chat_template
-from ..operators.packing import pack_bfd
+from ..operators.formats import apply_chat_template, maybe_apply_chat_template
+from ..operators.packing import pack
 from ..sources import views
 
 
@@ -24,7 +24,7 @@ def rendered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt/completion ChatML strings per conversation (valid rows only)."""
     m = views.msgs(spark, sf_dir)
     split = split_last_message(m).filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    rendered = apply_chat_template(split.select("example_id", "prompt", "completion"))
+    rendered = maybe_apply_chat_template(split.select("example_id", "prompt", "completion"))
     return rendered.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 
 
@@ -46,6 +46,6 @@ def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, sf_dir: str, seq_length: int = 1024) -> DataFrame:
     """Packed training rows with ``position_ids`` and ``labels``."""
     tok = tokenized(spark, sf_dir).select("example_id", "input_ids", "completion_mask")
-    p = pack_bfd(tok, seq_length)
+    p = pack(tok, seq_length, strategy="bfd")
     p = p.withColumn("position_ids", tk.position_ids("seq_lengths"))
     return p.withColumn("labels", tk.lm_labels("input_ids", "completion_mask", "position_ids"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.readers import scratch_path
+from ..sources.readers import read_stream, scratch_path
 
 EPS_STD = 1e-4
 
@@ -210,4 +210,5 @@ def current_buffer(versions: DataFrame, capacity: int) -> DataFrame:
 
 
 def stream_source(spark: SparkSession, path: str, schema, max_files: int = 4) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(max_files)).parquet(path)
+    """S3: the staged table as a file stream (declared schema, a few files per trigger)."""
+    return read_stream(spark, path, schema, max_files_per_trigger=max_files)

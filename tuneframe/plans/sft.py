@@ -38,9 +38,23 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``example_id, input_ids, completion_mask, prompt_is_prefix`` (T1+T2)."""
-    enc = encoded(spark, sf_dir)
-    return enc.select("example_id", "input_ids", *tk.completion_mask_columns("prompt_ids", "input_ids"))
+    """``example_id, input_ids, completion_mask, prompt_is_prefix`` (T1+T2).
+
+    Only prompt+completion is encoded: the prompt's token count and the
+    prefix check come from the token *strings* (no ids needed), which halves
+    the exploded token volume of the vocabulary join."""
+    pc = rendered_pairs(spark, sf_dir).withColumn("full", F.concat("prompt", "completion"))
+    vocab = tk.build_vocab(pc, ["full"])
+    pt, ft = tk.split_tokens("prompt"), tk.split_tokens("full")
+    n_p = F.size(pt)
+    ok = (n_p <= F.size(ft)) & F.when(n_p == 0, F.lit(True)).otherwise(F.slice(ft, 1, F.greatest(n_p, F.lit(1))) == pt)
+    pc = pc.withColumn("n_prompt", n_p).withColumn("prompt_is_prefix", ok)
+    enc = tk.encode(pc, "example_id", {"input_ids": F.col("full")}, vocab, carry=["n_prompt", "prompt_is_prefix"])
+    mask = F.concat(
+        F.array_repeat(F.lit(0), F.col("n_prompt")),
+        F.array_repeat(F.lit(1), F.greatest(F.size("input_ids") - F.col("n_prompt"), F.lit(0))),
+    )
+    return enc.select("example_id", "input_ids", mask.alias("completion_mask"), "prompt_is_prefix")
 
 
 def packed(spark: SparkSession, sf_dir: str, seq_length: int = 1024) -> DataFrame:

@@ -1,8 +1,6 @@
 """Literal input -> expected output cases (values taken from the reference's
 unit tests, see FIXTURES.md §3), run through the Spark operators."""
 
-from pyspark.sql import functions as F
-
 from tuneframe.functions import rewards as rw
 from tuneframe.functions import text as tx
 from tuneframe.operators import conversions as cv

@@ -9,7 +9,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rewards as rw
-from ..functions import text as tx
 from ..functions import udf as hooks
 from ..operators import density as dn
 from ..operators import formats as fm

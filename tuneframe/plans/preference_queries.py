@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rewards import log_sigmoid
 from ..operators import joins as jn
 from ..operators import preference as pf
 from ..operators import tokens as tk

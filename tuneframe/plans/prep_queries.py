@@ -12,7 +12,7 @@ from ..operators.packing import fill_ratio, pack
 from ..sources import views as vw
 from ..sources.views import build_sql, with_views
 from . import sft
-from .catalog import bools_text, finish, ints_text, register, sql_chatml, sql_chatml_prompt, sql_lcp
+from .catalog import finish, ints_text, register, sql_chatml, sql_chatml_prompt, sql_lcp
 
 NL = "chr(10)"
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tokens as tk
 from ..operators.conversions import split_last_message
-from ..operators.formats import apply_chat_template, maybe_apply_chat_template
+from ..operators.formats import maybe_apply_chat_template
 from ..operators.packing import pack
 from ..sources import views
 

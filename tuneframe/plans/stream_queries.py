@@ -4,18 +4,15 @@ as a file stream in several micro-batches and returns the streamed result
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import conversions as cv
-from ..operators import replay as rp
-from ..operators import rollouts as ro
 from ..sources import views as vw
 from ..sources.views import build_sql, with_views
 from ..streaming import jobs as st
 from .catalog import register
 from .misc_queries import _replay_scores
-from .prep_queries import PE_CTES, _pe_sql
+from .prep_queries import _pe_sql
 from .rollout_queries import _SCORED_CTE
 
 

@@ -193,12 +193,12 @@ def pack_wrapped(
     base = df.select(key, *lists).withColumn("_tf_len", F.size(lists[0]).cast("long"))
     if shard_rows:
         ranked = global_rank(base, [key], "_tf_rank")
-        ranked = ranked.withColumn("_tf_batch", F.floor((F.col("_tf_rank") - 1) / shard_rows))
+        ranked = ranked.withColumn("_tf_batch", F.floor((F.col("_tf_rank") - 1) / shard_rows).cast("long"))
         starts = prefix_sum(ranked, [key], "_tf_len", "_tf_start", inclusive=False)
         first = starts.groupBy("_tf_batch").agg(F.min("_tf_start").alias("_tf_b0"))
         starts = starts.join(first, "_tf_batch").withColumn("_tf_start", F.col("_tf_start") - F.col("_tf_b0"))
     else:
-        starts = prefix_sum(base, [key], "_tf_len", "_tf_start", inclusive=False).withColumn("_tf_batch", F.lit(0))
+        starts = prefix_sum(base, [key], "_tf_len", "_tf_start", inclusive=False).withColumn("_tf_batch", F.lit(0).cast("long"))
     L = F.lit(seq_length)
     s, n = F.col("_tf_start"), F.col("_tf_len")
     first_chunk = F.floor(s / L)

@@ -156,7 +156,7 @@ def split_write_read(spark, d):
 
 
 @register("jsonl_splits", with_views(
-    "SELECT CASE WHEN example_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, example_id, length(completion) AS n_chars FROM completions",
+    "SELECT CASE WHEN example_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, example_id, CAST(length(completion) AS INTEGER) AS n_chars FROM completions",
     "completions"))
 def jsonl_splits(spark, d):
     """JSON-lines files per split read with a declared schema."""

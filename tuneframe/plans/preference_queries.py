@@ -237,7 +237,7 @@ def reward_model_report(spark, d):
 
 
 @register("running_moments", with_views(
-    """SELECT step, n, batch_mean, batch_std, cnt AS count, s / cnt AS mean, (q - s * s / cnt) / cnt AS var,
+    """SELECT step, n, batch_mean, batch_std, CAST(cnt AS BIGINT) AS count, s / cnt AS mean, (q - s * s / cnt) / cnt AS var,
               sqrt((q - s * s / cnt) / cnt * cnt / nullif(cnt - 1, 0)) AS std
        FROM (SELECT step, n, batch_mean, batch_std,
                     sum(n) OVER w AS cnt, sum(s) OVER w AS s, sum(q) OVER w AS q

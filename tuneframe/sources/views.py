@@ -99,7 +99,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
     return li.select(
         F.col("l_orderkey").alias("group_id"),
-        (F.row_number().over(w) - 1).alias("sample_no"),
+        (F.row_number().over(w) - 1).cast("long").alias("sample_no"),
         F.year("l_shipdate").alias("step"),
         F.col("l_quantity").alias("reward_a"),
         F.when(F.col("l_returnflag") == "R", F.lit(None).cast("double")).otherwise(F.col("l_discount")).alias("reward_b"),

@@ -76,7 +76,7 @@ def soft_verdict(spark, d):
     """SELECT example_id, CASE WHEN least(judge_a, judge_b, judge_c) = -1 THEN -1
            WHEN judge_a = 1 AND judge_b = 1 AND judge_c = 1 THEN 1 ELSE 0 END AS verdict FROM verdicts""", "verdicts"))
 def judge_mixture(spark, d):
-    """Unify three judges (-1 if any invalid, 1 if all agree on 1, else 0)."""
+    """G5 + U4: unify three judges given as tables of verdicts (-1 if any invalid, 1 if all agree on 1, else 0)."""
     v = vw.verdicts(spark, d)
     return v.select("example_id", jd.combine_judges(["judge_a", "judge_b", "judge_c"]).alias("verdict"))
 

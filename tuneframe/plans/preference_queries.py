@@ -76,7 +76,7 @@ def _losses(df):
 @register("pair_losses", with_views(
     "SELECT example_id, " + ", ".join(f"{v} AS {k}" for k, v in _LOSS_SQL.items()) + " FROM logps", "logps"))
 def pair_losses(spark, d):
-    """Every row-wise pair objective (and the alpha / JS divergence variants) over logged log-probs."""
+    """A21 + F8: every row-wise pair objective (stable log-sigmoid; alpha / JS divergence variants) over logged log-probs."""
     return _losses(vw.logps(spark, d))
 
 
@@ -277,7 +277,7 @@ _LO = "((c - r) - (ln(1 - exp(c)) - ln(1 - exp(r))))"
     f"SELECT step, avg({ls(_LO)}) AS log_odds_ratio, avg({_LO}) AS log_odds_chosen, avg({BETA} * {ls(_LO)}) AS or_term, "
     f"avg({BETA} * c) AS rewards_chosen, avg({BETA} * r) AS rewards_rejected FROM logps GROUP BY step", "logps"))
 def orpo_report(spark, d):
-    """Odds-ratio term and log-odds per step (reference-free rewards β·logp)."""
+    """A24 + F8: odds-ratio term and log-odds ``log1p(-exp)`` per step (reference-free rewards β·logp)."""
     lp = vw.logps(spark, d)
     o = pf.odds_ratio(F.col("c"), F.col("r"), BETA)
     return lp.groupBy("step").agg(

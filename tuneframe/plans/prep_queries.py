@@ -20,7 +20,7 @@ NL = "chr(10)"
 # ---------------------------------------------------------------- templating
 @register("chatml_render", with_views(f"SELECT example_id, {sql_chatml('messages')} AS text FROM msgs", "msgs"))
 def chatml_render(spark, d):
-    """Render every conversation with the ChatML template."""
+    """P6 (+ P1 schema check upstream): render every conversation with the ChatML template."""
     m = vw.msgs(spark, d)
     return m.select("example_id", tx.render_chatml("messages").alias("text"))
 
@@ -51,7 +51,7 @@ _PC_SQL = build_sql(["msgs"], PC_CTES, "SELECT example_id, left(p, n) AS prompt,
 
 @register("prompt_completion_template", _PC_SQL)
 def prompt_completion_template(spark, d):
-    """X6 + P8: split each conversation into prompt / last message and render
+    """X6 + P9/P8: split each conversation into prompt / last message and render
     both with ChatML (generation prompt or continued final message; the
     prompt is cut to the common prefix with prompt+completion)."""
     return sft.rendered_pairs(spark, d).select("example_id", "prompt", "completion")
@@ -104,7 +104,7 @@ WITH fv AS (
     + "SELECT example_id, array_to_string(list_transform(conversations, lambda m: '<|im_start|>' || m.\"from\" || chr(10) || m.value || '<|im_end|>' || chr(10)), '') AS text FROM fv",
 )
 def to_chatml_render(spark, d):
-    """P2 + P3: detect ``from``/``value`` conversations, convert to
+    """P1 + P2 + P3: detect ``from``/``value`` conversations, convert to
     ``role``/``content`` ``messages`` and render."""
     fv = _from_value(spark, d)
     assert fm.is_conversational_from_value(fv)
@@ -265,8 +265,37 @@ CONV_SPECS = {
     "conv_ss_to_up": (lambda s, d: cv.ss_to_up(_ss(s, d)), with_views("SELECT example_id, prompt, array_to_string(completions, '') AS completion, list_bool_and(labels) AS label FROM steps", "steps")),
 }
 
+CONV_DOCS = {
+    "conv_pc_to_lm": "C1: prompt-completion -> language modeling (prompt + completion).",
+    "conv_pc_to_po": "C2: prompt-completion -> prompt-only.",
+    "conv_pi_to_lm": "C3: implicit-prompt preference -> language modeling (chosen).",
+    "conv_pi_to_pc": "C4: implicit-prompt preference -> prompt-completion (X2 extraction).",
+    "conv_pi_to_po": "C5: implicit-prompt preference -> prompt-only (X2 extraction).",
+    "conv_pi_to_up": "C7: implicit-prompt preference -> unpaired (X2 then X4).",
+    "conv_pe_to_lm": "C8: explicit preference -> language modeling (prompt + chosen).",
+    "conv_pe_to_pc": "C9: explicit preference -> prompt-completion (chosen).",
+    "conv_pe_to_po": "C10: explicit preference -> prompt-only.",
+    "conv_pe_to_pi": "C11: explicit preference -> implicit prompt (prompt prepended to both).",
+    "conv_up_to_lm": "C13: unpaired -> language modeling (desirable rows).",
+    "conv_up_to_pc": "C14: unpaired -> prompt-completion (desirable rows).",
+    "conv_up_to_po": "C15: unpaired -> prompt-only (duplicates kept).",
+    "conv_ss_to_lm": "C16: stepwise -> language modeling (all-correct rows, steps joined).",
+    "conv_ss_to_pc": "C17: stepwise -> prompt-completion (all-correct rows).",
+    "conv_ss_to_po": "C18: stepwise -> prompt-only.",
+    "conv_ss_to_up": "C19: stepwise -> unpaired (label = all steps correct).",
+}
+
+
+def _documented(fn, doc):
+    def run(spark, d):
+        return fn(spark, d)
+
+    run.__doc__ = doc
+    return run
+
+
 for _name, (_fn, _sql) in CONV_SPECS.items():
-    register(_name, _sql)(_fn)
+    register(_name, _sql)(_documented(_fn, CONV_DOCS[_name]))
 
 
 def _conv_pc(spark, d):
@@ -375,7 +404,7 @@ def pad_batches(spark, d):
 
 @register("sft_packed_bins")
 def sft_packed_bins(spark, d):
-    """D2 + D4 + D5: best-fit-decreasing packing of the tokenised SFT rows
+    """D3 -> D2 + D4 + D5: best-fit-decreasing packing (via the strategy dispatch) of the tokenised SFT rows
     (seq_length 1024) with position ids and labels. Bin packing is an
     iterative planner, so there is no SQL oracle; tests check the invariants."""
     p = sft.packed(spark, d, 1024)
@@ -405,7 +434,7 @@ _WRAP_SQL = tok_sql(
 
 @register("wrapped_pack", _WRAP_SQL)
 def wrapped_pack(spark, d):
-    """Concatenate all token rows in key order and cut every 256 tokens."""
+    """D1 (via the D3 dispatch): concatenate all token rows in key order and cut every 256 tokens."""
     t = sft.tokenized(spark, d).select("example_id", "input_ids")
     p = pack(t, 256, strategy="wrapped")
     return p.select("batch", "chunk", F.size("input_ids").alias("n"), ints_text("input_ids").alias("ids"))

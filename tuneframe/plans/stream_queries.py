@@ -26,7 +26,7 @@ def _events_stream(spark, d):
 SELECT event_type, CAST(count(value) AS BIGINT) AS count, avg(value) AS mean, var_pop(value) AS var, stddev_samp(value) AS std
 FROM events GROUP BY event_type""")
 def stream_running_moments(spark, d):
-    """ST1: running moments of the event value per type, as a stream."""
+    """ST1 (S3 file stream): running moments of the event value per type, as a stream."""
     s = _events_stream(spark, d)
     return st.run_complete(st.running_moments_stream(s, "value", "event_type"), "moments")
 

@@ -240,4 +240,4 @@ def fill_ratio(packed: DataFrame, seq_length: int) -> DataFrame:
     return packed.agg(
         F.count(F.lit(1)).alias("bins"),
         F.sum(F.aggregate("seq_lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"),
-    ).withColumn("fill_ratio", F.col("tokens") / (F.col("bins") * F.lit(seq_length)))
+    ).withColumn("fill_ratio", F.col("tokens") / F.nullif(F.col("bins") * F.lit(seq_length), F.lit(0)))

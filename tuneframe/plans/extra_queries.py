@@ -5,7 +5,6 @@ functions and processed-data detection (P15, P18, P19)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rewards as rw
@@ -167,7 +166,10 @@ def group_filter_hook(spark, d):
     """A group-aware filter score (reward minus its group mean) keeps the
     best two completions per group."""
     r = vw.rollouts(spark, d)
-    score = F.col("reward_a") - F.avg("reward_a").over(Window.partitionBy("group_id"))
+    # group statistics as a partial aggregate joined back (no per-group window)
+    means = r.groupBy("group_id").agg(F.avg("reward_a").alias("_group_mean"))
+    r = r.join(means, "group_id")
+    score = F.col("reward_a") - F.col("_group_mean")
     return hooks.group_filter(r, score, 2).select("example_id", "group_id", "reward_a")
 
 

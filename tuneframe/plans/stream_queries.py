@@ -71,7 +71,7 @@ def stream_group_advantages(spark, d):
         F.to_timestamp(F.concat(F.col("step").cast("string"), F.lit("-01-01"))).alias("ts"),
     )
     path = st.stage_files(r, "rollout-groups", "step")
-    s = st.stream_source(spark, path, r.schema, max_files=2)
+    s = st.stream_source(spark, path, r.schema, max_files=4)
     out = st.run_append(st.group_advantages_stream(s, "group_size", watermark="3650 days"), "groups")
     return out
 
@@ -98,6 +98,6 @@ def stream_replay_buffer(spark, d):
     hash buckets of scored groups arriving step by step."""
     sc = _replay_scores(spark, d).filter("has_variance").select("group_id", "score", F.col("arrival").cast("long").alias("arrival"))
     path = st.stage_files(sc, "replay-stream", "arrival")
-    s = st.stream_source(spark, path, sc.schema, max_files=2)
+    s = st.stream_source(spark, path, sc.schema, max_files=4)
     versions = st.run_append(st.replay_buffer_stream(s, 64), "replay")
     return st.current_buffer(versions, 64)

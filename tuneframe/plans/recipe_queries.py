@@ -3,7 +3,6 @@ the test tables (stand-in rows only; no recipe work) and runs the recipe."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -119,29 +118,48 @@ def inline_steps(spark, d):
 
 # R3 ------------------------------------------------------------------------
 def _tree(spark, d):
-    li = vw.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")
-    li = li.withColumn("sn", F.row_number().over(w) - 1)
+    """Step trees from rollouts: one problem per order, one step per sample
+    (in sample order); each step has the line's own completion (rating -1 for
+    returned lines, else 1) and an alternative (rating 0); open lines choose
+    their own completion, other lines with a discount >= 0.05 carry a human
+    completion, the rest have no pick (the walk stops there)."""
+    r = vw.rollouts(spark, d)
     comp = F.array(
-        F.struct(F.concat(F.lit("part "), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("sn").cast("string")).alias("text"),
-                 F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("rating")),
-        F.struct(F.concat(F.lit("supp "), F.col("l_suppkey").cast("string")).alias("text"), F.lit(0).alias("rating")),
+        F.struct(F.concat(F.lit("part "), F.col("group_id").cast("string"), F.lit("-"), F.col("sample_no").cast("string")).alias("text"),
+                 F.when(F.col("reward_b").isNull(), -1).otherwise(1).alias("rating")),
+        F.struct(F.concat(F.lit("supp "), F.col("l_partkey").cast("string")).alias("text"), F.lit(0).alias("rating")),
     )
-    chosen = F.when(F.col("l_linestatus") == "O", F.lit(0))
-    human = F.when(chosen.isNull() & (F.col("l_returnflag") == "A"), F.struct(F.lit("human step").alias("text")))
+    chosen = F.when(F.col("truncated"), F.lit(0))
+    human = F.when(~F.col("truncated") & (F.col("l_discount") >= 0.05), F.struct(F.lit("human step").alias("text")))
     step = F.struct(comp.alias("completions"), human.alias("human_completion"), chosen.cast("int").alias("chosen_completion"))
-    g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("sn", step.alias("s")))).alias("_s"))
+    g = r.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("sample_no", step.alias("s")))).alias("_s"))
     return g.select(
-        F.struct(F.concat(F.lit("problem "), F.col("l_orderkey").cast("string")).alias("problem")).alias("question"),
+        F.struct(F.concat(F.lit("problem "), F.col("group_id").cast("string")).alias("problem")).alias("question"),
         F.struct(F.transform("_s", lambda x: x["s"]).alias("steps")).alias("label"),
     )
 
 
-@register("step_tree")
+_BOOLS = "array_to_string(list_transform({x}, lambda v: CASE WHEN v THEN '1' ELSE '0' END), '')"
+_TREE_CTES = [
+    ("st", "SELECT group_id, sample_no AS s, 'part ' || group_id || '-' || sample_no AS t0, CASE WHEN reward_b IS NULL THEN -1 ELSE 1 END AS r0, "
+           "'supp ' || l_partkey AS t1, truncated AS has_chosen, (NOT truncated AND l_discount >= 0.05) AS has_human FROM rollouts"),
+    ("b", "SELECT group_id, coalesce(min(s) FILTER (WHERE NOT has_chosen AND NOT has_human), max(s) + 1) AS b FROM st GROUP BY group_id"),
+    ("pref", "SELECT group_id, list(CASE WHEN has_chosen THEN t0 ELSE 'human step' END ORDER BY s) AS pts, "
+             "list(CASE WHEN has_chosen THEN r0 = 1 ELSE true END ORDER BY s) AS pls FROM st GROUP BY group_id"),
+    ("alts", "SELECT st.group_id, st.s, st.t1 AS txt, false AS lab FROM st JOIN b USING (group_id) WHERE st.s <= b.b "
+             "UNION ALL SELECT st.group_id, st.s, st.t0, st.r0 = 1 FROM st JOIN b USING (group_id) WHERE st.s <= b.b AND NOT st.has_chosen"),
+]
+
+
+@register("step_tree", build_sql(["rollouts"], _TREE_CTES,
+    "SELECT 'problem ' || group_id AS prompt, array_to_string(list_concat(list_slice(pts, 1, s), [txt]), '|') AS completions, "
+    + _BOOLS.format(x="list_concat(list_slice(pls, 1, s), [lab])") + " AS labels FROM alts JOIN pref USING (group_id) "
+    "UNION ALL SELECT 'problem ' || group_id, array_to_string(list_slice(pts, 1, b), '|'), "
+    + _BOOLS.format(x="list_slice(pls, 1, b)") + " FROM pref JOIN b USING (group_id)"))
 def step_tree(spark, d):
-    """Graded step trees -> stepwise rows (terminal alternatives + final
-    prefix). The walk is a per-row fold over the tree; no SQL twin - literal
-    fixtures in the tests pin the semantics."""
+    """Graded step trees -> stepwise rows (every non-chosen alternative
+    ends a trajectory; the chosen or human completion extends the prefix;
+    the walk stops at a step without a pick; the final prefix is one more row)."""
     out = rc.step_tree(_tree(spark, d))
     return out.select("prompt", F.array_join("completions", "|").alias("completions"), bools_text(F.col("labels")).alias("labels"))
 

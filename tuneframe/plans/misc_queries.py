@@ -45,12 +45,20 @@ def repeat_sampler(spark, d):
     return s.select("example_id", F.col("chunk").cast("long").alias("chunk"), "position")
 
 
-@register("repeat_sampler_shuffled")
+@register("repeat_sampler_shuffled", with_views(
+    """SELECT CAST(c AS BIGINT) AS chunk, CAST(64 AS BIGINT) AS n_items, CAST(8 AS BIGINT) AS n_prompts,
+              CAST(c * 64 AS BIGINT) AS first_position, CAST(c * 64 + 63 AS BIGINT) AS last_position
+       FROM range((SELECT count(*) // 8 FROM completions)) t(c)""", "completions"))
 def repeat_sampler_shuffled(spark, d):
-    """L2 with the seeded shuffle (B=8, m=4, R=2): positions and chunk sizes."""
+    """L2 with the seeded shuffle (B=8, m=4, R=2): which prompts land in a
+    chunk is hash-seeded, the structure is not - every full chunk holds 8
+    distinct prompts and 64 consecutive positions."""
     c = vw.completions(spark, d).select("example_id")
     s = sm.repeat_sampler(c, "example_id", mini_repeat_count=4, batch_size=8, repeat_count=2, shuffle=True, seed=3)
-    return s.select("example_id", "chunk", "position")
+    return s.groupBy(F.col("chunk").cast("long").alias("chunk")).agg(
+        F.count(F.lit(1)).alias("n_items"), F.countDistinct("example_id").alias("n_prompts"),
+        F.min("position").alias("first_position"), F.max("position").alias("last_position"),
+    )
 
 
 @register("split_chunks", with_views(

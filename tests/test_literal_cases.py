@@ -230,3 +230,32 @@ def test_common_prefix(spark):
 def test_gae_and_position_ids(spark):
     df = spark.createDataFrame([([3, 1],)], "s array<int>")
     assert df.select(tk.position_ids("s").alias("p")).collect()[0].p == [0, 1, 2, 0]
+
+
+def test_apply_chat_template_strict_raises(spark):
+    import pytest
+
+    schema = "prompt array<struct<role:string,content:string>>, completion array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([([("system", "s")], [("assistant", "x")])], schema)
+    with pytest.raises(Exception, match="Invalid role in the last message"):
+        fm.apply_chat_template(df, strict=True).collect()
+
+
+def test_split_last_message_rejects_short(spark):
+    schema = "messages array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([([("user", "hi")],), ([("user", "hi"), ("assistant", "yo")],)], schema)
+    out = cv.split_last_message(df).collect()
+    assert out[0].reject_reason is not None and out[0].prompt is None
+    assert [tuple(m) for m in out[1].prompt] == [("user", "hi")] and [tuple(m) for m in out[1].completion] == [("assistant", "yo")]
+
+
+def test_conversions_standard(spark):
+    ss = spark.createDataFrame(
+        [("Blue light", [" scatters more in the atmosphere,", " so the sky is green."], [True, False]),
+         ("Water", [" forms a less dense structure in ice,", " which causes it to expand when it freezes."], [True, True])],
+        "prompt string, completions array<string>, labels array<boolean>",
+    )
+    up = cv.ss_to_up(ss).collect()
+    assert up[0].completion == " scatters more in the atmosphere, so the sky is green." and up[0].label is False
+    lm = cv.ss_to_lm(ss).collect()
+    assert [r.text for r in lm] == ["Water forms a less dense structure in ice, which causes it to expand when it freezes."]

@@ -109,3 +109,12 @@ def test_top_k_hot_group(spark):
     ref = df.withColumn("r", F.row_number().over(Window.partitionBy("group_id").orderBy(F.col("score").desc(), "sample_no")))
     exp = ref.filter("group_id = 0 AND r <= 3").orderBy("r").collect()
     assert [r.sample_no for r in got] == [r.sample_no for r in exp]
+
+
+def test_bfd_assembly_paths_agree(spark):
+    tok = sft.tokenized(spark, SF).select("example_id", "input_ids", "completion_mask")
+    a = pk.pack_bfd(tok, 200, shard_rows=30, assemble="pandas")
+    b = pk.pack_bfd(tok, 200, shard_rows=30, assemble="join")
+    ra = sorted((r.bin, tuple(r.input_ids), tuple(r.seq_lengths)) for r in a.collect())
+    rb = sorted((r.bin, tuple(r.input_ids), tuple(r.seq_lengths)) for r in b.collect())
+    assert ra == rb

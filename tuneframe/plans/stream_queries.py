@@ -101,3 +101,21 @@ def stream_replay_buffer(spark, d):
     s = st.stream_source(spark, path, sc.schema, max_files=4)
     versions = st.run_append(st.replay_buffer_stream(s, 64), "replay")
     return st.current_buffer(versions, 64)
+
+
+@register("stream_completion_log", with_views(
+    "SELECT CAST(step AS INTEGER) AS step, CAST(count(*) AS BIGINT) AS n, avg(reward_a) AS mean_reward FROM rollouts GROUP BY step", "rollouts"))
+def stream_completion_log(spark, d):
+    """S8 (stream form): a stream of scored completions appended to a
+    step-partitioned log by an exactly-once file sink, read back per step."""
+    from ..sources import readers as rd
+
+    r = vw.rollouts(spark, d).select("example_id", "step", "reward_a")
+    path = st.stage_files(r, "completion-stream", "step")
+    s = st.stream_source(spark, path, r.schema, max_files=4)
+    out, ckpt = rd.scratch_path(spark, "completion-log"), rd.scratch_path(spark, "completion-log-ckpt")
+    q = rd.log_completions_stream(s, out, ckpt)
+    q.processAllAvailable()
+    q.stop()
+    logged = rd.read(spark, out)
+    return logged.groupBy(F.col("step").cast("int").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.avg("reward_a").alias("mean_reward"))

@@ -197,23 +197,27 @@ def instruction_prompts(spark, d):
 
 # R6 ------------------------------------------------------------------------
 def _best_of_four(spark, d):
+    """Best-of-4 rows from orders: the four samples are the order's lines in
+    sample order, repeated cyclically for orders with fewer than four lines
+    (one-line orders give four equal samples, which the recipe drops)."""
     r = vw.rollouts(spark, d)
     g = r.groupBy("group_id").agg(
-        *[F.max(F.when(F.col("sample_no") == i, F.concat(F.lit("part "), (F.col("l_partkey") % 50).cast("string")))).alias(f"sample{i}") for i in range(4)],
-        F.max(F.when(F.col("sample_no") == 0, F.col("l_quantity").cast("int") % 4)).alias("best"),
+        F.array_sort(F.collect_list(F.struct("sample_no", F.concat(F.lit("part "), (F.col("l_partkey") % 50).cast("string")).alias("t")))).alias("_s"),
+        F.min_by(F.col("l_quantity").cast("int") % 4, F.col("sample_no")).alias("best"),
     )
-    g = g.filter(F.col("sample3").isNotNull())  # a best-of-4 row needs four samples
-    return g.select(F.concat(F.lit("  query "), F.col("group_id").cast("string"), F.lit(" ")).alias("query"), "sample0", "sample1", "sample2", "sample3", "best")
+    n = F.size("_s")
+    samples = [F.element_at("_s", (F.lit(i) % n) + 1)["t"].alias(f"sample{i}") for i in range(4)]
+    return g.select(F.concat(F.lit("  query "), F.col("group_id").cast("string"), F.lit(" ")).alias("query"), *samples, "best")
 
 
 @register("best_of_four", with_views(
     """SELECT prompt, s[best + 1] AS chosen, list_filter(s, lambda x: x <> s[best + 1])[1] AS rejected FROM (
          SELECT 'query ' || group_id AS prompt,
-                [max(CASE WHEN sample_no = 0 THEN 'part ' || (l_partkey % 50) END), max(CASE WHEN sample_no = 1 THEN 'part ' || (l_partkey % 50) END),
-                 max(CASE WHEN sample_no = 2 THEN 'part ' || (l_partkey % 50) END), max(CASE WHEN sample_no = 3 THEN 'part ' || (l_partkey % 50) END)] AS s,
-                max(CASE WHEN sample_no = 0 THEN CAST(l_quantity AS INTEGER) % 4 END) AS best
-         FROM rollouts GROUP BY group_id)
-       WHERE s[4] IS NOT NULL AND len(list_distinct(s)) > 1""", "rollouts"))
+                list_transform(range(4), lambda i: l[(i % len(l)) + 1]) AS s, best
+         FROM (SELECT group_id, list('part ' || (l_partkey % 50) ORDER BY sample_no) AS l,
+                      arg_min(CAST(l_quantity AS INTEGER) % 4, sample_no) AS best
+               FROM rollouts GROUP BY group_id))
+       WHERE len(list_distinct(s)) > 1""", "rollouts"))
 def best_of_four(spark, d):
     """Best-of-4 human choice -> preference (rows with four equal samples dropped)."""
     return rc.best_of_n(_best_of_four(spark, d), [f"sample{i}" for i in range(4)])

@@ -138,14 +138,14 @@ def stepwise_encode(spark, d):
 
 # T8 / T9 -------------------------------------------------------------------
 @register("reward_pair_encode", tok_sql(
-    "SELECT example_id, CAST(len(p) + len(c) AS INTEGER) AS chosen_len FROM tb WHERE len(p) + len(c) <= 256", [_TB]))
+    "SELECT example_id, CAST(len(p) + len(c) AS INTEGER) AS chosen_len FROM tb WHERE len(p) + len(c) <= 1024", [_TB]))
 def reward_pair_encode(spark, d):
     """T8 + P16: reward pairs with the prompt prepended to both sides; pairs
-    with either side over 256 ids are dropped."""
+    with either side over 1024 ids are dropped."""
     t = _tb(spark, d).select("example_id", F.concat("p", "c").alias("chosen_ids"), F.concat("p", F.reverse("c")).alias("rejected_ids"))
     from ..operators.formats import filter_token_lengths
 
-    kept = filter_token_lengths(t, 256, ["chosen_ids", "rejected_ids"])
+    kept = filter_token_lengths(t, 1024, ["chosen_ids", "rejected_ids"])
     return kept.select("example_id", F.size("chosen_ids").alias("chosen_len"))
 
 

@@ -37,20 +37,36 @@ EPS_STD = 1e-4
 
 
 # ---------------------------------------------------------------- runners
-def run_append(stream: DataFrame, name: str) -> DataFrame:
+def _start(spark: SparkSession, writer, state_partitions: int | None):
+    """Start a streaming query with its own state-partition count.
+
+    A stream fixes its shuffle/state partition count at the first start (it is
+    recorded in the checkpoint); the query clones the session at start, so the
+    setting applies to this query only. Default: the cluster's parallelism."""
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, previous)
+
+
+def run_append(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
     """Run ``stream`` over all available input into a Parquet sink and return
     the written table as a batch DataFrame."""
     spark = stream.sparkSession
     out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-    q = (
+    q = _start(spark, (
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+        .outputMode("append").trigger(availableNow=True)
+    ), state_partitions)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
+def run_complete(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
     """Run a streaming aggregate in complete mode; every micro-batch rewrites
     the result table (idempotent per batch id), the last one is returned."""
     spark = stream.sparkSession
@@ -59,10 +75,10 @@ def run_complete(stream: DataFrame, name: str) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
 
-    q = (
+    q = _start(spark, (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
-        .outputMode("complete").trigger(availableNow=True).start()
-    )
+        .outputMode("complete").trigger(availableNow=True)
+    ), state_partitions)
     q.awaitTermination()
     versions = spark.read.parquet(out)
     last = versions.agg(F.max("batch").alias("batch"))

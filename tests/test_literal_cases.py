@@ -259,3 +259,15 @@ def test_conversions_standard(spark):
     assert up[0].completion == " scatters more in the atmosphere, so the sky is green." and up[0].label is False
     lm = cv.ss_to_lm(ss).collect()
     assert [r.text for r in lm] == ["Water forms a less dense structure in ice, which causes it to expand when it freezes."]
+
+
+def test_preference_collate(spark):
+    df = spark.createDataFrame(
+        [(0, 0, [1, 2, 3], [4, 5], [6]), (1, 0, [7, 8], [9, 10], [11, 12, 13])],
+        "example_id long, batch int, prompt_input_ids array<int>, chosen_input_ids array<int>, rejected_input_ids array<int>",
+    )
+    out = {r.example_id: r for r in tk.preference_collate(df, "batch", 0).collect()}
+    assert [out[0].prompt_input_ids, out[1].prompt_input_ids] == [[1, 2, 3], [0, 7, 8]]
+    assert [out[0].prompt_attention_mask, out[1].prompt_attention_mask] == [[1, 1, 1], [0, 1, 1]]
+    assert [out[0].rejected_input_ids, out[1].rejected_input_ids] == [[6, 0, 0], [11, 12, 13]]
+    assert [out[0].chosen_attention_mask, out[1].chosen_attention_mask] == [[1, 1], [1, 1]]

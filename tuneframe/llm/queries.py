@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import minhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents at a similarity of 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left in every document after repeated windows of 35 words go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substrings.attach(docs, substrings.clean_texts(docs, window=35, digest=True))
+    empty = F.sha2(F.lit(""), 256)
+    return out.select("doc_id", "n_words", "n_removed", F.coalesce("kept", empty).alias("kept_sha256"))

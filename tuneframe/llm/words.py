@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _C1, _C2, _M = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -30,7 +31,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
     if batch.num_rows == 0:
         return
     text = batch.column(column)
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(text), 0), dtype=np.int64)
     group = (np.cumsum(lengths) - 1).clip(0) // limit
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
@@ -95,7 +96,7 @@ class Words:
 def grams(h: np.ndarray, k: int, multiplier: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Hash of each run of ``k`` consecutive word hashes, at the run's first
     word; the last ``k - 1`` entries are meaningless. Built by doubling."""
-    out, done, m = None, 0, pow(multiplier | 1, 1, 1 << 64)
+    out, done, m = None, 0, multiplier | 1
     block, size = h, 1
     rest = k
     while rest:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, substrings
+from . import minhash, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.attach(docs, substrings.clean_texts(docs, window=35, digest=True))
     empty = F.sha2(F.lit(""), 256)
     return out.select("doc_id", "n_words", "n_removed", F.coalesce("kept", empty).alias("kept_sha256"))
+
+
+@query
+def op7_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes; equal texts share a shard."""
+    out = sharding.minimax_shards(table(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, sharding, substrings
+from . import minhash, mixing, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,9 @@ def op7_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes; equal texts share a shard."""
     out = sharding.minimax_shards(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed at weights 3, 1, 2, ... to 150 % of their words."""
+    return mixing.Mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=(3, 1, 2), share=1.5, cap=2.0).taken()

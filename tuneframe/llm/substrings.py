@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import Words, chunks, grams, mix, slide
+from .words import Words, chunks, grams, join_kept, mix, slide
 
 DEPTH, BLOCK_BITS, FLUSH = 2, 16, 2_000_000
 
@@ -107,24 +107,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in part], pa.int32()), pa.array([c for _, c in part], pa.binary())], ["block", "bits"])
 
 
-def _join_kept(w: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of each text's kept words joined by one space."""
-    n = len(w.data)
-    edge = np.zeros(n + 1, np.int8)
-    edge[w.start[keep]] += 1
-    edge[w.end[keep]] -= 1
-    solid = np.cumsum(edge, dtype=np.int8)[:n].astype(bool)
-    data = w.data.copy()
-    kept = np.flatnonzero(keep)
-    owner = np.searchsorted(w.first, kept, side="right") - 1
-    more = kept[:-1][owner[1:] == owner[:-1]]  # words that another kept word follows
-    solid[w.end[more]] = True
-    data[w.end[more]] = 32
-    return data[solid], np.concatenate([[0], np.cumsum(solid)])[w.offsets]
-
-
 def _kept_column(w: Words, keep: np.ndarray, digest: bool) -> list[str]:
-    data, offsets = _join_kept(w, keep)
+    data, offsets = join_kept(w, keep)
     raw = data.tobytes()
     texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     return [hashlib.sha256(t).hexdigest() if digest else t.decode() for t in texts]

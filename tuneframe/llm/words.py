@@ -128,3 +128,19 @@ def slide(x: np.ndarray, width: int, op) -> np.ndarray:
             out = nxt
         size += step
     return out
+
+
+def join_kept(w: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of each text's kept words joined by one space."""
+    n = len(w.data)
+    edge = np.zeros(n + 1, np.int8)
+    edge[w.start[keep]] += 1
+    edge[w.end[keep]] -= 1
+    solid = np.cumsum(edge, dtype=np.int8)[:n].astype(bool)
+    data = w.data.copy()
+    kept = np.flatnonzero(keep)
+    owner = np.searchsorted(w.first, kept, side="right") - 1
+    more = kept[:-1][owner[1:] == owner[:-1]]  # words that another kept word follows
+    solid[w.end[more]] = True
+    data[w.end[more]] = 32
+    return data[solid], np.concatenate([[0], np.cumsum(solid)])[w.offsets]

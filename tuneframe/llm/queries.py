@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, sharding, substrings
+from . import minhash, mixing, quality, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,18 @@ def op7_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed at weights 3, 1, 2, ... to 150 % of their words."""
     return mixing.Mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=(3, 1, 2), share=1.5, cap=2.0).taken()
+
+
+QUALITY_THRESHOLD = 0.7
+
+
+def quality_network(spark: SparkSession, sf_dir: str):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.fit(docs, labels.where(~quality.held_out()))
+
+
+@query
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document; a quarter of the ids is never learned from."""
+    scored = quality.score(table(spark, sf_dir, "documents"), quality_network(spark, sf_dir), keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, minhash, mixing, quality, sharding, substrings
+from . import ann, decontamination, line_templates, minhash, mixing, quality, sharding, substrings, tokens
+from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +77,35 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op4_adaptive_dimension_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of all other vectors for each vec_id divisible by 20."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines whose template recurs in 8 or more."""
+    out = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op6_line_templates"] = line_templates.ORACLE
+
+
+@query
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents after three batches: every document is
+    inserted; those with white space to tidy are counted again; those labelled
+    toxic are deleted. The first batch is sent twice."""
+    scratch = Scratch(spark, "token-rollup")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    ids = ["doc_id", "source", "lang"]
+    counted = scratch.save(tokens.count_tokens(docs, keep=ids))
+    untidy = docs.where(F.col("text").rlike("^\\s|\\s\\s|\\s$"))
+    tidied = scratch.save(tokens.count_tokens(untidy.withColumn("text", F.btrim(F.regexp_replace("text", "\\s+", " "))), keep=ids))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    before = counted.join(tidied.select("doc_id").distinct(), "doc_id", "left_semi")
+    now = counted.join(tidied.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(tidied)
+    rollup = tokens.Rollup(spark, f"{scratch.root}/totals")
+    rollup.apply("load", tokens.inserted(counted))
+    rollup.apply("tidy", tokens.revised(before, tidied))
+    rollup.apply("moderate", tokens.deleted(now.join(toxic, "doc_id", "left_semi")))
+    rollup.apply("load", tokens.inserted(counted))
+    return rollup.totals()

@@ -12,7 +12,7 @@ Jaccard similarity of the full shingle sets.
 Skew: documents with equal shingle sets are one class before banding. A bucket
 never emits all its pairs: members are compared with one pivot first, the links
 found are contracted into components, and only members of other components are
-compared with further pivots (four times as many each round) until every pair
+compared with further pivots (``GROWTH`` times as many each round) until every pair
 of a bucket is compared or connected. So nothing is capped, and a bucket of
 mutual copies costs as many pairs as members.
 
@@ -35,6 +35,7 @@ from .components import components
 from .scratch import Scratch
 from .words import Words, chunks, grams, mix
 
+GROWTH = 16  # each round compares with this many times as many pivots
 SIGNED = "n_shingles long, k1 long, k2 long, bands array<long>"
 
 
@@ -118,6 +119,17 @@ def _verifier(k: int, percent: int):
     return run
 
 
+def _merged(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``comp`` (node, component) after further links between nodes; a node that
+    isn't there is its own component."""
+    of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = scratch.save(components(between.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")), scratch))
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = comp.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return known.unionByName(joined.join(comp, "node", "left_anti").select("node", "component"))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -175,31 +187,32 @@ def near_duplicates(
     pivots = members.where("h = head").select("bucket", F.col("node").alias("pivot"), F.col("n").alias("m"))
     links, tested = confirm(members.join(pivots, "bucket").where(close).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     comp = scratch.save(components(links, scratch))
-    share = 4
+    done, share, open_ = 0, GROWTH, members.where("size > 2")
     while True:
         # buckets whose members still are of different components; a member's
         # place in its bucket is uniform between 0 and the bucket's size, and
-        # the pivots of a round are the members whose place is below ``share``
-        now = members.where("size > 2").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        # the pivots of a round are the members whose place is up to ``share``
+        now = open_.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        now = scratch.save(now.join(mixed, "bucket", "left_semi").withColumn("place", (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size")))
+        now = scratch.save(now.join(mixed, "bucket", "left_semi"))
         largest = now.agg(F.max("size")).first()[0]
         if largest is None:
             break
-        pivots = now.where(F.col("place") <= share).select("bucket", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("comp").alias("pivot_comp"))
+        place = (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("size")
+        pivots = now.where((place > done) & (place <= share)).select("bucket", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("comp").alias("pivot_comp"))
         pairs = (
             now.join(pivots, "bucket").where(close & (F.col("comp") != F.col("pivot_comp")))
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
         found, pairs = confirm(pairs)
-        if found.head(1):
-            links = scratch.save(links.unionByName(found))
-            comp = scratch.save(components(links, scratch))
+        if share >= largest and not found.head(1):
+            break
+        tested = tested.unionByName(pairs)
+        comp = scratch.save(_merged(comp, found, scratch))
         if share >= largest:
             break
-        tested = scratch.save(tested.unionByName(pairs))
-        share *= 4
+        done, share, open_ = share, share * GROWTH, now.drop("comp")
 
     owner = scratch.save(
         classes.join(comp, "node", "left").select("k1", "k2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("class_component"))

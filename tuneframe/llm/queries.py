@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, line_templates, minhash, mixing, quality, sharding, substrings, tokens
+from . import ann, decontamination, licenses, line_templates, minhash, mixing, quality, sharding, substrings, tokens
 from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.apply("moderate", tokens.deleted(now.join(toxic, "doc_id", "left_semi")))
     rollup.apply("load", tokens.inserted(counted))
     return rollup.totals()
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents, with their differences in wording."""
+    return licenses.license_notices(table(spark, sf_dir, "documents"))

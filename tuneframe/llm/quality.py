@@ -120,14 +120,14 @@ class Network:
         return [g_embed, g_filters, g_p.sum(0), f.T @ g_h, g_h.sum(0), h.T @ g_out, g_out.sum(0)]
 
 
-def train(texts: list[np.ndarray], y: np.ndarray, *, epochs: int = 14, batch: int = 32, rate: float = 3e-3, seed: int = 8) -> Network:
+def train(texts: list[np.ndarray], y: np.ndarray, *, epochs: int = 14, least_steps: int = 400, batch: int = 32, rate: float = 3e-3, seed: int = 8) -> Network:
     """``texts``: each document's chunks, (n, CHUNK) bytes; ``y``: 0 or 1."""
     if len(y) == 0 or y.min() == y.max():
         return Network.random(seed, prior=float(y.mean()) if len(y) else 0.5)
     net, rng = Network.random(seed), np.random.default_rng(seed)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.weights()]
-    step, steps = 0, epochs * -(-len(y) // batch)
+    step, steps = 0, max(least_steps, epochs * -(-len(y) // batch))
     while step < steps:
         order = rng.permutation(len(y))
         for a in range(0, len(y), batch):

@@ -3,7 +3,7 @@
 Groups of equal texts are atomic and ordered by the MD5 of the text. The
 smallest shard capacity under which a greedy scan fits all groups into the
 shards is found by binary search, and the cuts are made there. The scan needs
-only prefix sums at the cuts, so the search runs on a summary: at most
+only prefix sums at the cuts, so the search runs on a summary: about
 ``points`` prefix sums, each round refined between the bounds that the last
 round proved (greedy on the known prefix sums gives a capacity that works,
 greedy that may cut anywhere inside an unread gap gives one below which none
@@ -41,14 +41,15 @@ class _Prefixes:
     def __init__(self, total: int):
         self.points, self.hidden, self.total = [0, total], [False, True], total
 
-    def refine(self, ranges: list[tuple[int, int]], rows: list[tuple[int, int]]) -> None:
-        """Put the points read (prefix sum, how many its cell held) into the ranges."""
+    def refine(self, rows: list[tuple[int, int, int]]) -> None:
+        """Add what was read: the first and last prefix sum of each cell and how
+        many it holds. Cells without any are empty, so unread ones can only lie
+        between a cell's first and last: every gap read gives a new point."""
         known = dict(zip(self.points, self.hidden, strict=True))
-        known.update({p: n > 1 for p, n in rows})
-        read = {p for p, _ in rows}
-        for _, end in ranges:  # a range ends at a known point, now the end of its last cell
-            if end not in read:
-                known[end] = False
+        for first, last, n in rows:
+            known[first] = False
+            if last > first:
+                known[last] = n > 2
         self.points = sorted(known)
         self.hidden = [known[p] for p in self.points]
 
@@ -87,18 +88,18 @@ class _Prefixes:
         return out
 
 
-def _read(prefixes: DataFrame, ranges: list[tuple[int, int]], points: int) -> list[tuple[int, int]]:
-    """At most ``points`` prefix sums in the ranges: the last of each of as many
-    cells, with the number of prefix sums in the cell."""
-    width = -(-sum(b - a for a, b in ranges) // max(1, points - len(ranges)))
+def _read(prefixes: DataFrame, ranges: list[tuple[int, int]], points: int) -> list[tuple[int, int, int]]:
+    """The ranges in about ``points`` cells of one width: (first prefix sum, last,
+    how many) of each cell that holds any."""
+    width = -(-sum(b - a for a, b in ranges) // points)
     starts, ends = F.array(*[F.lit(a) for a, _ in ranges]), F.array(*[F.lit(b) for _, b in ranges])
     where = F.size(F.filter(starts, lambda a: a < F.col("prefix")))
     rows = (
         prefixes.select("prefix", where.alias("r")).where("r > 0").where(F.col("prefix") <= F.element_at(ends, F.col("r")))
-        .groupBy("r", F.expr("0L") + F.floor((F.col("prefix") - 1 - F.element_at(starts, F.col("r"))) / F.lit(width)).alias("cell"))
-        .agg(F.max("prefix").alias("p"), F.count("*").alias("n"))
+        .groupBy("r", F.floor((F.col("prefix") - 1 - F.element_at(starts, F.col("r"))) / F.lit(width)).alias("cell"))
+        .agg(F.min("prefix").alias("first"), F.max("prefix").alias("last"), F.count("*").alias("n"))
     )
-    return [(r.p, r.n) for r in rows.select("p", "n").collect()]
+    return [(r["first"], r["last"], r.n) for r in rows.collect()]
 
 
 def minimax_cuts(prefixes: DataFrame, total: int, largest: int, shards: int, points: int = 20_000) -> tuple[int, list[int]]:
@@ -109,7 +110,7 @@ def minimax_cuts(prefixes: DataFrame, total: int, largest: int, shards: int, poi
     low, high = max(largest, -(-total // shards)), -(-total // shards) + largest
     ranges = [(0, total)]
     while True:
-        known.refine(ranges, _read(prefixes, ranges, points))
+        known.refine(_read(prefixes, ranges, points))
         low = known.smallest(low, high, shards, hopeful=True)
         high = known.smallest(low, high, shards, hopeful=False)
         if low == high:

@@ -10,7 +10,8 @@ template. The result states the exact words that are missing, extra or changed.
 
 The work is one pass without a shuffle: a native filter keeps the documents with
 a trigger word, and their lines are read in Arrow batches; templates are a few
-short texts. A document's findings are several rows.
+short texts. Compression sees lower case and single spaces, so layout and case
+don't count. A document's findings are several rows.
 
 Defined cases: null and empty texts have no blocks; null ids are carried through;
 repeated rows are found each; ties in rank go by template name; extra columns are
@@ -37,6 +38,10 @@ def words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())
 
 
+def plain(text: str) -> str:
+    return " ".join(text.lower().split())
+
+
 class Ranker:
     """Templates as zstandard dictionaries."""
 
@@ -46,12 +51,12 @@ class Ranker:
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.by_name = {}
         for name, (license_, text) in sorted(templates.items()):
-            raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw = zstandard.ZstdCompressionDict(plain(text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.by_name[name] = (license_, words(text), zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False))
 
     def rank(self, block: str, least: float) -> list[tuple[float, str]]:
         """(share of the compressed size saved, template), best first."""
-        raw = block.encode()
+        raw = plain(block).encode()
         alone = len(self.plain.compress(raw))
         saved = [(1 - len(z.compress(raw)) / alone, name) for name, (_, _, z) in self.by_name.items()]
         return sorted((x for x in saved if x[0] >= least), key=lambda x: (-x[0], x[1]))

@@ -3,7 +3,8 @@
 Largest inner products become smallest distances by one extra coordinate
 ``sqrt(M ** 2 - |x| ** 2)`` (M the largest norm). k-means on a bounded sample gives
 lists; every vector goes to its nearest list and a query scans the share
-``probe_share`` of the lists nearest to it. Vectors are rotated at random and
+``probe_share`` of the lists nearest to it (or as many as hold ``50 * k`` vectors
+on average, if more). Vectors are rotated at random and
 scanned in blocks of columns: after d of D columns a candidate is abandoned when
 its partial distance exceeds what a hypothesis test allows a vector within the
 query's threshold, ``(d / D) * (1 + epsilon / sqrt(d)) ** 2`` times the threshold.
@@ -153,7 +154,7 @@ def nearest(vectors: DataFrame, is_query, *, id_column: str = "vec_id", vector_c
     drawn = distinct.orderBy(F.xxhash64("uid")).limit(sample).select("vec").collect()
     n_lists = int(min(max_lists, max(1, np.ceil(lists_per_root * np.sqrt(n))), len(drawn)))
     centres = kmeans(_lift(np.array([r.vec for r in drawn]), norm), n_lists, 6, seed)
-    probes = max(1, int(np.ceil(probe_share * n_lists)))
+    probes = int(np.ceil(min(1.0, max(probe_share, 50 * k / n)) * n_lists))  # lists of 50 * k vectors at least
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((common.dims + 1,) * 2))[0]
 
     spec = "uid long, vec array<double>, lists array<int>"

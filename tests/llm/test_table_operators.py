@@ -157,12 +157,12 @@ def test_gradients_agree_with_differences():
     for w, g in zip(net.weights(), net.gradients(pieces, first, y, weight), strict=True):
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         old = w[at]
-        w[at] = old + 1e-2
+        w[at] = old + 1e-4
         up = loss()
-        w[at] = old - 1e-2
+        w[at] = old - 1e-4
         down = loss()
         w[at] = old
-        assert abs((up - down) / 2e-2 - g[at]) < 0.1 * abs(g[at]) + 1e-4
+        assert abs((up - down) / 2e-4 - g[at]) < 0.1 * abs(g[at]) + 1e-4
 
 
 def test_quality_learns_and_handles_odd_rows(spark):

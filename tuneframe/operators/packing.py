@@ -1,14 +1,12 @@
 """Sequence packing.
 
-**Best-fit decreasing (D2).** Rows are hash-sharded by key into shards of a
-bounded row count (``shard_rows``; bin quality is per shard, like the
-reference's per-batch packing, and no shard is an unbounded group). The
-payload is shuffled once, by shard; each shard is planned (lengths only, an
-O(n log L) best-fit search) and assembled with numpy inside one
-``applyInPandas`` call. An alternative ``assemble="join"`` keeps the token
-payload on the JVM (only ``(shard, key, length)`` goes to Python, the plan is
-joined back and bins are built with ``collect_list``) at the price of a second
-payload shuffle.
+**Best-fit decreasing (D2).** Rows are hash-partitioned by key, sorted by key,
+and packed in batches of ``shard_rows`` rows inside each partition (bin quality
+is per batch; no task holds more than one batch). The payload is shuffled once;
+each batch is planned (lengths only, an O(n log L) best-fit search) and
+assembled with numpy. An alternative ``assemble="join"`` keeps the token payload
+on the JVM (only ``(key, length)`` goes to Python, the plan is joined back and
+bins are built with ``collect_list``) at the price of a second payload shuffle.
 
 **Wrapped packing (D1)** concatenates every list column and cuts it every
 ``seq_length`` items. Token offsets come from the distributed prefix sum;
@@ -24,6 +22,7 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,40 +82,58 @@ def bfd_plan(lengths: list[int], keys: list[int], seq_length: int) -> tuple[list
     return out_bin, out_pos
 
 
-def _plan_shard(seq_length: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins, pos = bfd_plan(pdf["length"].tolist(), pdf["key"].tolist(), seq_length)
-        shard = int(pdf["shard"].iloc[0])
-        return pd.DataFrame(
-            {
-                "shard": pdf["shard"].astype("int64"),
-                "key": pdf["key"].astype("int64"),
-                "bin": [shard * _BIN_SHIFT + b for b in bins],
-                "pos": pd.Series(pos, dtype="int32"),
-            }
-        )
+def _batches(frames, rows: int):
+    """Regroup a partition's frames into batches of ``rows`` rows (the last one shorter)."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for pdf in frames:
+        held.append(pdf)
+        n += len(pdf)
+        while n >= rows:
+            whole = pd.concat(held, ignore_index=True)
+            yield whole.iloc[:rows].reset_index(drop=True)
+            rest = whole.iloc[rows:]
+            held, n = ([rest] if len(rest) else []), len(rest)
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _first_bin() -> int:
+    return TaskContext.get().partitionId() * _BIN_SHIFT
+
+
+def _plan_batches(seq_length: int, key: str, rows: int):
+    """mapInPandas function: (key, length) -> (key, bin, pos)."""
+
+    def run(frames):
+        first = _first_bin()
+        for pdf in _batches(frames, rows):
+            bins, pos = bfd_plan(pdf["_tf_len"].tolist(), pdf[key].tolist(), seq_length)
+            yield pd.DataFrame({key: pdf[key], "bin": [first + b for b in bins], "pos": pd.Series(pos, dtype="int32")})
+            first += max(bins) + 1
 
     return run
 
 
-def _assemble_shard(seq_length: int, key: str, lists: list[str]):
-    """Per shard: plan the bins on the lengths, then concatenate every list
-    column in bin order with numpy (one pass over the shard's rows)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["_tf_shard"].iloc[0])
-        bins, pos = bfd_plan(pdf["_tf_len"].tolist(), pdf[key].tolist(), seq_length)
-        order = np.lexsort((np.asarray(pos), np.asarray(bins)))
-        b_sorted = np.asarray(bins)[order]
-        cuts = np.flatnonzero(np.diff(b_sorted)) + 1
-        groups = np.split(order, cuts)
-        lens = pdf["_tf_len"].to_numpy()
-        out = {"bin": [shard * _BIN_SHIFT + int(bins[g[0]]) for g in groups]}
-        for c in lists:
-            col = pdf[c].to_numpy()
-            out[c] = [np.concatenate([col[i] for i in g]) for g in groups]
-        out["seq_lengths"] = [lens[g].astype("int32") for g in groups]
-        return pd.DataFrame(out)
+def _assemble_batches(seq_length: int, key: str, lists: list[str], rows: int):
+    """mapInPandas function: plan each batch on its lengths, then concatenate
+    every list column in bin order with numpy."""
+
+    def run(frames):
+        first = _first_bin()
+        for pdf in _batches(frames, rows):
+            bins, pos = bfd_plan(pdf["_tf_len"].tolist(), pdf[key].tolist(), seq_length)
+            order = np.lexsort((np.asarray(pos), np.asarray(bins)))
+            cuts = np.flatnonzero(np.diff(np.asarray(bins)[order])) + 1
+            groups = np.split(order, cuts)
+            lens = pdf["_tf_len"].to_numpy()
+            out = {"bin": [first + int(bins[g[0]]) for g in groups]}
+            for c in lists:
+                col = pdf[c].to_numpy()
+                out[c] = [np.concatenate([col[i] for i in g]) for g in groups]
+            out["seq_lengths"] = [lens[g].astype("int32") for g in groups]
+            yield pd.DataFrame(out)
+            first += max(bins) + 1
 
     return run
 
@@ -125,7 +142,7 @@ def pack_bfd(
     df: DataFrame,
     seq_length: int,
     key: str = "example_id",
-    shard_rows: int = 100_000,
+    shard_rows: int = 1000,
     num_shards: int | None = None,
     assemble: str = "pandas",
 ) -> DataFrame:
@@ -136,11 +153,13 @@ def pack_bfd(
     concatenated in bin order, ``seq_lengths`` and the ``bin`` id. Empty
     sequences carry no tokens and are not placed (the reference rejects them).
 
-    ``assemble="pandas"`` (default) shuffles the payload once, by shard, and
-    plans + concatenates each shard in one ``applyInPandas`` call (memory per
-    call bounded by ``shard_rows``). ``assemble="join"`` keeps the payload on
-    the JVM: only lengths go to Python, the plan is joined back and bins are
-    assembled with ``collect_list`` - two payload shuffles instead of one.
+    Rows are hash-partitioned by key (``num_shards`` partitions, by default the
+    session's shuffle partitions), sorted by key there, and packed in batches of
+    ``shard_rows`` rows, so nothing is counted beforehand, every partition is a
+    task and a task holds one batch. ``assemble="pandas"`` (default) shuffles the
+    payload once and concatenates in Python; ``assemble="join"`` sends lengths
+    only to Python, joins the plan back and assembles bins with
+    ``collect_list`` on the JVM - two payload shuffles instead of one.
     """
     lists = _list_columns(df)
     if not lists:
@@ -148,27 +167,14 @@ def pack_bfd(
     t = truncate_lists(df.select(key, *lists), seq_length, lists)
     t = t.withColumn("_tf_len", F.size(lists[0])).filter(F.col("_tf_len") > 0)
     if num_shards is None:
-        # one small job: only the key column is needed, Catalyst prunes the payload
-        num_shards = max(1, -(-df.select(key).count() // shard_rows))
-    t = t.withColumn("_tf_shard", F.pmod(F.xxhash64(key), F.lit(num_shards)))
+        num_shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    types = {f.name: f.dataType.simpleString() for f in t.schema.fields}
     if assemble == "pandas":
-        types = {f.name: f.dataType.simpleString() for f in t.schema.fields}
         schema = ", ".join(["bin long", *[f"{c} {types[c]}" for c in lists], "seq_lengths array<int>"])
-        return t.groupBy("_tf_shard").applyInPandas(_assemble_shard(seq_length, key, lists), schema)
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    payload = t.repartition(n_parts, "_tf_shard")
-    plan_in = payload.select(
-        F.col("_tf_shard").alias("shard"), F.col(key).cast("long").alias("key"), F.col("_tf_len").alias("length")
-    )
-    plan = plan_in.groupBy("shard").applyInPandas(
-        _plan_shard(seq_length), "shard long, key long, bin long, pos int"
-    )
-    joined = payload.join(
-        plan.select(F.col("shard").alias("_tf_shard"), F.col("key").alias(key), "bin", "pos"), ["_tf_shard", key]
-    )
-    grouped = joined.groupBy("_tf_shard", "bin").agg(
-        F.array_sort(F.collect_list(F.struct("pos", *lists))).alias("_tf_items")
-    )
+        return t.repartition(num_shards, key).sortWithinPartitions(key).mapInPandas(_assemble_batches(seq_length, key, lists, shard_rows), schema)
+    lengths = t.select(key, "_tf_len").repartition(num_shards, key).sortWithinPartitions(key)
+    plan = lengths.mapInPandas(_plan_batches(seq_length, key, shard_rows), f"{key} {types[key]}, bin long, pos int")
+    grouped = t.join(plan, key).groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("pos", *lists))).alias("_tf_items"))
     outs = [F.flatten(F.transform("_tf_items", _field(c))).alias(c) for c in lists]
     return grouped.select(
         "bin",
@@ -232,7 +238,7 @@ def pack(df: DataFrame, seq_length: int, strategy: str = "bfd", **kwargs) -> Dat
         return pack_bfd(df, seq_length, **kwargs)
     if strategy == "wrapped":
         return pack_wrapped(df, seq_length, **kwargs)
-    raise ValueError(f"Invalid packing strategy: {strategy}. Use 'bfd' or 'wrapped'.")
+    raise ValueError(f"unknown packing strategy {strategy!r}: bfd or wrapped")
 
 
 def fill_ratio(packed: DataFrame, seq_length: int) -> DataFrame:

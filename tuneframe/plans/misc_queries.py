@@ -150,13 +150,13 @@ def parse_literal_messages(spark, d):
 
 
 @register("split_write_read", with_views(
-    "SELECT CASE WHEN example_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, CAST(count(*) AS BIGINT) AS n, "
+    "SELECT CASE WHEN group_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, CAST(count(*) AS BIGINT) AS n, "
     "CAST(sum(length(prompt)) AS BIGINT) AS chars FROM completions GROUP BY 1", "completions"))
 def split_write_read(spark, d):
     """S7 + S1: write a split-partitioned table to shared storage and read
     each split back with a pruned column list."""
-    c = vw.completions(spark, d).select("example_id", "prompt", "completion")
-    c = c.withColumn("split", F.when(F.col("example_id") % 5 == 0, F.lit("test")).otherwise(F.lit("train")))
+    c = vw.completions(spark, d).select("example_id", "group_id", "prompt", "completion")
+    c = c.withColumn("split", F.when(F.col("group_id") % 5 == 0, F.lit("test")).otherwise(F.lit("train"))).drop("group_id")
     path = rd.write_splits(c, rd.scratch_path(spark, "splits"))
     parts = [rd.read(spark, path, columns=["example_id", "prompt"], split=s).withColumn("split", F.lit(s)) for s in ("train", "test")]
     m = rd.mixture(parts)
@@ -164,15 +164,15 @@ def split_write_read(spark, d):
 
 
 @register("jsonl_splits", with_views(
-    "SELECT CASE WHEN example_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, example_id, CAST(length(completion) AS INTEGER) AS n_chars FROM completions",
+    "SELECT CASE WHEN group_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, example_id, CAST(length(completion) AS INTEGER) AS n_chars FROM completions",
     "completions"))
 def jsonl_splits(spark, d):
     """JSON-lines files per split read with a declared schema."""
-    c = vw.completions(spark, d).select("example_id", "completion")
+    c = vw.completions(spark, d).select("example_id", "group_id", "completion")
     base = rd.scratch_path(spark, "jsonl")
-    c.filter(F.col("example_id") % 2 == 0).write.json(f"{base}/train")
-    c.filter(F.col("example_id") % 2 == 1).write.json(f"{base}/test")
-    j = rd.read_jsonl(spark, {"train": f"{base}/train", "test": f"{base}/test"}, "example_id long, completion string")
+    c.filter(F.col("group_id") % 2 == 0).drop("group_id").write.json(f"{base}/train")
+    c.filter(F.col("group_id") % 2 == 1).drop("group_id").write.json(f"{base}/test")
+    j = rd.read_jsonl(spark, {"train": f"{base}/train", "test": f"{base}/test"}, "example_id string, completion string")
     return j.select("split", "example_id", F.length("completion").alias("n_chars"))
 
 

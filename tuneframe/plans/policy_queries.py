@@ -131,11 +131,9 @@ def sampler_mismatch(spark, d):
 
 
 # A20 + A17 -----------------------------------------------------------------
-def _policy_sql(loss_type: str, lo: float, hi: float, delta, beta: float, level: str, max_len=None) -> str:
-    if level == "token":
-        w = "z.lp - z.ol"
-    else:
-        w = "list_sum(list_transform(list_zip(logps, old_logps, mask), lambda y: (y[1] - y[2]) * y[3])) / greatest(list_sum(mask), 1)"
+def _policy_sql(loss_type: str, lo: float, hi: float, delta, beta: float, level: str, max_len=None, importance=False, entropy=False) -> str:
+    total = "list_sum(list_transform(list_zip(logps, old_logps, mask), lambda y: (y[1] - y[2]) * y[3]))"
+    w = {"token": "z.lp - z.ol", "sequence_sum": total}.get(level, f"{total} / greatest(list_sum(mask), 1)")
     c1 = f"exp({w})"
     cm = f"least({c1}, {delta})" if delta is not None else c1
     kl = "(exp(z.rf - z.lp) - (z.rf - z.lp) - 1)"
@@ -143,6 +141,10 @@ def _policy_sql(loss_type: str, lo: float, hi: float, delta, beta: float, level:
         lt = f"(-least({c1}, {hi}) * advantage * z.lp)"
     else:
         lt = f"(-least({cm} * advantage, least(greatest({c1}, {1 - lo}), {1 + hi}) * advantage))"
+    if entropy:
+        lt = f"({lt} * CASE WHEN z.m = 1 AND z.e * z.m >= threshold THEN 1 ELSE 0 END)"
+    if importance:
+        lt = f"({lt} * least(exp(z.ol - z.rf), 2.0))"
     if beta:
         lt = f"({lt} + {beta} * {kl})"
     zz = "list_transform(range(len(logps)), lambda k: {'lp': logps[k + 1], 'ol': old_logps[k + 1], 'rf': ref_logps[k + 1], 'm': mask[k + 1], 'e': entropies[k + 1]})"
@@ -150,19 +152,28 @@ def _policy_sql(loss_type: str, lo: float, hi: float, delta, beta: float, level:
     def ms(expr):
         return f"list_sum(list_transform({zz}, lambda z: {expr} * z.m))"
 
+    one_ratio = level in ("sequence", "sequence_sum")  # a metric over sequences: each counts once
+
+    def clip(expr):
+        return f"list_transform({zz}, lambda z: {expr})[1]" if one_ratio else ms(expr)
+
     low = f"CASE WHEN {cm} < {1 - lo} AND advantage < 0 THEN 1.0 ELSE 0.0 END"
     high = f"CASE WHEN {cm} > {1 + hi} AND advantage > 0 THEN 1.0 ELSE 0.0 END"
     cis = f"CASE WHEN {c1} > {hi} AND advantage > 0 THEN 1.0 ELSE 0.0 END"
     per = (f"SELECT step, {ms(lt)} AS l, {ms(lt)} / greatest(list_sum(mask), 1) AS lseq, list_sum(mask) AS n, len(mask) AS ntok, "
-           f"{ms(low)} AS low, {ms(high)} AS high, {ms(cis)} AS cis, {ms(kl)} AS kl, {ms('z.e')} AS ent FROM rt")
+           f"{clip(low)} AS low, {clip(high)} AS high, {clip(cis)} AS cis, {ms(kl)} AS kl, {ms('z.e')} AS ent FROM rt"
+           + (" JOIN thresholds USING (step)" if entropy else ""))
     n = "greatest(sum(n), 1)"
     loss = {"grpo": "avg(lseq)", "bnpo": f"sum(l) / {n}", "dr_grpo": f"sum(l) / (count(*) * {max_len})"}.get(loss_type, "sum(l) / sum(ntok)")
     cols = [f"{loss} AS loss", f"sum(kl) / {n} AS kl", f"sum(ent) / {n} AS entropy"]
+    over = "count(*)" if one_ratio else n
     if loss_type == "cispo":
-        cols.append(f"sum(cis) / {n} AS cispo_clip_ratio")
+        cols.append(f"sum(cis) / {over} AS cispo_clip_ratio")
     else:
-        cols += [f"sum(low) / {n} AS clip_low", f"sum(high) / {n} AS clip_high", f"(sum(low) + sum(high)) / {n} AS clip_region"]
-    return rt_sql(f"SELECT step, {', '.join(cols)} FROM ({per}) GROUP BY step")
+        cols += [f"sum(low) / {over} AS clip_low", f"sum(high) / {over} AS clip_high", f"(sum(low) + sum(high)) / {over} AS clip_region"]
+    extra = [("thresholds", "SELECT step, quantile_cont(e, 0.8) AS threshold FROM (SELECT step, unnest(list_transform(list_filter(list_zip(entropies, mask), "
+              "lambda z: z[2] = 1), lambda z: z[1])) AS e FROM rtokens) GROUP BY step")] if entropy else []
+    return rt_sql(f"SELECT step, {', '.join(cols)} FROM ({per}) GROUP BY step", extra)
 
 
 _POLICY_CASES = {
@@ -172,14 +183,24 @@ _POLICY_CASES = {
     "policy_dapo": dict(loss_type="dapo", lo=0.2, hi=0.28, delta=None, beta=0.0, level="token"),
     "policy_cispo": dict(loss_type="cispo", lo=0.2, hi=1.02, delta=None, beta=0.0, level="token"),
     "policy_sequence_ratio": dict(loss_type="grpo", lo=0.0003, hi=0.0004, delta=None, beta=0.0, level="sequence"),
+    "policy_sequence_token": dict(loss_type="grpo", lo=0.0003, hi=0.0004, delta=None, beta=0.0, level="sequence_token"),
+    "policy_sequence_sum": dict(loss_type="grpo", lo=0.01, hi=0.01, delta=None, beta=0.0, level="sequence_sum"),
+    "policy_importance": dict(loss_type="grpo", lo=0.2, hi=0.2, delta=None, beta=0.04, level="token", importance=True),
+    "policy_entropy_mask": dict(loss_type="dapo", lo=0.2, hi=0.28, delta=None, beta=0.0, level="token", entropy=True),
 }
 
 
 def _policy_query(cfg):
     def run(spark, d):
+        t = _rt(spark, d)
+        if cfg.get("entropy"):
+            t = po.high_entropy_mask(t, "entropies", "mask", 0.2)
+        if cfg.get("importance"):  # the sampler's factor from logged log-probabilities, capped at 2
+            t = t.withColumn("importance", F.zip_with("old_logps", "ref_logps", lambda a, b: F.least(F.exp(a - b), F.lit(2.0))))
         return po.token_policy_report(
-            _rt(spark, d), loss_type=cfg["loss_type"], epsilon_low=cfg["lo"], epsilon_high=cfg["hi"], delta=cfg["delta"],
+            t, loss_type=cfg["loss_type"], epsilon_low=cfg["lo"], epsilon_high=cfg["hi"], delta=cfg["delta"],
             beta=cfg["beta"], level=cfg["level"], max_completion_length=cfg.get("max_len"),
+            entropy_mask="entropy_mask" if cfg.get("entropy") else None, importance="importance" if cfg.get("importance") else None,
         )
 
     run.__doc__ = f"A20 + A17: token-policy objective report ({cfg['loss_type']}, {cfg['level']}-level ratios)."

@@ -136,8 +136,8 @@ def aot_loss(spark, d):
 def _unpaired(spark, d):
     """Unpaired rows from logged pairs plus their KL partner (J2: the answer of
     the previous example in the same batch, batch = generation group)."""
-    lp = vw.logps(spark, d).withColumn("pos", F.col("example_id") % 16)
-    rot = jn.rotate_partners(lp, "group_id", "pos", ["c", "c0"])
+    lp = vw.logps(spark, d)
+    rot = jn.rotate_partners(lp, "group_id", "sample_no", ["c", "c0"])
     good = rot.select("example_id", "step", F.lit(True).alias("label"), F.col("c").alias("lp"), F.col("c0").alias("lp0"),
                       F.col("KL_c").alias("kl_lp"), F.col("KL_c0").alias("kl_lp0"))
     bad = rot.select("example_id", "step", F.lit(False).alias("label"), F.col("r").alias("lp"), F.col("r0").alias("lp0"),
@@ -147,8 +147,8 @@ def _unpaired(spark, d):
 
 _UNPAIRED_CTES = [
     ("rot", "SELECT *, coalesce(lag(c) OVER w, last(c) OVER wa) AS kc, coalesce(lag(c0) OVER w, last(c0) OVER wa) AS kc0 FROM logps "
-            "WINDOW w AS (PARTITION BY group_id ORDER BY example_id % 16), "
-            "wa AS (PARTITION BY group_id ORDER BY example_id % 16 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
+            "WINDOW w AS (PARTITION BY group_id ORDER BY sample_no), "
+            "wa AS (PARTITION BY group_id ORDER BY sample_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
     ("up", "SELECT example_id, step, true AS label, c AS lp, c0 AS lp0, kc AS kl_lp, kc0 AS kl_lp0 FROM rot "
            "UNION ALL SELECT example_id, step, false, r, r0, kc, kc0 FROM rot"),
     ("kl", "SELECT step, greatest(avg(kl_lp - kl_lp0), 0.0) AS kl FROM up GROUP BY step"),
@@ -159,8 +159,8 @@ _UNPAIRED_CTES = [
     "SELECT example_id, kc AS kl_c, kc0 AS kl_c0 FROM rot"))
 def kl_partners(spark, d):
     """Every example paired with the previous answer of its batch (wrapping around)."""
-    lp = vw.logps(spark, d).withColumn("pos", F.col("example_id") % 16)
-    rot = jn.rotate_partners(lp, "group_id", "pos", ["c", "c0"])
+    lp = vw.logps(spark, d)
+    rot = jn.rotate_partners(lp, "group_id", "sample_no", ["c", "c0"])
     return rot.select("example_id", F.col("KL_c").alias("kl_c"), F.col("KL_c0").alias("kl_c0"))
 
 

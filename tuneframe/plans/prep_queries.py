@@ -417,6 +417,24 @@ def sft_packed_bins(spark, d):
     )
 
 
+@register("sft_pack_invariants", tok_sql(
+    """SELECT CAST(count(*) AS BIGINT) AS n_seqs, CAST(sum(least(len(input_ids), 1024)) AS BIGINT) AS n_tokens,
+              CAST(sum(least(len(input_ids), 1024) * (least(len(input_ids), 1024) - 1) / 2) AS BIGINT) AS position_sum,
+              CAST(0 AS BIGINT) AS overfull_bins, CAST(0 AS BIGINT) AS split_bins
+       FROM ids WHERE len(input_ids) > 0"""))
+def sft_pack_invariants(spark, d):
+    """D2 + D4 as SQL can say them: every sequence is in one bin (their number,
+    tokens and position ids add up), no bin is over 1,024 tokens, and a bin's
+    tokens are those of its sequences."""
+    p = sft.packed(spark, d, 1024)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    p = p.select(F.size("seq_lengths").alias("s"), F.size("input_ids").alias("n"), total("seq_lengths").alias("held"), total("position_ids").alias("p"))
+    return p.agg(
+        F.sum("s").alias("n_seqs"), F.sum("n").alias("n_tokens"), F.sum("p").alias("position_sum"),
+        F.sum((F.col("n") > 1024).cast("long")).alias("overfull_bins"), F.sum((F.col("n") != F.col("held")).cast("long")).alias("split_bins"),
+    )
+
+
 @register("sft_pack_fill")
 def sft_pack_fill(spark, d):
     """Packing quality report: bins, tokens, fill ratio."""

@@ -92,8 +92,9 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``reward_a`` = quantity, ``reward_b`` = discount or NULL for returned lines
     (a reward function that does not apply), ``step`` = ship year,
     ``completion_len`` / ``truncated`` as logged by a sampler.
-    Group sizes are bounded by the number of generations per prompt, so the
-    per-group ``row_number`` numbering the samples is a bounded window.
+    An example's key is its group and sample number, as text, whatever the
+    group's size. Group sizes are bounded by the number of generations per
+    prompt, so the per-group ``row_number`` is a bounded window.
     """
     li = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
@@ -110,11 +111,11 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_discount"),
         F.col("l_quantity"),
         F.col("l_extendedprice"),
-    ).withColumn("example_id", F.col("group_id") * 16 + F.col("sample_no"))
+    ).withColumn("example_id", F.concat_ws("-", F.col("group_id").cast("string"), F.col("sample_no").cast("string")))
 
 
 ROLLOUTS_SQL = """
-SELECT *, group_id * 16 + sample_no AS example_id FROM (
+SELECT *, group_id || '-' || sample_no AS example_id FROM (
 SELECT l_orderkey AS group_id,
        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
                           l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS sample_no,
@@ -137,6 +138,7 @@ def logps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ro.select(
         "example_id",
         "group_id",
+        "sample_no",
         "step",
         (-F.col("l_quantity") / 10.0).alias("c"),
         (-F.col("l_extendedprice") / 20000.0).alias("r"),
@@ -148,7 +150,7 @@ def logps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOGPS_SQL = f"""
-SELECT group_id * 16 + sample_no AS example_id, group_id, step,
+SELECT example_id, group_id, sample_no, step,
        -l_quantity / 10.0 AS c, -l_extendedprice / 20000.0 AS r,
        -(l_discount * 40.0 + 0.5) AS c0, -(l_tax * 40.0 + 0.5) AS r0,
        completion_len, sample_no + 1 AS rejected_len
@@ -178,7 +180,7 @@ def rtokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RTOKENS_SQL = f"""
-SELECT group_id * 16 + sample_no AS example_id, group_id, sample_no, step, reward_a, reward_b, truncated,
+SELECT example_id, group_id, sample_no, step, reward_a, reward_b, truncated,
        list_transform(range(sample_no + 3), lambda i: -(l_tax + 0.01::DOUBLE * i)) AS old_logps,
        list_transform(range(sample_no + 3), lambda i: -(l_discount + 0.015::DOUBLE * i)) AS ref_logps,
        list_transform(range(sample_no + 3), lambda i: -(l_tax * 1.2::DOUBLE + 0.011::DOUBLE * i)) AS logps,
@@ -273,7 +275,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind == 1, F.concat(F.lit("<think>"), F.col("text"))
     ).otherwise(F.col("text"))
     return a.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("example_id"),
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("example_id"),
         F.col("conv_id").alias("group_id"),
         "prompt",
         text.alias("completion"),
@@ -282,7 +284,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMPLETIONS_SQL = """
-SELECT a.conv_id * 100 + a.turn AS example_id, a.conv_id AS group_id, p.text AS prompt,
+SELECT a.conv_id || '-' || a.turn AS example_id, a.conv_id AS group_id, p.text AS prompt,
        CASE WHEN (a.conv_id + a.turn) % 3 = 0 THEN '<think>' || p.text || '</think>' || a.text
             WHEN (a.conv_id + a.turn) % 3 = 1 THEN '<think>' || a.text
             ELSE a.text END AS completion,

@@ -219,7 +219,7 @@ def test_apply_chat_template_prompt_completion(spark):
     assert out[0].prompt == "<|im_start|>user\nHi<|im_end|>\n<|im_start|>assistant\n"
     assert out[0].completion == "Yo<|im_end|>\n"
     assert out[0].reject_reason is None
-    assert out[1].reject_reason == "Invalid role in the last message: system"
+    assert out[1].reject_reason == "last message has no user or assistant role: system"
 
 
 def test_common_prefix(spark):
@@ -237,7 +237,7 @@ def test_apply_chat_template_strict_raises(spark):
 
     schema = "prompt array<struct<role:string,content:string>>, completion array<struct<role:string,content:string>>"
     df = spark.createDataFrame([([("system", "s")], [("assistant", "x")])], schema)
-    with pytest.raises(Exception, match="Invalid role in the last message"):
+    with pytest.raises(Exception, match="last message has no user or assistant role"):
         fm.apply_chat_template(df, strict=True).collect()
 
 

@@ -89,8 +89,3 @@ def sigmoid(x: Column) -> Column:
 def softplus(x: Column) -> Column:
     """``log(1 + exp(x))`` in the stable form."""
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
-
-
-def log1m_exp(x: Column) -> Column:
-    """F8: ``log(1 - exp(x))`` for ``x < 0`` (log-odds helper)."""
-    return F.log1p(-F.exp(x))

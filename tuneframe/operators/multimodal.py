@@ -39,9 +39,9 @@ def prepare_multimodal(df: DataFrame, messages: str = "messages", images: str =
     prepared = F.transform(m, lambda x, i: F.struct(x["role"].alias("role"), blocks(x, i).alias("content")))
     bad_role = F.exists(m, lambda x: ~x["role"].isin(*ROLES))
     placeholders = F.when(first_user > 0, n_img).otherwise(F.lit(0))
-    reason = F.when(bad_role, F.lit("Invalid role in message")).when(
+    reason = F.when(bad_role, F.lit("message role is none of the known ones")).when(
         placeholders != n_img,
-        F.concat(F.lit("Number of images provided ("), n_img.cast("string"), F.lit(") does not match number of image placeholders ("),
+        F.concat(F.lit("images given ("), n_img.cast("string"), F.lit(") differ from placeholders ("),
                  placeholders.cast("string"), F.lit(")")),
     )
     rest = [c for c in df.columns if c != messages]

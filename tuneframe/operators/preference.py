@@ -110,7 +110,7 @@ def pair_loss(
         y = ((cc - rc) - (c0c - r0c)) * b
         m = sigmoid(y / discopop_tau)
         return -log_sigmoid(y) * (1 - m) + F.exp(-y) * m
-    raise ValueError(f"Unknown loss type: {loss_type}")
+    raise ValueError(f"no such loss: {loss_type}")
 
 
 def running_reward_mean(df: DataFrame, beta: float, step: str = "step", c="c", r="r", c0="c0", r0="r0") -> DataFrame:
@@ -175,7 +175,7 @@ def unpaired_report(df: DataFrame, beta: float, kl: Column, step: str = "step",
         des_loss = 1 - sigmoid(b * ratio)
         und_loss = sigmoid(b * ratio)
     else:
-        raise ValueError(f"Unknown loss type: {loss_type}")
+        raise ValueError(f"no such loss: {loss_type}")
     loss = F.when(F.col(label), des_loss * desirable_weight).otherwise(und_loss * undesirable_weight)
     rew = b * ratio
     g = df.groupBy(step).agg(
@@ -312,7 +312,7 @@ def cpo_loss(c: Column, r: Column, loss_type: str, beta: float, label_smoothing:
     elif loss_type == "ipo":
         loss = F.pow(logits - 1 / (2 * beta), 2)
     else:
-        raise ValueError(f"Unknown loss type: {loss_type}")
+        raise ValueError(f"no such loss: {loss_type}")
     return {"loss": loss, "chosen_reward": F.lit(beta) * cw, "rejected_reward": F.lit(beta) * rw}
 
 

@@ -37,7 +37,6 @@ ANNOTATION_ERROR_PREFIXES = (
     r"Calculate $\sqrt{10p}",
     r"Simplify $\sqrt{28x}",
 )
-TLDR_FORMAT = "SUBREDDIT: r/{subreddit}\n\nTITLE: {title}\n\nPOST: {post}\n\nTL;DR:"
 CNNDM_BATCHES = ["batch0_cnndm", "cnndm0", "cnndm2"]
 REDDIT_BATCHES = [f"batch{i}" for i in range(3, 23)] + ["edit_b2_eval_test"]
 

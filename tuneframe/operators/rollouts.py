@@ -57,7 +57,7 @@ def group_advantages(
     sample std; ``'none'`` leaves it unscaled. ``zero_std`` marks std ≈ 0.
     A group of one has no sample std: its advantage is NULL when scaled."""
     if scale not in ("group", "batch", "none"):
-        raise ValueError(f"Invalid value for scale_rewards: {scale}. Must be one of 'batch', 'group', or 'none'.")
+        raise ValueError(f"no such scale {scale!r}: group, batch or none")
     out = df.join(group_stats(df, group, reward), group)
     std = F.col("group_std")
     if scale == "batch":
@@ -190,7 +190,3 @@ def attach_prompt_columns(rollouts: DataFrame, prompts: DataFrame, key: str = "g
     """Every generation of a prompt gets the prompt's extra columns
     (an equi-join; AQE broadcasts the prompt side only when it is small)."""
     return rollouts.join(prompts, key)
-
-
-def score_column(c: Column | str) -> Column:
-    return col(c)

@@ -36,7 +36,7 @@ def _with_images(spark, d):
     """SELECT example_id, CASE WHEN u IS NULL AND len(images) > 0 THEN NULL ELSE
          array_to_string(list_transform(messages, lambda m, i: m.role || ':' || CASE WHEN i = u THEN
              array_to_string(list_transform(images, lambda x: '[img:' || x || ']'), '') ELSE '' END || m.content), '|') END AS rendered,
-         CASE WHEN u IS NULL AND len(images) > 0 THEN 'Number of images provided (' || len(images) || ') does not match number of image placeholders (0)' END AS reject_reason
+         CASE WHEN u IS NULL AND len(images) > 0 THEN 'images given (' || len(images) || ') differ from placeholders (0)' END AS reject_reason
        FROM (SELECT example_id, messages, images, list_position(list_transform(messages, lambda m: m.role = 'user'), true) AS u
              FROM (SELECT example_id, messages, CASE WHEN example_id % 3 > 0 THEN list_transform(range(example_id % 3), lambda j: 'img://' || example_id || '/' || j) ELSE [] END AS images FROM msgs))""",
     "msgs"))

@@ -59,7 +59,7 @@ def prompt_completion_template(spark, d):
 
 _REJECT_SQL = with_views(
     """SELECT CASE WHEN len(messages) < 2 THEN 'conversation needs at least two messages'
-       ELSE 'Invalid role in the last message: ' || messages[-2].role END AS reason, CAST(count(*) AS BIGINT) AS n
+       ELSE 'last message has no user or assistant role: ' || messages[-2].role END AS reason, CAST(count(*) AS BIGINT) AS n
     FROM msgs WHERE len(messages) < 2 OR messages[-2].role NOT IN ('user', 'assistant') GROUP BY 1""",
     "msgs",
 )

@@ -47,7 +47,7 @@ def mixture(frames: Sequence[DataFrame], columns: Sequence[str] | None = None) -
     """Concatenate datasets (optionally a column subset of each);
     an empty mixture is an error and schemas must agree by name."""
     if not frames:
-        raise ValueError("No datasets were loaded from the mixture configuration")
+        raise ValueError("a mixture needs at least one dataset")
     parts = [f.select(*columns) if columns else f for f in frames]
     out = parts[0]
     for p in parts[1:]:

@@ -226,12 +226,12 @@ def best_of_four(spark, d):
 # R7 / R8 -------------------------------------------------------------------
 @register("tldr_prompts", """
 SELECT doc_id, 'SUBREDDIT: r/' || source || chr(10) || chr(10) || 'TITLE: ' || lang || chr(10) || chr(10) || 'POST: ' || text
-       || chr(10) || chr(10) || 'TL;DR:' AS prompt, ' ' || left(text, 80) AS completion FROM documents""")
+       || chr(10) || chr(10) || 'TL;DR:' AS prompt, ' ' || text AS completion FROM documents""")
 def tldr_prompts(spark, d):
     """Posts -> summary prompt / completion."""
     docs = vw.table(spark, d, "documents").select(
         "doc_id", F.col("source").alias("subreddit"), F.col("lang").alias("title"), F.col("text").alias("post"),
-        F.left("text", F.lit(80)).alias("summary"),
+        F.col("text").alias("summary"),
     )
     return rc.posts_to_prompt_completion(docs)
 
@@ -244,7 +244,7 @@ def _comparisons(spark, d):
     ).otherwise(F.lit("unlisted"))
     info = F.struct(F.col("source").alias("title"), F.col("chosen").alias("article"), F.col("chosen").alias("post"),
                     F.lit("writing").alias("subreddit"))
-    summaries = F.array(F.struct(F.left("chosen", F.lit(100)).alias("text")), F.struct(F.left("rejected", F.lit(100)).alias("text")))
+    summaries = F.array(F.struct(F.col("chosen").alias("text")), F.struct(F.col("rejected").alias("text")))
     return p.select("example_id", batch.alias("batch"), (F.col("example_id") % 2).cast("int").alias("choice"),
                     info.alias("info"), summaries.alias("summaries"))
 
@@ -258,8 +258,8 @@ _NL2 = "chr(10) || chr(10)"
          CASE WHEN num <= 2 THEN 'TITLE: ' || source || {_NL2} || replace(chosen, {_NL2}, chr(10)) || {_NL2} || 'TL;DR:'
               WHEN num <= 18 THEN 'SUBREDDIT: r/writing' || {_NL2} || 'TITLE: ' || source || {_NL2} || 'POST: '
                    || replace(chosen, {_NL2}, chr(10)) || {_NL2} || 'TL;DR:' END AS prompt,
-         CASE WHEN example_id % 2 = 0 THEN left(chosen, 100) ELSE left(rejected, 100) END AS chosen,
-         CASE WHEN example_id % 2 = 0 THEN left(rejected, 100) ELSE left(chosen, 100) END AS rejected,
+         CASE WHEN example_id % 2 = 0 THEN chosen ELSE rejected END AS chosen,
+         CASE WHEN example_id % 2 = 0 THEN rejected ELSE chosen END AS rejected,
          CASE WHEN num > 18 THEN 'Unknown batch: unlisted' END AS reject_reason
        FROM b"""))
 def tldr_preference(spark, d):
@@ -270,12 +270,12 @@ def tldr_preference(spark, d):
 # R9 / R10 ------------------------------------------------------------------
 @register("image_pairs", """
 SELECT page_id, '<|im_start|>user' || chr(10) || '[image]' || url || '<|im_end|>' || chr(10) AS prompt, 'page://' || page_id AS image,
-       left(html, 40) AS chosen, substr(html, 41, 40) AS rejected FROM pages""")
+       left(html, length(html) // 2) AS chosen, substr(html, length(html) // 2 + 1) AS rejected FROM pages""")
 def image_pairs(spark, d):
     """Image question pairs -> multimodal conversational preference."""
     pg = vw.table(spark, d, "pages").select(
         "page_id", F.col("url").alias("question"), F.concat(F.lit("page://"), F.col("page_id").cast("string")).alias("image"),
-        F.left("html", F.lit(40)).alias("chosen"), F.substring("html", 41, 40).alias("rejected"),
+        F.expr("left(html, length(html) div 2)").alias("chosen"), F.expr("substring(html, length(html) div 2 + 1)").alias("rejected"),
     )
     out = rc.image_question_pairs(pg)
     blocks = lambda m: F.array_join(F.transform(m["content"], lambda b: F.when(b["type"] == "image", F.lit("[image]")).otherwise(b["text"])), "")

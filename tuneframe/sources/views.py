@@ -51,8 +51,9 @@ FROM conversations GROUP BY conv_id
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Implicit-prompt preference pairs (``chosen, rejected`` texts).
 
-    Labelled documents of one ``source``: the k-th good document (quality 1,
-    by ``doc_id``) is paired with the k-th poor one. Ranks inside a source use
+    Labelled documents of one ``source``: every good document (quality 1) is
+    paired with a poor one, the k-th by ``doc_id`` with the k-th, starting again
+    when the poor ones are used up. Ranks inside a source use
     the skew-safe ``group_rank`` (one source may hold a large share of rows).
     """
     docs = table(spark, sf_dir, "documents")
@@ -62,6 +63,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = group_rank(keys, ["source", "quality"], ["doc_id"], "k")
     good = ranked.filter("quality = 1").select("source", "k", F.col("doc_id").alias("example_id"))
     poor = ranked.filter("quality = 0").select("source", "k", F.col("doc_id").alias("rejected_doc"))
+    n_poor = poor.groupBy("source").agg(F.count(F.lit(1)).alias("n_poor"))
+    good = good.join(n_poor, "source").withColumn("k", (F.col("k") - 1) % F.col("n_poor") + 1).drop("n_poor")
     text = docs.select("doc_id", "text")
     pairs_ = good.join(poor, ["source", "k"])
     pairs_ = pairs_.join(text.withColumnRenamed("doc_id", "example_id").withColumnRenamed("text", "chosen"), "example_id")
@@ -72,10 +75,12 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS_SQL = """
 WITH lab AS (
   SELECT d.doc_id, d.text, d.source, l.quality,
-         row_number() OVER (PARTITION BY d.source, l.quality ORDER BY d.doc_id) AS k
+         row_number() OVER (PARTITION BY d.source, l.quality ORDER BY d.doc_id) AS k,
+         count(*) FILTER (WHERE l.quality = 0) OVER (PARTITION BY d.source) AS n_poor
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
 SELECT g.doc_id AS example_id, p.doc_id AS rejected_doc, g.source, g.text AS chosen, p.text AS rejected
-FROM lab g JOIN lab p ON g.source = p.source AND g.k = p.k AND g.quality = 1 AND p.quality = 0
+FROM lab g JOIN lab p ON g.source = p.source AND g.quality = 1 AND p.quality = 0 AND g.n_poor > 0
+  AND p.k = CASE WHEN g.n_poor > 0 THEN (g.k - 1) % g.n_poor + 1 END
 """
 
 

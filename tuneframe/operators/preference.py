@@ -215,10 +215,15 @@ def pairwise_accuracy(df: DataFrame, s0: str, s1: str, label: str, by: Sequence[
     )
 
 
-def token_accuracy(df: DataFrame, preds: str, labels: str, by: Sequence[str] = (), ignore: int = -100) -> DataFrame:
+def token_accuracy(df: DataFrame, preds: str, labels: str, by: Sequence[str] = (), ignore: int = -100, next_token: bool = False) -> DataFrame:
     """A10: Σcorrect / Σvalid over tokens whose label is not ``ignore``
-    (0 when there is no valid token). Per-row sums first, then one aggregate."""
-    pairs = F.arrays_zip(F.col(preds).alias("p"), F.col(labels).alias("l"))
+    (0 when there is no valid token). Per-row sums first, then one aggregate.
+    ``next_token``: the prediction at a place is for the label one place on."""
+    p, lab = F.col(preds), F.col(labels)
+    if next_token:
+        n = F.greatest(F.size(lab) - 1, F.lit(0))
+        p, lab = F.slice(p, F.lit(1), n), F.slice(lab, F.lit(2), n)
+    pairs = F.arrays_zip(p.alias("p"), lab.alias("l"))
     valid = F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + F.when(x["l"] != ignore, 1).otherwise(0))
     correct = F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + F.when((x["l"] != ignore) & (x["p"] == x["l"]), 1).otherwise(0))
     g = df.groupBy(*by).agg(F.sum(correct).alias("correct"), F.sum(valid).alias("valid"))

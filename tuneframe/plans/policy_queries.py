@@ -269,3 +269,18 @@ def game_report(spark, d):
     scored comparison, KL, score, margins)."""
     t = vw.rtokens(spark, d).withColumn("probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("reward_a") - 25.0) / 10.0)))
     return po.game_report(t, 0.1)
+
+
+@register("game_report_masked", with_views(
+    """SELECT step, avg(0.1 * kll - (p - 0.5) * lps) AS loss, avg((p - 0.5) * lps) AS score, avg(lps - rfs) AS kl,
+              avg(lps) AS logps_chosen, avg(rfs) AS logps_rejected, avg(p) AS probabilities, avg(-lps) AS entropy,
+              avg(lps - rfs) AS margins, avg(CASE WHEN lps - rfs > 0 THEN 1.0 ELSE 0.0 END) AS accuracies
+       FROM (SELECT step, list_sum(list_transform(list_zip(logps, mask), lambda z: z[1] * z[2])) AS lps,
+                    list_sum(list_transform(list_zip(ref_logps, mask), lambda z: z[1] * z[2])) AS rfs,
+                    list_sum(list_transform(list_zip(logps, ref_logps, mask), lambda z: (z[1] - z[2]) * z[1] * z[3])) AS kll,
+                    1.0 / (1.0 + exp(-(reward_a - 25.0) / 10.0)) AS p FROM rtokens)
+       GROUP BY step""", "rtokens"))
+def game_report_masked(spark, d):
+    """A30 over completion tokens only (masked tokens are padding)."""
+    t = vw.rtokens(spark, d).withColumn("probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("reward_a") - 25.0) / 10.0)))
+    return po.game_report(t, 0.1, mask="mask")

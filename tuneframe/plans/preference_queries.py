@@ -353,3 +353,17 @@ def ref_policy_pairs(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum(F.length("completion")).alias("policy_chars"),
         F.sum(F.length("solution")).alias("reference_chars"),
     )
+
+
+@register("token_accuracy_next", tok_sql(
+    """SELECT CAST(sum(c) AS BIGINT) AS correct, CAST(sum(v) AS BIGINT) AS valid, coalesce(sum(c) / nullif(sum(v), 0), 0.0) AS accuracy FROM (
+         SELECT list_sum(list_transform(list_zip(pr, lb), lambda z: CASE WHEN z[2] <> -100 AND z[1] = z[2] THEN 1 ELSE 0 END)) AS c,
+                list_sum(list_transform(lb, lambda x: CASE WHEN x <> -100 THEN 1 ELSE 0 END)) AS v
+         FROM (SELECT list_slice(input_ids, 1, len(input_ids) - 1) AS pr,
+                      list_slice(list_transform(input_ids, lambda x, i: CASE WHEN i <= len(prompt_ids) THEN -100 ELSE x END), 2, len(input_ids)) AS lb FROM ids))"""))
+def token_accuracy_next(spark, d):
+    """A10 in next-token form: the stand-in prediction at each place is that
+    place's own token, right where a token repeats."""
+    t = sft.tokenized(spark, d)
+    t = t.select(F.col("input_ids").alias("preds"), tk.lm_labels("input_ids", "completion_mask").alias("labels"))
+    return pf.token_accuracy(t, "preds", "labels", next_token=True)

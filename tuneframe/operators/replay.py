@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import global_rank
-from .sampling import weighted_sample, weighted_sample_with_replacement
+from .sampling import weighted_draws, weighted_sample, weighted_sample_with_replacement
 
 
 def group_replay_scores(adv: DataFrame, group: str = "group_id", step: str = "step") -> DataFrame:
@@ -33,25 +33,20 @@ def buffer_add(scored: DataFrame, capacity: int, group: str = "group_id") -> Dat
     return cand.orderBy(F.col("score").desc(), F.col("arrival"), F.col(group)).limit(capacity)
 
 
-def sample_buffer(buffer: DataFrame, n: int, group: str = "group_id", seed: int = 0) -> DataFrame:
-    """``n`` groups ∝ score, without replacement when the buffer is large
-    enough, with replacement otherwise (needs ``n``: a driver-side count of
-    the bounded buffer decides)."""
-    size = buffer.count()
-    if n <= size:
+def sample_buffer(buffer: DataFrame, n: int, group: str = "group_id", seed: int = 0, replacement: bool = False) -> DataFrame:
+    """``n`` groups ∝ score, without replacement (at most the buffer's
+    groups) or with; a caller that needs more groups than the buffer holds asks
+    for replacement."""
+    if not replacement:
         return weighted_sample(buffer, n, "score", group, seed).withColumn("draw", F.lit(None).cast("long"))
     return weighted_sample_with_replacement(buffer, n, "score", group, seed)
 
 
 def replace_zero_variance(scored: DataFrame, buffer: DataFrame, group: str = "group_id", seed: int = 0) -> DataFrame:
-    """Groups without reward variance are replaced by groups drawn from
-    the buffer; the k-th group to replace (by key) gets the k-th draw.
+    """Groups without reward variance are replaced by groups drawn from the
+    buffer with replacement; the k-th group to replace (by key) gets draw k - 1.
     Returns ``(group_id, replacement_group_id)`` for the replaced groups."""
-    todo = scored.filter(~F.col("has_variance")).select(group)
-    n = todo.count()
-    if n == 0:
-        return todo.withColumn("replacement_group_id", F.lit(None).cast("long"))
-    drawn = sample_buffer(buffer, n, group, seed).select(F.col(group).alias("replacement_group_id"), "score")
-    drawn = global_rank(drawn.withColumn("_tf_o", F.xxhash64("replacement_group_id", F.lit(seed))), ["_tf_o", "replacement_group_id", "score"], "k")
-    todo = global_rank(todo, [group], "k")
-    return todo.join(drawn.select("k", "replacement_group_id"), "k").drop("k")
+    todo = global_rank(scored.filter(~F.col("has_variance")).select(group), [group], "k")
+    todo = todo.select(F.col(group).alias("_tf_group"), (F.col("k") - 1).alias("draw"))
+    drawn = weighted_draws(todo, buffer, "score", group, seed)
+    return drawn.select(F.col("_tf_group").alias(group), F.col(group).alias("replacement_group_id"))

@@ -1,6 +1,6 @@
 """Sampling, splitting and ordering.
 
-Randomness is hash-seeded (``xxhash64(key, seed)``): the same seed gives the
+Randomness is hash-seeded (``md5(key|seed)``): the same seed gives the
 same split/sample on any cluster layout and after any task retry, unlike
 ``rand()`` whose value depends on the partition. Positions come from the
 parallel ``global_rank`` (no single-partition window).
@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 
 from .ordering import global_rank
 
-_U_BITS = 1 << 53
+_U_BITS = 1 << 52
 
 
 def uniform(key: Column | str, seed: int) -> Column:
-    """Deterministic uniform value in (0, 1) from a key and a seed."""
+    """Deterministic uniform value in (0, 1) from a key and a seed: the first 13
+    hex digits of ``md5(key|seed)``, which other engines compute alike."""
     k = F.col(key) if isinstance(key, str) else key
-    return (F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(_U_BITS)).cast("double") + 0.5) / float(_U_BITS)
+    digits = F.substring(F.md5(F.concat(k.cast("string"), F.lit(f"|{seed}"))), 1, 13)
+    return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / float(_U_BITS)
+
+
+def uniform_sql(key: str, seed: int) -> str:
+    """:func:`uniform` in DuckDB."""
+    return f"((('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 13))::BIGINT + 0.5) / {float(_U_BITS)})"
 
 
 def split_fraction(df: DataFrame, key: str, test_size: float, seed: int = 0) -> DataFrame:
@@ -92,17 +99,21 @@ def weighted_sample(df: DataFrame, n: int, weight: str, key: str, seed: int = 0)
 
 
 def weighted_sample_with_replacement(buffer: DataFrame, n: int, weight: str, key: str, seed: int = 0) -> DataFrame:
-    """L6 with replacement, for a *bounded* table (a replay buffer of fixed
-    capacity): the buffer's cumulative weights are one sorted array (size =
-    capacity), each of the ``n`` draws finds its item by binary search."""
+    """L6 with replacement: ``n`` draws (0 .. n - 1), see :func:`weighted_draws`."""
+    return weighted_draws(buffer.sparkSession.range(n).withColumnRenamed("id", "draw"), buffer, weight, key, seed)
+
+
+def weighted_draws(draws: DataFrame, buffer: DataFrame, weight: str, key: str, seed: int = 0) -> DataFrame:
+    """A draw with probability proportional to ``weight`` for every row of
+    ``draws`` (its column ``draw`` seeds it), from a *bounded* table (a replay
+    buffer of fixed capacity): the buffer's cumulative weights are one sorted
+    array (size = capacity), each draw finds its item by binary search."""
     w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = buffer.filter(F.col(weight) > 0).withColumn("_tf_c", F.sum(weight).over(w))
     table = cum.agg(
         F.array_sort(F.collect_list(F.struct(F.col("_tf_c").alias("c"), F.col(key).alias("k")))).alias("_tf_items"),
         F.max("_tf_c").alias("_tf_total"),
     )
-    spark = buffer.sparkSession
-    draws = spark.range(n).withColumnRenamed("id", "draw")
     d = draws.join(F.broadcast(table), how="inner", on=F.lit(True)).withColumn("_tf_x", uniform("draw", seed) * F.col("_tf_total"))
     size = F.size("_tf_items")
     steps = F.sequence(F.lit(0), F.ceil(F.log2(size.cast("double") + 1)).cast("int"))
@@ -114,5 +125,5 @@ def weighted_sample_with_replacement(buffer: DataFrame, n: int, weight: str, key
         return F.when(lo < hi, F.struct(F.when(go_left, lo).otherwise(mid + 1).alias("lo"), F.when(go_left, mid).otherwise(hi).alias("hi"))).otherwise(acc)
 
     idx = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), (size - 1).alias("hi")), step)["lo"]
-    picked = d.select("draw", F.element_at("_tf_items", idx + 1)["k"].alias(key))
+    picked = d.select(*draws.columns, F.element_at("_tf_items", idx + 1)["k"].alias(key))
     return picked.join(buffer, key)

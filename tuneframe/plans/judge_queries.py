@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.sampling import uniform_sql
 from ..operators import judging as jd
 from ..sources import views as vw
 from ..sources.views import build_sql, with_views
@@ -54,11 +55,13 @@ def verdict_unflip(spark, d):
     return v.select("example_id", jd.unflip("judge_a", "flipped").alias("rank"))
 
 
-@register("judge_flip_sample")
+@register("judge_flip_sample", with_views(
+    f"""SELECT example_id, flipped, CAST(length(CASE WHEN flipped THEN completion ELSE solution END) AS INTEGER) AS first_len,
+               CAST(length(CASE WHEN flipped THEN solution ELSE completion END) AS INTEGER) AS second_len
+        FROM (SELECT *, {uniform_sql('example_id', 7)} < 0.5 AS flipped FROM completions)""", "completions"))
 def judge_flip_sample(spark, d):
-    """G1: hash-seeded order randomisation of candidate pairs (no SQL twin:
-    the hash is Spark's); tests check that flipping twice is the identity and
-    that about half the rows flip."""
+    """G1: hash-seeded order randomisation of candidate pairs; tests check that
+    flipping twice is the identity and that about half the rows flip."""
     c = vw.completions(spark, d).select("example_id", "solution", "completion")
     f = jd.flip_pair(c, "solution", "completion", jd.flip_flag("example_id", seed=7))
     return f.select("example_id", "flipped", F.length("solution").alias("first_len"), F.length("completion").alias("second_len"))

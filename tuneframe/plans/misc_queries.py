@@ -15,10 +15,11 @@ from .rollout_queries import _SCORED_CTE, _scored
 
 
 # ---------------------------------------------------------------- sampling
-@register("split_fraction")
+@register("split_fraction", with_views(
+    f"SELECT CASE WHEN {sm.uniform_sql('example_id', 42)} < 0.1 THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM rollouts GROUP BY 1", "rollouts"))
 def split_fraction(spark, d):
-    """L1: seeded ~10 % test split by hash threshold (hash-based: no SQL twin;
-    tests check stability and the share)."""
+    """L1: seeded ~10 % test split by hash threshold; tests check stability and
+    the share."""
     c = vw.rollouts(spark, d).select("example_id")
     return sm.split_fraction(c, "example_id", 0.1, seed=42).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
@@ -76,35 +77,44 @@ def _replay_scores(spark, d):
     return rp.group_replay_scores(adv)
 
 
-@register("replay_buffer", build_sql(["rollouts"], [
+_BUFFER_CTES = [
     _SCORED_CTE,
     ("g", "SELECT group_id, avg(reward) AS gm, stddev_samp(reward) AS gs FROM scored GROUP BY group_id"),
     ("a", "SELECT group_id, step, (reward - gm) / (gs + 1e-4) AS adv, gs FROM scored JOIN g USING (group_id)"),
-    ("sc", "SELECT group_id, sum(abs(adv)) * first(gs) AS score, min(step) AS arrival FROM a WHERE gs > 0 GROUP BY group_id")],
-    "SELECT group_id, score, arrival FROM sc ORDER BY score DESC, arrival, group_id LIMIT 64"))
+    ("sc", "SELECT group_id, sum(abs(adv)) * first(gs) AS score, min(step) AS arrival FROM a WHERE gs > 0 GROUP BY group_id"),
+    ("buf", "SELECT group_id, score, arrival FROM sc ORDER BY score DESC, arrival, group_id LIMIT 64"),
+]
+
+
+@register("replay_buffer", build_sql(["rollouts"], _BUFFER_CTES, "SELECT * FROM buf"))
 def replay_buffer(spark, d):
     """A 64-group replay buffer fed with every group that has reward variance."""
     buf = rp.buffer_add(_replay_scores(spark, d), 64)
     return buf.select("group_id", "score", "arrival")
 
 
-@register("replay_sample")
+@register("replay_sample", build_sql(["rollouts"], _BUFFER_CTES,
+    f"SELECT group_id, score FROM buf ORDER BY -ln({sm.uniform_sql('group_id', 5)}) / score, group_id LIMIT 16"))
 def replay_sample(spark, d):
     """16 groups drawn from the buffer with probability ∝ score (no replacement)."""
     buf = rp.buffer_add(_replay_scores(spark, d), 64)
     return rp.sample_buffer(buf, 16, seed=5).select("group_id", "score")
 
 
-@register("replay_fill")
+@register("replay_fill", build_sql(["rollouts"], _BUFFER_CTES + [
+    ("cum", "SELECT group_id, sum(score) OVER (ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM buf"),
+    ("todo", "SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS draw FROM g WHERE coalesce(gs, 0) <= 0")],
+    f"""SELECT todo.group_id, min(cum.group_id) AS replacement_group_id
+        FROM todo JOIN cum ON cum.c > {sm.uniform_sql('draw', 9)} * (SELECT max(c) FROM cum) GROUP BY todo.group_id"""))
 def replay_fill(spark, d):
     """Every zero-variance group gets a replacement drawn from the buffer
-    (with replacement when more are needed than the buffer holds)."""
+    with replacement."""
     sc = _replay_scores(spark, d)
     buf = rp.buffer_add(sc, 64)
     return rp.replace_zero_variance(sc, buf, seed=9)
 
 
-@register("embedding_sample")
+@register("embedding_sample", f"SELECT vec_id, label FROM embeddings ORDER BY -ln({sm.uniform_sql('vec_id', 1)}), vec_id LIMIT 512")
 def embedding_sample(spark, d):
     """512 embedding rows drawn uniformly without replacement (hash-seeded)."""
     e = vw.table(spark, d, "embeddings").select("vec_id", "label").withColumn("w", F.lit(1.0))

@@ -129,7 +129,9 @@ class Mix:
                     draws.append((k, at, i, used[i], n, plan[i][5]))
                 at, used[i] = at + n, used[i] + n
         runs = spark.createDataFrame(draws, "out_shard int, at long, source_id int, first long, n long, n_blocks long")
-        runs = runs.withColumn("step", F.explode(F.expr(f"sequence(0L, n - 1, {STEP}L)"))).repartition(F.col("out_shard"), F.col("source_id"), F.col("step"))
+        runs = runs.withColumn("step", F.explode(F.expr(f"sequence(0L, n - 1, {STEP}L)")))
+        # few rows that become very many: a fixed number of tasks, which isn't merged by size
+        runs = runs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "out_shard", "source_id", "step")
         each = runs.withColumn("k", F.explode(F.expr(f"sequence(step, least(step + {STEP - 1}L, n - 1))")))
         each = each.withColumn("pass_no", F.floor((F.col("first") + F.col("k")) / F.col("n_blocks")).cast("int")).withColumn("turn", (F.col("first") + F.col("k")) % F.col("n_blocks"))
         self.slots = scratch.save(

@@ -272,9 +272,11 @@ def near_duplicates(
         by_size = reach.join(other(held.withColumn("cell", cell(F.col("n"))), "pivot", "cell"), ["pivot", "cell"]).where(
             may & (common * 100 >= percent * (F.col("n") + F.col("n_2") - common))
         )
-        grams_ = family.withColumn("gram", F.explode("outside")).drop("outside")
-        twice = grams_.groupBy("pivot", "gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("pivot", "gram")
-        grams_ = scratch.save(grams_.join(twice, ["pivot", "gram"], "left_semi"))
+        # narrow rows first; the bitmaps join those that two components share
+        slim = family.select("pivot", "node", "comp", F.explode("outside").alias("gram"))
+        twice = slim.groupBy("pivot", "gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("pivot", "gram")
+        slim = slim.select("pivot", "gram", "node").join(twice, ["pivot", "gram"], "left_semi")
+        grams_ = scratch.save(slim.join(family.drop("outside"), ["pivot", "node"]))
         by_gram = grams_.join(other(grams_, "pivot", "gram"), ["pivot", "gram"]).where((F.col("node") < F.col("node_2")) & may)
         pair = [F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")]
         return by_size.select(*pair).unionByName(by_gram.select(*pair)).distinct()

@@ -77,7 +77,8 @@ def drop_recurring_lines(docs: DataFrame, *, id_column: str = "doc_id", text_col
     gone = scratch.save(gone.groupBy("uid").agg(F.sort_array(F.collect_list("line_no")).alias("_gone")).withColumnRenamed("uid", "_uid"))
     lines = F.split(text_column, "\n")
     kept = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n"))
-    out = docs.withColumn("_uid", uid).join(gone, "_uid", "left")
+    # both sides grow with the corpus: one plan at every size
+    out = docs.withColumn("_uid", uid).hint("merge").join(gone, "_uid", "left")
     return out.withColumns({
         "n_lines": F.coalesce(F.when(F.col(text_column).isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("long"),
         "n_dropped": F.coalesce(F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")), F.lit(0)).cast("long"),

@@ -1,6 +1,7 @@
 """Operators over texts: plain Python versions and defined cases."""
 
 import random
+import textwrap
 
 import pyarrow as pa
 import pytest
@@ -237,3 +238,14 @@ def test_op5_equals_a_count_from_scratch(spark):
             n, t = want.get((r.source, r.lang), (0, 0))
             want[r.source, r.lang] = (n + 1, t + len(encoding.encode_ordinary(text)))
     assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in queries.QUERIES["op5_token_rollup"](spark, SF).collect()} == want
+
+
+def test_every_license_template_verbatim_and_rewrapped(spark):
+    shapes = {}
+    for name, (_, text) in licenses.TEMPLATES.items():
+        flat = " ".join(text.split())
+        for k, notice in enumerate([text, flat, *(textwrap.fill(flat, w, break_long_words=False, break_on_hyphens=False) for w in (1, 20, 40, 72, 120))]):
+            shapes[len(shapes)] = (name, k, "Some code here.\n\n" + notice + "\n\nMore prose follows.", notice.count("\n"))
+    rows = [(i, t) for i, (_, _, t, _) in shapes.items()]
+    got = [(r.doc_id, r.template, r.first_line, r.last_line, r.n_missing + r.n_extra) for r in licenses.license_notices(frame(spark, rows)).collect()]
+    assert sorted(got) == [(i, name, 2, 2 + n, 0) for i, (name, _, _, n) in shapes.items()]

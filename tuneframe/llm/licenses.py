@@ -1,28 +1,32 @@
 """License notices in documents by conditional compression (operator 1).
 
-A line that holds a trigger word starts a candidate block; trigger lines at most
-``GAP`` lines apart share one. Each block is compressed with zstandard alone and
-with every template as a raw dictionary: the share of the compressed size that a
-template saves ranks it. From the best down, a template wins if its words and the
-block's, aligned, differ in at most ``difference_share`` of the template's words;
-the lines it covers are then taken, and the rest of the block goes on to the next
-template. The result states the exact words that are missing, extra or changed.
+A text is one sequence of words with the line of each, so wrapping, comment marks
+and the words around a notice don't count. Per template, only stretches can hold it
+where as many words as a span may have (its words and the allowed extra ones)
+include enough words of its vocabulary; this bound is exact. In these stretches the
+alignment decides: a notice lacks at most ``difference_share`` of the template's
+words, and missing and extra words together are at most twice that. Spans that
+overlap are ranked by the bytes that zstandard saves on the span with the template
+as a raw dictionary; the words of the best are taken, and the words between go on.
+The result states the exact words that are missing or extra.
 
 The work is one pass without a shuffle: a native filter keeps the documents with
-a trigger word, and their lines are read in Arrow batches; templates are a few
+a trigger word, and their texts are read in Arrow batches; templates are a few
 short texts. Compression sees lower case and single spaces, so layout and case
 don't count. A document's findings are several rows.
 
-Defined cases: null and empty texts have no blocks; null ids are carried through;
-repeated rows are found each; ties in rank go by template name; extra columns are
-ignored; no document is shortened, whatever its length."""
+Defined cases: null and empty texts have no notices; nor has a document without
+any trigger word; null ids are carried through; repeated rows are found each; ties
+in rank go by template name, then position; extra columns are ignored; no document
+is shortened, whatever its length."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,85 +34,163 @@ from pyspark.sql import functions as F
 from .license_texts import TEMPLATES, TRIGGERS
 from .words import chunks
 
-GAP, LEVEL = 3, 3
+LEVEL = 3
+WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 FOUND = "doc_id long, license string, template string, first_line long, last_line long, saved double, n_missing long, n_extra long, differences array<string>"
 
 
 def words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())
+    return WORD.findall(text.lower())
 
 
 def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+class Template:
+    """A notice's word codes and how far a span may differ."""
+
+    def __init__(self, name: str, license_: str, text: str, codes: list[int], share: float):
+        import zstandard
+
+        raw = zstandard.ZstdCompressionDict(plain(text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.name, self.license, self.codes, self.words = name, license_, codes, words(text)
+        self.most_missing, self.most = int(share * len(codes) + 1e-9), int(2 * share * len(codes) + 1e-9)
+        self.zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False)
+
+
 class Ranker:
-    """Templates as zstandard dictionaries."""
+    """Templates as word codes and as zstandard dictionaries."""
 
-    def __init__(self, templates: dict[str, tuple[str, str]]):
+    def __init__(self, templates: dict[str, tuple[str, str]], share: float):
         import zstandard
 
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.by_name = {}
+        self.zstd = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+        self.code: dict[str, int] = {}
+        self.templates = []
         for name, (license_, text) in sorted(templates.items()):
-            raw = zstandard.ZstdCompressionDict(plain(text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.by_name[name] = (license_, words(text), zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False))
-
-    def rank(self, block: str, least: float) -> list[tuple[float, str]]:
-        """(share of the compressed size saved, template), best first."""
-        raw = plain(block).encode()
-        alone = len(self.plain.compress(raw))
-        saved = [(1 - len(z.compress(raw)) / alone, name) for name, (_, _, z) in self.by_name.items()]
-        return sorted((x for x in saved if x[0] >= least), key=lambda x: (-x[0], x[1]))
-
-
-def _aligned(template: list[str], lines: list[list[str]], share: float) -> tuple[int, int, list[str], list[str]] | None:
-    """(first line, last line, missing, extra) of the template in the lines, or
-    None if too many of its words differ."""
-    flat, owner = [w for line in lines for w in line], [i for i, line in enumerate(lines) for _ in line]
-    match = SequenceMatcher(None, template, flat, autojunk=False)
-    pieces = [m for m in match.get_matching_blocks() if m.size]
-    if sum(m.size for m in pieces) < (1 - share) * len(template):
-        return None
-    a, b = pieces[0].b, pieces[-1].b + pieces[-1].size
-    missing, extra = [], []
-    for kind, i, j, x, y in match.get_opcodes():
-        if kind != "equal":
-            missing += template[i:j]
-            extra += flat[max(x, a) : min(y, b)]
-    if len(missing) + len(extra) > 2 * share * len(template) or len(missing) > share * len(template):
-        return None
-    return owner[a], owner[b - 1], missing, extra
-
-
-def find(text: str, ranker: Ranker, trigger: re.Pattern, least: float, share: float) -> list[tuple]:
-    """(license, template, first line, last line, saved, missing, extra) in a text."""
-    lines = text.split("\n")
-    marked = [i for i, line in enumerate(lines) if trigger.search(line)]
-    blocks: list[list[int]] = []
-    for i in marked:
-        if blocks and i - blocks[-1][1] <= GAP:
-            blocks[-1][1] = i
+            codes = [self.code.setdefault(w, len(self.code)) for w in words(text)]
+            if codes:
+                self.templates.append(Template(name, license_, text, codes, share))
+        self.holds = np.zeros((len(self.templates), len(self.code) + 1), bool)  # the last column: any other word
+        for i, t in enumerate(self.templates):
+            self.holds[i, t.codes] = True
+
+    def saved(self, span: str, t: Template) -> tuple[int, float]:
+        """(bytes, share) of the span's compressed size that the template saves."""
+        raw = plain(span).encode()
+        alone = len(self.zstd.compress(raw))
+        less = alone - len(t.zstd.compress(raw))
+        return less, less / alone
+
+
+def _extras(t: Template, text: np.ndarray) -> Iterator[np.ndarray]:
+    """For 0, 1, ... words of the template: [m, j] is the least number of extra
+    words if m of these words are missing and the span ends before word j."""
+    n, at = len(text), np.arange(len(text) + 1, dtype=np.int32)
+    e = np.full((t.most_missing + 1, n + 1), n + 1, np.int32)
+    e[0] = 0
+    yield e
+    for code in t.codes:
+        new = np.full_like(e, n + 1)
+        new[1:] = e[:-1]
+        np.minimum(new[:, 1:], np.where(text == code, e[:, :-1], n + 1), out=new[:, 1:])
+        e = np.minimum.accumulate(new - at, axis=1) + at
+        yield e
+
+
+def _trace(t: Template, text: np.ndarray, m: int, offset: int) -> tuple[int, list[str], list[int]]:
+    """(first word, missing words, positions of extra words) of the alignment
+    that ends with the text and lacks m words."""
+    layers, i, j = list(_extras(t, text)), len(t.codes), len(text)
+    first, missing, extra = j, [], []
+    while i:
+        e = layers[i][m, j]
+        if j and text[j - 1] == t.codes[i - 1] and layers[i - 1][m, j - 1] == e:
+            i, j, first = i - 1, j - 1, j - 1
+        elif m and layers[i - 1][m - 1, j] == e:
+            missing.append(t.words[i - 1])
+            i, m = i - 1, m - 1
         else:
-            blocks.append([i, i])
-    out = []
-    todo = blocks[::-1]
+            extra.append(offset + j - 1)
+            j -= 1
+    return offset + first, missing[::-1], extra[::-1]
+
+
+def _stretches(near: np.ndarray, t: Template) -> list[tuple[int, int]]:
+    """Where a window of a span's greatest length has enough words of the
+    template's vocabulary; windows that overlap are one."""
+    width, need = len(t.codes) + t.most, len(t.codes) - t.most_missing
+    total = np.concatenate([[0], np.cumsum(near)])
+    ends = np.minimum(np.arange(len(near)) + width, len(near))
+    out: list[list[int]] = []
+    for a in np.flatnonzero(total[ends] - total[:-1] >= need).tolist():
+        if out and a < out[-1][1]:
+            out[-1][1] = int(ends[a])
+        else:
+            out.append([a, int(ends[a])])
+    return [(a, b) for a, b in out]
+
+
+def _spans(t: Template, text: np.ndarray, a: int, b: int) -> list[tuple[int, int, list[str], list[int]]]:
+    """(first word, end, missing, extra) of the template in words a to b: the
+    least different first, those that overlap one of them left out."""
+    for e in _extras(t, text[a:b]):
+        last = e
+    d = last + np.arange(len(last), dtype=np.int32)[:, None]
+    ends = d <= t.most
+    ends[:, 1:] &= last[:, 1:] != last[:, :-1] + 1  # a span ends with a word of the template
+    ms, js = np.nonzero(ends)
+    out: list[tuple[int, int, list[str], list[int]]] = []
+    taken = np.zeros(b - a + 1, bool)
+    for k in np.lexsort((js, ms, d[ms, js])).tolist():
+        m, j = int(ms[k]), int(js[k])
+        if j == 0 or taken[j - 1]:
+            continue
+        low = max(0, j - len(t.codes) - t.most)
+        first, missing, extra = _trace(t, text[a + low : a + j], m, a + low)
+        if first < a + j and not taken[first - a : j].any():
+            taken[first - a : j] = True
+            out.append((first, a + j, missing, extra))
+    return out
+
+
+def find(text: str, ranker: Ranker) -> list[tuple]:
+    """(license, template, first line, last line, saved, missing, extra) in a text."""
+    text = text.lower()
+    found = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    codes = np.array([ranker.code.get(text[x:y], len(ranker.code)) for x, y in found], dtype=np.int64)
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    out, todo = [], [(0, len(found))]
     while todo:
-        a, b = todo.pop()
-        for saved, name in ranker.rank("\n".join(lines[a : b + 1]), least):
-            license_, template, _ = ranker.by_name[name]
-            hit = _aligned(template, [words(x) for x in lines[a : b + 1]], share)
-            if hit:
-                first, last, missing, extra = a + hit[0], a + hit[1], hit[2], hit[3]
-                out.append((license_, name, first, last, saved, missing, extra))
-                todo += [x for x in ([last + 1, b], [a, first - 1]) if x[0] <= x[1]]
-                break
-    return sorted(out, key=lambda x: x[2:4])
-
-
-def _scanner(templates: dict[str, tuple[str, str]], triggers: list[str], least: float, share: float):
+        low, high = todo.pop()
+        hits = []
+        for t, holds in zip(ranker.templates, ranker.holds, strict=True):
+            for a, b in _stretches(holds[codes[low:high]], t):
+                for first, end, missing, extra in _spans(t, codes, low + a, low + b):
+                    less, saved = ranker.saved(text[found[first][0] : found[end - 1][1]], t)
+                    hits.append((-less, t.name, first, end, t.license, saved, missing, extra))
+        taken: list[tuple[int, int]] = []
+        for _, name, first, end, license_, saved, missing, extra in sorted(hits, key=lambda x: x[:4]):
+            at = bisect_left(taken, (first, end))
+            if (at and taken[at - 1][1] > first) or (at < len(taken) and taken[at][0] < end):
+                continue
+            taken.insert(at, (first, end))
+            lines = bisect_left(breaks, found[first][0]), bisect_left(breaks, found[end - 1][0])
+            out.append((first, (license_, name, *lines, saved, missing, [text[slice(*found[x])] for x in extra])))
+        if taken:
+            todo += [(a, b) for a, b in zip([low, *(y for _, y in taken)], [*(x for x, _ in taken), high], strict=True) if a < b]
+    return [x for _, x in sorted(out, key=lambda x: x[0])]
+
+
+def pattern(triggers: list[str]) -> str:
+    """Java's regular expression; the words of a trigger can be on two lines."""
+    return "(?i)" + "|".join(r"[^\p{L}\p{N}]+".join(map(re.escape, t.split())) for t in triggers)
+
+
+def _scanner(templates: dict[str, tuple[str, str]], share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranker, trigger = Ranker(templates), re.compile("|".join(map(re.escape, triggers)), re.IGNORECASE)
+        ranker = Ranker(templates, share)
         schema = pa.schema([
             ("doc_id", pa.int64()), ("license", pa.string()), ("template", pa.string()), ("first_line", pa.int64()), ("last_line", pa.int64()),
             ("saved", pa.float64()), ("n_missing", pa.int64()), ("n_extra", pa.int64()), ("differences", pa.list_(pa.string())),
@@ -117,7 +199,7 @@ def _scanner(templates: dict[str, tuple[str, str]], triggers: list[str], least:
             for batch in chunks(whole):
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    for license_, name, a, b, saved, missing, extra in find(text, ranker, trigger, least, share):
+                    for license_, name, a, b, saved, missing, extra in find(text, ranker):
                         rows.append((doc_id, license_, name, a, b, saved, len(missing), len(extra), [f"-{w}" for w in missing] + [f"+{w}" for w in extra]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -126,9 +208,9 @@ def _scanner(templates: dict[str, tuple[str, str]], triggers: list[str], least:
 
 
 def license_notices(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, tuple[str, str]] = TEMPLATES,
-                    triggers: list[str] = TRIGGERS, least_saved: float = 0.2, difference_share: float = 0.15) -> DataFrame:
+                    triggers: list[str] = TRIGGERS, difference_share: float = 0.15) -> DataFrame:
     """One row per notice found; lines count from 0. ``saved`` is the share of the
-    block's compressed size that the winning template saves."""
+    notice's compressed size that the template saves."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = rows.where(F.col("text").rlike("(?i)" + "|".join(re.escape(t) for t in triggers)))
-    return rows.mapInArrow(_scanner(templates, triggers, least_saved, difference_share), FOUND)
+    rows = rows.where(F.col("text").rlike(pattern(triggers)))
+    return rows.mapInArrow(_scanner(templates, difference_share), FOUND)

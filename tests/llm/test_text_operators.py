@@ -249,3 +249,18 @@ def test_every_license_template_verbatim_and_rewrapped(spark):
     rows = [(i, t) for i, (_, _, t, _) in shapes.items()]
     got = [(r.doc_id, r.template, r.first_line, r.last_line, r.n_missing + r.n_extra) for r in licenses.license_notices(frame(spark, rows)).collect()]
     assert sorted(got) == [(i, name, 2, 2 + n, 0) for i, (name, _, _, n) in shapes.items()]
+
+
+def test_license_notices_inside_longer_lines(spark):
+    rng, vocabulary = texts(5)
+    prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    rows, want = [], []
+    for name, (_, text) in licenses.TEMPLATES.items():
+        for n in (0, 1, 5, 10, 20, 200, 2000):
+            rows.append((len(rows), f"{prose(n)} {' '.join(text.split())} {prose(n)}"))
+            want.append((len(want), name))
+    several = "Copyright 2020 Acme Corporation and its contributors, all rights reserved. Released under the MIT License. " + licenses.TEMPLATES["bsd-conditions"][1]
+    rows.append((len(rows), several + "\n" + prose(4) + " copies " + prose(4) + "\nAll rights\nreserved."))
+    want += [(len(rows) - 1, x) for x in ("bsd-conditions", "mit-line", "reserved-line", "reserved-line")]
+    got = licenses.license_notices(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.template) for r in got) == want and not any(r.differences for r in got)

@@ -12,7 +12,7 @@ from tuneframe.operators import ordering as od
 from tuneframe.operators import packing as pk
 from tuneframe.operators import rollouts as ro
 from tuneframe.operators import sampling as sm
-from tuneframe.plans import sft
+from tuneframe.plans import recipe_queries, sft
 from tuneframe.sources import views as vw
 
 SF = os.environ.get("TUNEFRAME_TEST_SF", "/root/testdata/sf0.001")
@@ -118,3 +118,22 @@ def test_bfd_assembly_paths_agree(spark):
     ra = sorted((r.bin, tuple(r.input_ids), tuple(r.seq_lengths)) for r in a.collect())
     rb = sorted((r.bin, tuple(r.input_ids), tuple(r.seq_lengths)) for r in b.collect())
     assert ra == rb
+
+
+def test_eos_flags_of_texts_over_64_tokens(spark):
+    rows = [("ended", [5] * 100 + [2]), ("cut", [5] * 100), ("inner", [5] * 80 + [2] + [5] * 9), ("short", [5, 2])]
+    got = {r.example_id: tuple(r)[1:] for r in ro.eos_report(spark.createDataFrame(rows, "example_id string, input_ids array<int>"), 2, 0, 1.0).collect()}
+    assert got == {"ended": (False, True, 10.1, 101), "cut": (True, False, 9.0, 0), "inner": (True, True, 9.0, 0), "short": (False, True, 0.2, 2)}
+
+
+def test_every_sample_of_a_large_group_is_used(spark):
+    rows = [(g, i, float((i * 7 + g) % 5), f"t{g}-{i}", i % 4) for g, n in ((1, 1), (2, 2), (3, 5), (4, 11)) for i in range(n)]
+    df = spark.createDataFrame(rows, "group_id long, sample_no long, reward double, t string, pick int")
+    every = {(g, i) for g, i, *_ in rows}
+    pairs = ro.select_all_online_pairs(df).collect()
+    assert {(p.group_id, s) for p in pairs for s in (p.chosen_sample, p.rejected_sample)} == every - {(1, 0)}
+    assert len(pairs) == 1 + 3 + 6 and all(p.scores_margin >= 0 for p in pairs)
+    fours = recipe_queries.four_samples(df).collect()
+    assert {s for r in fours for s in (r.sample0, r.sample1, r.sample2, r.sample3)} == {r[3] for r in rows}
+    assert sorted((r.group_id, r.row_no) for r in fours) == [(1, 0), (2, 0), (3, 0), (3, 1), (4, 0), (4, 1), (4, 2)]
+    assert [tuple(r)[3:] for r in fours if (r.group_id, r.row_no) == (3, 1)] == [("t3-4", "t3-0", "t3-1", "t3-2", 0)]

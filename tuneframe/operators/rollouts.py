@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rewards as rw
 from ..functions.text import col
 
 EPS_STD = 1e-4
@@ -186,6 +187,40 @@ def select_online_pairs(df: DataFrame, group: str = "group_id", reward: str = "r
     ).withColumn("scores_margin", F.col("chosen_reward") - F.col("rejected_reward"))
 
 
+def select_all_online_pairs(df: DataFrame, group: str = "group_id", reward: str = "reward", order: str = "sample_no") -> DataFrame:
+    """A28 for groups of any size (``order`` counts a group's completions from
+    0): completions 2p and 2p + 1 are pair p, and the last of an odd number meets
+    the group's first. In each pair the higher reward is chosen; a tie keeps the
+    even one. Groups of one completion have no pair."""
+    one = df.select(group, order, reward)
+    sizes = one.groupBy(group).agg((F.max(order) + 1).alias("_n"))
+    a = one.filter(F.col(order) % 2 == 0).join(sizes.filter(F.col("_n") > 1), group)
+    a = a.select(group, F.col(order).alias("_a"), F.col(reward).alias("_ra"), F.pmod(F.col(order) + 1, F.col("_n")).alias("_b"))
+    b = one.select(group, F.col(order).alias("_b"), F.col(reward).alias("_rb"))
+    a_wins = F.col("_ra") >= F.col("_rb")
+    return a.join(b, [group, "_b"]).select(
+        group,
+        F.floor(F.col("_a") / 2).alias("pair_no"),
+        F.when(a_wins, F.col("_a")).otherwise(F.col("_b")).alias("chosen_sample"),
+        F.when(a_wins, F.col("_b")).otherwise(F.col("_a")).alias("rejected_sample"),
+        F.when(a_wins, F.col("_ra")).otherwise(F.col("_rb")).alias("chosen_reward"),
+        F.when(a_wins, F.col("_rb")).otherwise(F.col("_ra")).alias("rejected_reward"),
+    ).withColumn("scores_margin", F.col("chosen_reward") - F.col("rejected_reward"))
+
+
+def eos_report(df: DataFrame, eos_id: int, pad_id: int, penalty: float, ids: str = "input_ids", key: str = "example_id") -> DataFrame:
+    """F4-F6 over whole token lists: truncation and EOS flags, a length score
+    less ``penalty`` without EOS, and the tokens that carry loss."""
+    truncated, has_eos = rw.is_truncated(ids, eos_id, pad_id), rw.contains_eos(ids, eos_id)
+    return df.select(
+        key,
+        truncated.alias("truncated"),
+        has_eos.alias("has_eos"),
+        rw.missing_eos_penalty(F.size(ids) / 10.0, has_eos, penalty).alias("score"),
+        F.aggregate(rw.mask_truncated(F.transform(ids, lambda _x: F.lit(1)), truncated), F.lit(0), lambda a, x: a + x).alias("loss_tokens"),
+    )
+
+
 def attach_prompt_columns(rollouts: DataFrame, prompts: DataFrame, key: str = "group_id") -> DataFrame:
     """Every generation of a prompt gets the prompt's extra columns
     (an equi-join; AQE broadcasts the prompt side only when it is small)."""

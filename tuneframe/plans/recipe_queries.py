@@ -223,6 +223,44 @@ def best_of_four(spark, d):
     return rc.best_of_n(_best_of_four(spark, d), [f"sample{i}" for i in range(4)])
 
 
+def four_samples(r):
+    """Best-of-4 rows of groups of any size (``sample_no`` counts a group's
+    ``t`` from 0): row b holds samples 4b to 4b + 3; a short last row goes on with
+    the group's first samples, cyclically. ``pick`` of a row's first sample is the
+    best one."""
+    heads = r.groupBy("group_id").agg(
+        (F.max("sample_no") + 1).alias("_n"),
+        F.array_sort(F.collect_list(F.when(F.col("sample_no") < 3, F.struct("sample_no", "t")))).alias("_head"),
+    )
+    g = r.groupBy("group_id", F.floor(F.col("sample_no") / 4).alias("row_no")).agg(
+        F.array_sort(F.collect_list(F.struct("sample_no", "t"))).alias("_s"),
+        F.min_by("pick", "sample_no").alias("best"),
+    ).join(heads, "group_id")
+    own = F.size("_s")
+    at = lambda i: F.when(F.lit(i) < own, F.get("_s", F.lit(i))["t"]).otherwise(
+        F.get("_head", F.pmod(F.col("row_no") * 4 + i, F.col("_n")).cast("int"))["t"])
+    return g.select("group_id", "row_no", F.concat(F.lit("  query "), F.col("group_id").cast("string"), F.lit(" ")).alias("query"),
+                    *[at(i).alias(f"sample{i}") for i in range(4)], "best")
+
+
+@register("best_of_four_all", with_views(
+    """SELECT group_id, row_no, prompt, s[best + 1] AS chosen, list_filter(s, lambda x: x <> s[best + 1])[1] AS rejected FROM (
+         SELECT group_id, b AS row_no, 'query ' || group_id AS prompt,
+                list_transform(range(4), lambda i: l[((4 * b + i) % len(l)) + 1]) AS s, q[4 * b + 1] AS best
+         FROM (SELECT group_id, l, q, unnest(range((len(l) + 3) // 4)) AS b
+               FROM (SELECT group_id, list('part ' || (l_partkey % 50) ORDER BY sample_no) AS l,
+                            list(CAST(l_quantity AS INTEGER) % 4 ORDER BY sample_no) AS q
+                     FROM rollouts GROUP BY group_id)))
+       WHERE len(list_distinct(s)) > 1""", "rollouts"))
+def best_of_four_all(spark, d):
+    """R6 with every sample of an order: one row for each four."""
+    r = vw.rollouts(spark, d).select(
+        "group_id", "sample_no", F.concat(F.lit("part "), (F.col("l_partkey") % 50).cast("string")).alias("t"),
+        (F.col("l_quantity").cast("int") % 4).alias("pick"))
+    out = rc.best_of_n(four_samples(r), [f"sample{i}" for i in range(4)])
+    return out.select("group_id", "row_no", "prompt", "chosen", "rejected")
+
+
 # R7 / R8 -------------------------------------------------------------------
 @register("tldr_prompts", """
 SELECT doc_id, 'SUBREDDIT: r/' || source || chr(10) || chr(10) || 'TITLE: ' || lang || chr(10) || chr(10) || 'POST: ' || text

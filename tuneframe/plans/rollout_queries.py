@@ -72,6 +72,28 @@ def eos_penalty(spark, d):
     )
 
 
+@register("eos_penalty_whole", tok_sql(
+    "SELECT example_id, NOT (input_ids[-1] IN (2, 0)) AS truncated, list_contains(input_ids, 2) AS has_eos, "
+    "CASE WHEN list_contains(input_ids, 2) THEN len(input_ids) / 10.0 ELSE len(input_ids) / 10.0 - 1.0 END AS score, "
+    "CAST(CASE WHEN NOT (input_ids[-1] IN (2, 0)) THEN 0 ELSE len(input_ids) END AS INTEGER) AS loss_tokens FROM ids"))
+def eos_penalty_whole(spark, d):
+    """F4 + F5 + F6 over whole token lists, whatever their length."""
+    return ro.eos_report(sft.tokenized(spark, d).select("example_id", "input_ids"), 2, 0, 1.0)
+
+
+@register("eos_penalty_logged", with_views(
+    "SELECT example_id, truncated, NOT truncated AS has_eos, completion_len / 10.0 - CASE WHEN truncated THEN 1.0 ELSE 0.0 END AS score, "
+    "CAST(CASE WHEN truncated THEN 0 ELSE completion_len END AS INTEGER) AS loss_tokens FROM rollouts", "rollouts"))
+def eos_penalty_logged(spark, d):
+    """F5 + F6 with the length and the truncation flag (F4) that the sampler logged."""
+    ended = ~F.col("truncated")
+    return vw.rollouts(spark, d).select(
+        "example_id", "truncated", ended.alias("has_eos"),
+        rw.missing_eos_penalty(F.col("completion_len") / 10.0, ended, 1.0).alias("score"),
+        F.when(F.col("truncated"), F.lit(0)).otherwise(F.col("completion_len")).alias("loss_tokens"),
+    )
+
+
 def _scored(spark, d):
     r = vw.rollouts(spark, d).withColumn("reward_c", F.when(F.col("truncated"), F.col("l_tax")))
     total, missing = ro.weighted_reward(["reward_a", "reward_b", "reward_c"], [1.0, 0.5, 2.0])
@@ -192,6 +214,19 @@ def online_pairs(spark, d):
     return ro.select_online_pairs(_scored(spark, d))
 
 
+@register("online_pairs_all", scored_sql(
+    """SELECT a.group_id, a.sample_no // 2 AS pair_no,
+              CASE WHEN a.reward >= b.reward THEN a.sample_no ELSE b.sample_no END AS chosen_sample,
+              CASE WHEN a.reward >= b.reward THEN b.sample_no ELSE a.sample_no END AS rejected_sample,
+              greatest(a.reward, b.reward) AS chosen_reward, least(a.reward, b.reward) AS rejected_reward, abs(a.reward - b.reward) AS scores_margin
+       FROM scored a JOIN (SELECT group_id, count(*) AS n FROM scored GROUP BY group_id) USING (group_id)
+            JOIN scored b ON b.group_id = a.group_id AND b.sample_no = (a.sample_no + 1) % n
+       WHERE a.sample_no % 2 = 0 AND n >= 2"""))
+def online_pairs_all(spark, d):
+    """A28 for groups of any size: every completion is in a pair."""
+    return ro.select_all_online_pairs(_scored(spark, d))
+
+
 @register("prompt_broadcast", with_views(
     "SELECT r.example_id, o.o_orderpriority, o.o_totalprice FROM rollouts r JOIN orders o ON o.o_orderkey = r.group_id", "rollouts"))
 def prompt_broadcast(spark, d):

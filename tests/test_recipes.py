@@ -1,5 +1,8 @@
 """Recipe fixtures, including rows the reference would stop on (rejects)."""
 
+import ast
+import warnings
+
 from tuneframe.operators import recipes as rc
 
 TREE = (
@@ -67,3 +70,37 @@ def test_tldr_preference_unknown_batch(spark):
     assert out[0].prompt == "SUBREDDIT: r/sub\n\nTITLE: T\n\nPOST: a\nb\n\nTL;DR:"
     assert (out[0].chosen, out[0].rejected) == ("s1", "s0")
     assert out[1].reject_reason == "Unknown batch: other"
+
+
+def test_python_literals_and_image_conversation_rejects(spark):
+    from tuneframe.sources import readers as rd
+
+    values = ["plain", "it's", 'say "hi"', "both ' and \"", "back\\slash \\x41 \\' end\\", "nb\xa0sp\x85 \x07\x0b\x7f\x00", "tab\tnew\nline\r", "é \U0001f600  ", "None, True] }", "", "x'" * 20_000]
+    rows = [(i, repr([{"from": "human", "value": v}, {"from": "gpt", "value": "ok", "n": None, "t": True}])) for i, v in enumerate(values)]
+    rows.append((len(rows), ascii([{"from": "human", "value": "\U0001f600\xe9"}, {"from": "gpt", "value": "ok"}])))
+    rows.append((len(rows), r"[{'from': 'human', 'value': '\101\d\
+z'}, {'from': 'gpt', 'value': 'ok'},]"))
+    got = {r.id: r.m for r in spark.createDataFrame(rows, "id long, s string").select("id", rd.parse_message_literal("s").alias("m")).collect()}
+    for i, s in rows:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            want = [(m["from"], m["value"]) for m in ast.literal_eval(s)]
+        assert [tuple(m) for m in got[i]] == want, s[:100]
+
+    conv = [("good", rows[5][1]), ("none", "[{'from': 'human', 'value': None}, {'from': 'gpt', 'value': 'a'}]"), ("broken", "[{'from': 'human', 'value': 'a"), ("null", None),
+            ("raw", "[{'from': 'human', 'value': 'a\nb'}]"), ("one", "[{'from': 'human', 'value': 'a'}]"), ("long", repr([{"from": "human", "value": "a" * 1001}, {"from": "gpt", "value": "b"}]))]
+    out = rc.image_conversations(spark.createDataFrame([(i, s, "img") for i, s in conv], "id string, conversations string, image string")).collect()
+    assert {r.id: r.reject_reason for r in out} == {"good": None, "none": "message without content", "broken": "conversation literal does not parse", "null": "conversation literal does not parse",
+                                                    "raw": "conversation literal does not parse", "one": "conversation needs at least two messages"}
+    assert all((r.prompt is None) == (r.reject_reason is not None) for r in out)
+
+
+def test_a_null_text_keeps_its_conversation(spark, tmp_path):
+    from tuneframe.plans.misc_queries import parse_literal_messages
+    from tuneframe.plans.recipe_queries import _llava
+
+    turns = [(1, 0, "user", "ab"), (1, 1, "assistant", None), (2, 0, "user", "a"), (2, 1, "assistant", "b")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(map(tuple, parse_literal_messages(spark, str(tmp_path)).collect())) == [(1, 2, 2), (2, 2, 2)]
+    out = rc.image_conversations(_llava(spark, str(tmp_path))).collect()
+    assert {r.example_id: r.reject_reason for r in out} == {1: "message without content", 2: None}

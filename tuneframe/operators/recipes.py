@@ -331,15 +331,19 @@ def image_question_pairs(df: DataFrame) -> DataFrame:
 def image_conversations(df: DataFrame, max_chars: int = 1000) -> DataFrame:
     """Literal conversation strings -> parsed (S6) -> roles normalised
     and image tags stripped (P4) -> total content <= ``max_chars`` (P16) ->
-    prompt/completion split (X6). Unparseable literals are rejected."""
+    prompt/completion split (X6). A literal that does not parse and a message
+    without content give a row with ``reject_reason``."""
     parsed = df.withColumn("_tf_conv", parse_message_literal("conversations"))
     msgs = parsed.withColumn(
         "messages",
         normalize_roles(F.transform("_tf_conv", lambda m: F.struct(m["from"].alias("role"), m["value"].alias("content")))),
     )
     total = F.aggregate(F.transform("messages", lambda m: F.length(m["content"])), F.lit(0), lambda a, x: a + x)
-    bad = F.col("_tf_conv").isNull()
+    reason = F.when(F.col("_tf_conv").isNull(), F.lit("conversation literal does not parse")).when(
+        F.exists("messages", lambda m: m["content"].isNull()), F.lit("message without content")
+    )
     rest = [c for c in df.columns if c not in ("conversations",)]
-    good = msgs.filter(~bad & (total <= max_chars)).select(*rest, "messages")
-    split = split_last_message(good.withColumn("images", F.array("image")).drop("image"))
-    return split
+    marked = msgs.withColumn("_tf_reason", reason).filter(F.col("_tf_reason").isNotNull() | (total <= max_chars))
+    kept = marked.select(*rest, F.when(F.col("_tf_reason").isNull(), F.col("messages")).alias("messages"), "_tf_reason")
+    split = split_last_message(kept.withColumn("images", F.array("image")).drop("image"))
+    return split.withColumn("reject_reason", F.coalesce("_tf_reason", "reject_reason")).drop("_tf_reason")

@@ -147,7 +147,7 @@ def parse_literal_messages(spark, d):
     """S6 + P3: conversations stored as a Python-literal string (single-quoted
     keys) are parsed back into message lists."""
     conv = vw.table(spark, d, "conversations")
-    item = F.concat(F.lit("{'from': '"), F.col("role"), F.lit("', 'value': "), F.to_json(F.struct(F.col("text").alias("v"))).substr(F.lit(6), F.lit(1 << 30)))
+    item = F.concat(F.lit("{'from': '"), F.col("role"), F.lit("', 'value': "), F.to_json(F.struct(F.col("text").alias("v")), {"ignoreNullFields": "false"}).substr(F.lit(6), F.lit(1 << 30)))
     # to_json gives {"v":"..."}; the substring keeps the quoted value and the closing brace
     lit = conv.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("s")))), lambda x: x["s"]), ", ").alias("_s"))
     lit = lit.select("conv_id", F.concat(F.lit("["), F.col("_s"), F.lit("]")).alias("literal"))
@@ -155,7 +155,8 @@ def parse_literal_messages(spark, d):
     return parsed.select(
         F.col("conv_id").alias("example_id"),
         F.size("conversations").alias("n_messages"),
-        F.aggregate(F.transform("conversations", lambda m: F.length(m["value"])), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_chars"),
+        F.when(F.exists("conversations", lambda m: m["value"].isNotNull()), F.aggregate(
+            F.transform("conversations", lambda m: F.coalesce(F.length(m["value"]), F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x)).alias("n_chars"),
     )
 
 

@@ -330,7 +330,7 @@ def _llava(spark, d):
     conv = vw.table(spark, d, "conversations")
     spk = F.when(F.col("role") == "user", F.lit("human")).otherwise(F.lit("gpt"))
     val = F.when(F.col("turn") == 0, F.concat(F.lit("<image>\n"), F.col("text"))).otherwise(F.col("text"))
-    item = F.concat(F.lit("{'from': '"), spk, F.lit("', 'value': "), F.to_json(F.struct(val.alias("v"))).substr(F.lit(6), F.lit(1 << 30)))
+    item = F.concat(F.lit("{'from': '"), spk, F.lit("', 'value': "), F.to_json(F.struct(val.alias("v")), {"ignoreNullFields": "false"}).substr(F.lit(6), F.lit(1 << 30)))
     g = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("s")))).alias("_s"))
     return g.select(
         F.col("conv_id").alias("example_id"),

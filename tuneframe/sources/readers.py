@@ -81,12 +81,52 @@ def slice_fraction(df: DataFrame, order: Sequence[str], fraction: float) -> Data
 MESSAGE_LITERAL_SCHEMA = "array<struct<`from`:string,value:string>>"
 
 
+# possessive, so that long strings need no recursion; a quote left over is malformed
+_LITERAL_TOKEN = r"""(?s)"[^"\\\n\r]*+(?:\\.[^"\\\n\r]*+)*+"|'[^'\\\n\r]*+(?:\\.[^'\\\n\r]*+)*+'|[^'"]++|['"]"""
+_STRING_PIECE = r"(?s)\\x[0-9a-fA-F]{2}|\\U[0-9a-fA-F]{8}|\\[0-7]{1,3}|\\.|[^\\]++"
+
+
+def _json_piece(p: Column) -> Column:
+    """A plain run or one escape of a Python string, as JSON."""
+    kind = F.substring(p, 2, 1)
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    code = F.conv(F.substring(p, 3, 8), 16, 10).cast("long")
+    high = F.lit(0xD800) + F.floor((code - 0x10000) / 1024)
+    return (
+        F.when(~p.startswith("\\"), F.replace(p, F.lit('"'), F.lit('\\"')))
+        .when(kind == "'", F.lit("'"))
+        .when(kind == "\n", F.lit(""))
+        .when(kind == "a", F.lit("\\u0007"))
+        .when(kind == "v", F.lit("\\u000b"))
+        .when((kind == "x") & (F.length(p) == 4), F.concat(F.lit("\\u00"), F.substring(p, 3, 2)))
+        .when((kind == "U") & (F.length(p) == 10), F.when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(F.lit(0xDC00) + code % 1024))))
+        .when(kind.rlike("[0-7]"), unit(F.conv(F.substring(p, 2, 3), 8, 10).cast("long")))
+        .when(kind.rlike(r'["\\/bfnrtuxUN]'), p)  # JSON's own, or an error in Python too
+        .otherwise(F.concat(F.lit("\\"), p))
+    )
+
+
+def literal_to_json(col: Column) -> Column:
+    """A Python literal of lists, dicts, strings, numbers, None and booleans as
+    JSON; JSON stays as it is, what neither knows stays malformed."""
+
+    def token(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t.substr(F.lit(2), F.length(t) - 2), F.lit(_STRING_PIECE), F.lit(0))
+        string = F.concat(F.lit('"'), F.array_join(F.transform(pieces, _json_piece), ""), F.lit('"'))
+        other = t
+        for old, new in ((r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r",(\s*[\]}])", "$1")):
+            other = F.regexp_replace(other, old, new)
+        return F.when(t.isin("'", '"'), F.lit("'")).when(t.rlike("^['\"]"), string).otherwise(other)
+
+    return F.array_join(F.transform(F.regexp_extract_all(col, F.lit(_LITERAL_TOKEN), F.lit(0)), token), "")
+
+
 def parse_message_literal(c: Column | str, schema: str = MESSAGE_LITERAL_SCHEMA) -> Column:
     """Message lists stored as a Python/JSON literal string (single or
-    double quotes). Malformed text gives NULL (route those rows to a reject
-    table)."""
+    double quotes, Python's escapes, None). Malformed text gives NULL (route
+    those rows to a reject table)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.from_json(col, schema, {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
+    return F.from_json(literal_to_json(col), schema, {"allowSingleQuotes": "false", "allowUnquotedControlChars": "true", "mode": "PERMISSIVE"})
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

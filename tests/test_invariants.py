@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from tuneframe.operators import conversions as cv
+from tuneframe.operators import density as dn
 from tuneframe.operators import judging as jd
 from tuneframe.operators import ordering as od
 from tuneframe.operators import packing as pk
@@ -137,3 +138,21 @@ def test_every_sample_of_a_large_group_is_used(spark):
     assert {s for r in fours for s in (r.sample0, r.sample1, r.sample2, r.sample3)} == {r[3] for r in rows}
     assert sorted((r.group_id, r.row_no) for r in fours) == [(1, 0), (2, 0), (3, 0), (3, 1), (4, 0), (4, 1), (4, 2)]
     assert [tuple(r)[3:] for r in fours if (r.group_id, r.row_no) == (3, 1)] == [("t3-4", "t3-0", "t3-1", "t3-2", 0)]
+
+
+def test_density_weights_do_not_follow_the_class_odds(spark):
+    # one-hot features: class 1 has nine times the rows of class 0, spread alike over both features
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], i % 20 >= 2) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, desirable boolean")
+    for per_class in (None, 512):
+        model = dn.fit_density_classifier(df, per_class=per_class, reg=0.01)
+        ps = [r.prob_desirable for r in dn.density_ratio_weights(model, df).select("prob_desirable").distinct().collect()]
+        assert all(abs(p - 0.5) < (0.01 if per_class is None else 0.15) for p in ps), (per_class, ps)
+
+
+def test_uniform_draws_are_with_replacement(spark):
+    df = spark.range(700).withColumn("g", F.col("id") % 7 == 0)
+    one = sm.uniform_draws(df, 512, ["id"], seed=1).collect()
+    assert sorted(r.draw for r in one) == list(range(512)) and 250 < len({r.id for r in one}) < 450
+    two = sm.uniform_draws(df, 512, ["id"], "g", seed=1).collect()
+    assert [sum(r.g == x for r in two) for x in (True, False)] == [100, 512] and all((r.id % 7 == 0) == r.g for r in two)

@@ -2,7 +2,8 @@
 (A26, A27).
 
 A26 fits a logistic-regression classifier P(desirable | embedding) with
-``pyspark.ml`` (distributed training over the embedding table) and turns its
+``pyspark.ml`` (distributed training over the embedding table, classes
+balanced) and turns its
 probability into ``p / (1 - p + 1e-8)`` clamped to ``[min_ratio, max_ratio]``.
 A27 is the objective ``-logσ(r_c - δ)`` / ``-logσ(-(r_r - δ))`` with δ the
 running mean reward, the undesirable side optionally weighted by A26.
@@ -10,18 +11,32 @@ running mean reward, the undesirable side optionally weighted by A26.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rewards import log_sigmoid
-
-
-def fit_density_classifier(train: DataFrame, features: str = "embedding", label: str = "desirable", max_iter: int = 50, reg: float = 0.0):
-    """Fit P(desirable | embedding); ``features`` is an ``array<float|double>``."""
-    data = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
-    return LogisticRegression(maxIter=max_iter, regParam=reg).fit(data)
+from .sampling import uniform_draws
+
+
+def fit_density_classifier(train: DataFrame, features: str = "embedding", label: str = "desirable", max_iter: int = 50, reg: float = 0.0,
+                           per_class: int | None = None, order: Sequence[str] = ("vec_id",), seed: int = 0):
+    """Fit P(desirable | embedding); ``features`` is an ``array<float|double>``.
+
+    Both classes weigh the same in total (``rows / (classes * rows of the
+    class)``), so the odds of the classes do not shift the ratio. All rows are
+    learned from, or with ``per_class`` so many draws a class with replacement."""
+    data = train.withColumn("label", F.col(label).cast("double")).filter("label IS NOT NULL")
+    if per_class:
+        data = uniform_draws(data, per_class, list(order), "label", seed)
+    counts = data.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_classes"))
+    weights = counts.join(F.broadcast(total), how="inner", on=F.lit(True)).select("label", (F.col("_total") / (F.col("_classes") * F.col("_n"))).alias("_weight"))
+    data = data.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), "label").join(F.broadcast(weights), "label")
+    return LogisticRegression(maxIter=max_iter, regParam=reg, weightCol="_weight").fit(data)
 
 
 def density_ratio_weights(model, df: DataFrame, features: str = "embedding", min_ratio: float = 0.2, max_ratio: float = 10.0) -> DataFrame:

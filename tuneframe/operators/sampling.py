@@ -98,6 +98,19 @@ def weighted_sample(df: DataFrame, n: int, weight: str, key: str, seed: int = 0)
     return df.filter(F.col(weight) > 0).withColumn("_tf_k", k).orderBy("_tf_k", key).limit(n).drop("_tf_k")
 
 
+def uniform_draws(df: DataFrame, n: int, order: list[str], group: str | None = None, seed: int = 0) -> DataFrame:
+    """``min(n, rows)`` uniform draws with replacement from the rows, or from
+    each ``group``; ``draw`` counts them from 0. A draw picks a position in
+    ``order``, so a row can come several times."""
+    keys = [group] if group else []
+    ranked = global_rank(df, [*keys, *order], "_tf_pos")
+    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tf_n"), F.min("_tf_pos").alias("_tf_first")).filter("_tf_n > 0")
+    d = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_tf_n"), F.lit(n)) - 1)))
+    u = uniform(F.concat_ws("-", *[F.col(c).cast("string") for c in [*keys, "draw"]]), seed)
+    d = d.select("draw", (F.col("_tf_first") + F.floor(u * F.col("_tf_n"))).alias("_tf_pos"))
+    return d.join(ranked, "_tf_pos").drop("_tf_pos")
+
+
 def weighted_sample_with_replacement(buffer: DataFrame, n: int, weight: str, key: str, seed: int = 0) -> DataFrame:
     """L6 with replacement: ``n`` draws (0 .. n - 1), see :func:`weighted_draws`."""
     return weighted_draws(buffer.sparkSession.range(n).withColumnRenamed("id", "draw"), buffer, weight, key, seed)

@@ -121,6 +121,17 @@ def embedding_sample(spark, d):
     return sm.weighted_sample(e, 512, "w", "vec_id", seed=1).select("vec_id", "label")
 
 
+@register("embedding_draws", f"""
+SELECT draw, vec_id, label FROM (
+  SELECT i AS draw, CAST(floor({sm.uniform_sql('i', 1)} * n) AS BIGINT) AS pos
+  FROM range(512) t(i), (SELECT count(*) AS n FROM embeddings) WHERE i < n)
+JOIN (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, label) - 1 AS pos FROM embeddings) USING (pos)""")
+def embedding_draws(spark, d):
+    """Up to 512 embedding rows drawn uniformly with replacement (hash-seeded)."""
+    e = vw.table(spark, d, "embeddings").select("vec_id", "label")
+    return sm.uniform_draws(e, 512, ["vec_id", "label"], seed=1).select("draw", "vec_id", "label")
+
+
 # ---------------------------------------------------------------- sources / sinks
 @register("mixture_prompts", build_sql(["completions", "steps"], [],
     "SELECT 'completions' AS source, prompt FROM completions UNION ALL SELECT 'steps', prompt FROM steps"))

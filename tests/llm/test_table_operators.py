@@ -58,6 +58,24 @@ def test_nearest_defined_cases(spark):
     assert ann.nearest(few, F.col("vec_id") == 100, k=20).count() == 3
 
 
+def test_nearest_ties_go_to_smaller_ids(spark):
+    vectors = {i: np.eye(64)[i - 100] for i in range(100, 164)}
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in vectors.items()], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(rows, F.col("vec_id") % 20 == 0, k=20, probe_share=1.0, epsilon=50.0).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for _, i in x] for q, x in brute(vectors, 20).items()}
+
+
+def test_nearest_recall_where_not_all_lists_are_probed(spark):
+    rng = np.random.default_rng(2)
+    vectors = dict(enumerate(rng.standard_normal((2500, 16))))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in vectors.items()], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(rows, F.col("vec_id") % 20 == 0, k=20).collect()}
+    hits = sum((q, i) in got for q, x in brute(vectors, 20).items() for _, i in x)
+    assert hits >= 0.95 * 20 * 125  # 65 % of the lists are probed
+
+
 def capacity(rows, shards):
     sizes = Counter()
     for _, t in rows:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-FOUND = "query long, found long, score double"
+FOUND = "query long, found long, least long, score double"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -65,7 +65,7 @@ def _order(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
 
 
 def _to_lists(centres: np.ndarray, norm: float, probes: int):
-    """mapInArrow function: (uid, vec) -> (uid, vec, lists): one list for stored
+    """mapInArrow function: (uid, least, vec) -> (uid, least, vec, lists): one list for stored
     vectors (probes 0), the probed ones for queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +77,7 @@ def _to_lists(centres: np.ndarray, norm: float, probes: int):
                 lists = _order(x, centres, probes or 1).astype(np.int32)
                 offsets = np.arange(len(x) + 1, dtype=np.int32) * lists.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("uid"), batch.column("vec"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists.ravel()))], ["uid", "vec", "lists"]
+                    [batch.column("uid"), batch.column("least"), batch.column("vec"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists.ravel()))], ["uid", "least", "vec", "lists"]
                 )
 
     return run
@@ -111,6 +111,7 @@ def _search(rotation: np.ndarray, norm: float, k: int, columns: int, epsilon: fl
         for batch in batches:
             for r in range(batch.num_rows):
                 uid, x = np.asarray(batch.column("uids")[r].values), _matrix(batch.column("vecs")[r].values)
+                least = np.asarray(batch.column("leasts")[r].values)
                 query, q = np.asarray(batch.column("query_uids")[r].values), _matrix(batch.column("query_vecs")[r].values)
                 limit = np.asarray(batch.column("limits")[r].values, np.float64)
                 xr, qr = _lift(x, norm) @ rotation, np.concatenate([q, np.zeros((len(q), 1))], axis=1) @ rotation
@@ -121,7 +122,7 @@ def _search(rotation: np.ndarray, norm: float, k: int, columns: int, epsilon: fl
                     i, j = np.nonzero(alive & (total <= (last * (1 + 1e-9) + 1e-9)[:, None]))
                     if len(i):
                         score = np.einsum("nd,nd->n", q[a + i], x[j])
-                        yield pa.RecordBatch.from_arrays([pa.array(query[a + i]), pa.array(uid[j]), pa.array(score)], ["query", "found", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(query[a + i]), pa.array(uid[j]), pa.array(least[j]), pa.array(score)], ["query", "found", "least", "score"])
 
     return run
 
@@ -148,7 +149,7 @@ def nearest(vectors: DataFrame, is_query, *, id_column: str = "vec_id", vector_c
     few = Window.partitionBy("uid").orderBy("vec_id")
     ids = sound.select("uid", "vec_id").distinct().withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1).groupBy("uid").agg(F.collect_list("vec_id").alias("ids"))
     ids = scratch.save(ids)
-    distinct = scratch.save(sound.groupBy("uid").agg(F.any_value("vec").alias("vec"), F.bool_or("asks").alias("asks"), F.max("norm2").alias("norm2")))
+    distinct = scratch.save(sound.groupBy("uid").agg(F.any_value("vec").alias("vec"), F.bool_or("asks").alias("asks"), F.max("norm2").alias("norm2"), F.min("vec_id").alias("least")))
     n, norm2 = distinct.agg(F.count("*"), F.max("norm2")).first()
     norm = float(np.sqrt(norm2))
     drawn = distinct.orderBy(F.xxhash64("uid")).limit(sample).select("vec").collect()
@@ -157,13 +158,13 @@ def nearest(vectors: DataFrame, is_query, *, id_column: str = "vec_id", vector_c
     probes = int(np.ceil(min(1.0, max(probe_share, 50 * k / n)) * n_lists))  # lists of 50 * k vectors at least
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((common.dims + 1,) * 2))[0]
 
-    spec = "uid long, vec array<double>, lists array<int>"
-    stored = scratch.save(distinct.select("uid", "vec").mapInArrow(_to_lists(centres, norm, 0), spec).select("uid", "vec", F.col("lists")[0].alias("list")))
-    asked = scratch.save(distinct.where("asks").select("uid", "vec").mapInArrow(_to_lists(centres, norm, probes), spec))
+    spec = "uid long, least long, vec array<double>, lists array<int>"
+    stored = scratch.save(distinct.select("uid", "least", "vec").mapInArrow(_to_lists(centres, norm, 0), spec).select("uid", "least", "vec", F.col("lists")[0].alias("list")))
+    asked = scratch.save(distinct.where("asks").select("uid", "least", "vec").mapInArrow(_to_lists(centres, norm, probes), spec))
     parts = stored.groupBy("list").agg(F.ceil(F.count("*") / part_rows).alias("parts"))  # at most max_lists rows
     parts = scratch.save(
         stored.join(F.broadcast(parts), "list").groupBy("list", F.pmod(F.xxhash64("uid"), F.col("parts")).alias("part"))
-        .agg(F.collect_list(F.struct("uid", "vec")).alias("m")).select("list", F.col("m.uid").alias("uids"), F.col("m.vec").alias("vecs"))
+        .agg(F.collect_list(F.struct("uid", "least", "vec")).alias("m")).select("list", F.col("m.uid").alias("uids"), F.col("m.least").alias("leasts"), F.col("m.vec").alias("vecs"))
     )  # about part_rows vectors a row
 
     def search(queries: DataFrame) -> DataFrame:
@@ -173,9 +174,9 @@ def nearest(vectors: DataFrame, is_query, *, id_column: str = "vec_id", vector_c
             queries.join(sizes, "list").groupBy("list", F.pmod(F.xxhash64("uid"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("uid", "vec", "limit")).alias("m"))
             .select("list", F.col("m.uid").alias("query_uids"), F.col("m.vec").alias("query_vecs"), F.col("m.limit").alias("limits"))
         )
-        return asking.join(parts, "list").select("uids", "vecs", "query_uids", "query_vecs", "limits").mapInArrow(_search(rotation, norm, k + 1, columns, epsilon), FOUND)
+        return asking.join(parts, "list").select("uids", "leasts", "vecs", "query_uids", "query_vecs", "limits").mapInArrow(_search(rotation, norm, k + 1, columns, epsilon), FOUND)
 
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "found")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "least", "found")
     home = scratch.save(search(asked.select(F.col("lists")[0].alias("list"), "uid", "vec", F.lit(float("inf")).alias("limit"))).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1))
     own = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     limits = home.where(F.col("n") == k + 1).select(F.col("query").alias("uid"), "score")

@@ -10,6 +10,7 @@ predecessor kept, written as Parquet and read again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tuneframe.llm import decontamination, minhash, mixing, quality, queries, sharding
 from tuneframe.llm.scratch import Scratch
@@ -24,11 +25,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates;
-    of rows that repeat a kept doc_id, one. Rows without a doc_id stay."""
-    kept = minhash.near_duplicates(docs, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    kept = Scratch(spark, "pipeline").save(kept)
-    return docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """The document with the smallest doc_id of each group of near-duplicates; of
+    equal rows one. A doc_id's texts are classed each by itself: the first by hash
+    goes by the doc_id, others come after every doc_id. Rows without a doc_id stay."""
+    scratch = Scratch(spark, "pipeline")
+    known = docs.where("doc_id IS NOT NULL").withColumn("_print", F.sha2(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")), 256))
+    prints = known.select("doc_id", "_print").distinct()
+    several = prints.groupBy("doc_id").agg(F.min("_print").alias("_first"), F.max("_print").alias("_last")).where("_first < _last")
+    top = docs.agg((F.max("doc_id") + 1).alias("_top"))
+    more = prints.join(several, "doc_id").where("_print <> _first").crossJoin(F.broadcast(top))
+    more = scratch.save(more.select("doc_id", "_print", (F.col("_top") + F.monotonically_increasing_id()).alias("_more")))
+    keyed = known.join(more, ["doc_id", "_print"], "left").withColumn("_key", F.coalesce("_more", "doc_id")).drop("_print", "_more")
+    kept = minhash.near_duplicates(keyed, id_column="_key", percent=80).where("kept").select(F.col("doc_id").alias("_key")).distinct()
+    kept = scratch.save(kept)
+    lone = keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    return lone.unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,3 +218,11 @@ def test_pipeline_stages_do_what_they_say(spark):
 def test_pipeline_runs_and_repeats(spark):
     first, again = (sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) for _ in range(2))
     assert first == again and len(first) > 100
+
+
+def test_pipeline_classes_each_text_of_a_repeated_doc_id(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (5, text("b")), (7, text("c")), (8, text("d")), (8, text("c")), (9, None), (None, text("a"))]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF).collect()
+    assert sorted(r.text[0] for r in got if r.doc_id is not None and r.text) == ["a", "b", "c", "d"]
+    assert {r.doc_id for r in got} == {1, 5, 7, 8, 9, None} or {r.doc_id for r in got} == {1, 5, 8, 9, None}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, licenses, line_templates, minhash, mixing, quality, sharding, substrings, tokens
+from . import ann, centroids, decontamination, licenses, line_templates, minhash, mixing, quality, sharding, substrings, tokens
 from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,12 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in all documents, with their differences in wording."""
     return licenses.license_notices(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hadamard_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 16 clusters after three rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+ORACLES["op13_hadamard_clustering"] = centroids.ORACLE

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, decontamination, licenses, line_templates, minhash, mixing, quality, sharding, substrings, tokens
+from . import ann, centroids, decontamination, licenses, line_templates, minhash, mixing, prefix_trie, quality, sharding, substrings, tokens
 from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,12 @@ def op13_hadamard_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_hadamard_clustering"] = centroids.ORACLE
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared beginnings of all conversations, each rebuilt with its base's first turns."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("words", "name")
+
+
+ORACLES["op12_prefix_trie"] = prefix_trie.ORACLE

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, decontamination, licenses, line_templates, minhash, mixing, prefix_trie, quality, sharding, substrings, tokens
+from . import ann, centroids, decontamination, licenses, line_templates, minhash, mixing, ngram_filter, prefix_trie, quality, sharding, substrings, tokens
 from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_prefix_trie"] = prefix_trie.ORACLE
+
+
+@query
+def op11_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under a model of six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = ngram_filter.score(docs, ~ngram_filter.held_out()).withColumn("held_out", ngram_filter.held_out())
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -74,14 +74,14 @@ class Words:
         self.end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, self.offsets)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash for each word, eight bytes at a time."""
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash for each word, eight bytes at a time; another one for each seed."""
         n = len(self.data)
         padded = np.zeros(n + 8, np.uint8)
         padded[:n] = self.data
         eight = np.ndarray((n + 1,), dtype="<u8", buffer=padded, strides=(1,))
         left = self.end - self.start
-        h = mix(left.astype(np.uint64) + _M)
+        h = mix(left.astype(np.uint64) + U((int(_M) + seed) & (1 << 64) - 1))
         at, todo = self.start.copy(), np.arange(len(h))
         while len(todo):
             size = left[todo]

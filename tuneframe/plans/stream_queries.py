@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators import conversions as cv
 from ..sources import views as vw
+from ..sources.readers import scratch_path
 from ..sources.views import build_sql, with_views
 from ..streaming import jobs as st
+from ..streaming import stateful as sf
 from .catalog import register
 from .misc_queries import _replay_scores
 from .prep_queries import _pe_sql
@@ -119,3 +121,138 @@ def stream_completion_log(spark, d):
     q.stop()
     logged = rd.read(spark, out)
     return logged.groupBy(F.col("step").cast("int").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.avg("reward_a").alias("mean_reward"))
+
+
+# ---------------------------------------------------------------- late rows, time-outs, restarts
+_DAY = 86_400_000
+#: In these replays a quarter of the time span arrives at once; some rows arrive a quarter late.
+_ARRIVALS = 4
+
+
+def _arrivals(df, at, delayed):
+    """One frame for each quarter of the span of ``at`` (ms), with ``beat`` false; rows
+    with ``delayed`` come one quarter later (those of the last one don't)."""
+    lo, hi = df.agg(F.min(at), F.max(at)).first()
+    quarter = F.expr(f"({at} - {lo or 0}L) * {_ARRIVALS} div {(hi or 0) - (lo or 0) + 1}L")
+    df = df.withColumn("_k", F.least(quarter + F.when(delayed, 1).otherwise(0), F.lit(_ARRIVALS - 1))).withColumn("beat", F.lit(False))
+    return [df.where(F.col("_k") == k).drop("_k", at) for k in range(_ARRIVALS)], hi or 0
+
+
+def _heartbeat(like, ts, ms):
+    """A row of the same schema that only moves the watermark to ``ms``."""
+    row = [(F.timestamp_millis(F.lit(ms)) if c == ts else F.lit(True) if c == "beat" else F.lit(None)).cast(t).alias(c) for c, t in like.dtypes]
+    return like.sparkSession.range(1).select(*row)
+
+
+def _arrival_sql(table, ms, delayed, extra=""):
+    """CTEs ``a`` (rows with their arrival k, ms) and ``w`` (watermark wm at arrival k)."""
+    return [
+        ("b", f"SELECT min({ms}) AS lo, max({ms}) AS hi FROM {table}"),
+        ("a", f"SELECT t.*, {ms} AS ms, least(({ms} - lo) * {_ARRIVALS} // (hi - lo + 1) + CASE WHEN {delayed} THEN 1 ELSE 0 END, {_ARRIVALS - 1}) AS k FROM {table} t, b"),
+        ("w", f"SELECT k + 1 AS k, max(max(ms)) OVER (ORDER BY k) {extra} AS wm FROM a GROUP BY k"),
+    ]
+
+
+@register("stream_interval_late", build_sql([], [
+    *_arrival_sql("events", "epoch_ms(ts)", "event_id % 40 = 0", f"- {2 * _DAY}"),
+    ("l", f"SELECT a.*, date_trunc('day', ts) AS d, coalesce(epoch_ms(date_trunc('day', ts)) + {_DAY} <= wm, false) AS late FROM a LEFT JOIN w USING (k)")],
+    """SELECT CASE WHEN late THEN 'late' ELSE 'mean' END AS kind, strftime(d, '%Y-%m-%d') AS window_start, event_type,
+              CAST(count(*) AS BIGINT) AS n, avg(value) AS mean FROM l GROUP BY ALL"""))
+def stream_interval_late(spark, d):
+    """ST3: daily means per event type with a watermark of two days. The events come in
+    four arrivals, every 40th one arrival late; each arrival restarts the stream. A row
+    whose day was closed is not in the means but among the late rows."""
+    ev = vw.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    frames, last = _arrivals(ev.withColumn("_ms", F.unix_millis("ts")), "_ms", F.col("event_id") % 40 == 0)
+    frames.append(_heartbeat(frames[0], "ts", last + 4 * _DAY))
+    out, ckpt = scratch_path(spark, "intervals-late"), scratch_path(spark, "intervals-late-ckpt")
+    sf.replay(frames, lambda s: st.advance(sf.interval_means(s, "ts", "event_type", "value", _DAY, "2 days", heartbeat="beat"), out, ckpt), "intervals")
+    table = spark.read.parquet(out)
+    late = sf.late_rows(table).groupBy("window_start", "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    both = sf.closed_intervals(table).withColumn("kind", F.lit("mean")).unionByName(late.withColumn("kind", F.lit("late")))
+    return both.select("kind", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), F.col("metric").alias("event_type"), "n", "mean")
+
+
+_GROUP_WAIT, _GROUP_DELAY = 20 * _DAY, 30 * _DAY
+
+
+def _group_rows(spark, d):
+    li = vw.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    size = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("group_size"))
+    od = vw.table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"))
+    ts = F.timestamp_millis(F.unix_millis("o_orderdate") + F.col("l_linenumber") * _DAY)
+    return li.join(size, "l_orderkey").join(od, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").cast("long").alias("sample_no"), F.col("l_quantity").alias("reward"), "group_size", ts.alias("ts"))
+
+
+def _group_sql() -> str:
+    ctes = [("g", f"""SELECT l_orderkey AS group_id, CAST(l_linenumber AS BIGINT) AS sample_no, l_quantity AS reward, group_size,
+                epoch_ms(CAST(o_orderdate AS TIMESTAMP)) + l_linenumber * {_DAY} AS arrived
+                FROM lineitem JOIN (SELECT l_orderkey, count(*) AS group_size FROM lineitem GROUP BY 1) USING (l_orderkey) JOIN orders ON o_orderkey = l_orderkey"""),
+            *_arrival_sql("g", "arrived", "group_id % 20 = 0 AND sample_no = 1", f"- {_GROUP_DELAY}"),
+            ("r", "SELECT a.*, coalesce(ms < wm, false) AS late FROM a LEFT JOIN w USING (k)")]
+    parts = ["SELECT group_id, sample_no, reward, 'late' AS kind, 0 AS batch FROM r WHERE late"]
+    rows = "group_id, sample_no, reward, group_size, ms"
+    for k in range(_ARRIVALS):
+        held = f"UNION ALL SELECT {rows} FROM o{k - 1}" if k else ""
+        closing = f"(SELECT max(wm) FROM w WHERE k = {k + 1})" if k < _ARRIVALS - 1 else "9223372036854775807"
+        ctes += [
+            (f"h{k}", f"SELECT {rows} FROM r WHERE k = {k} AND NOT late {held}"),
+            (f"s{k}", f"""SELECT *, CASE WHEN count(*) OVER p >= max(group_size) OVER p THEN 'complete'
+                WHEN max(ms) OVER p + {_GROUP_WAIT} <= {closing} THEN 'timed_out' ELSE 'open' END AS kind FROM h{k} WINDOW p AS (PARTITION BY group_id)"""),
+            (f"o{k}", f"SELECT {rows} FROM s{k} WHERE kind = 'open'"),
+        ]
+        parts.append(f"SELECT group_id, sample_no, reward, kind, {k} FROM s{k} WHERE kind <> 'open'")
+    ctes.append(("f", " UNION ALL ".join(parts)))
+    return build_sql([], ctes, """SELECT group_id, sample_no, reward, kind,
+        CASE WHEN kind <> 'late' THEN (reward - avg(reward) OVER q) / (stddev_samp(reward) OVER q + 1e-4) END AS advantage
+        FROM f WINDOW q AS (PARTITION BY group_id, kind, batch)""")
+
+
+@register("stream_group_timeouts", _group_sql())
+def stream_group_timeouts(spark, d):
+    """ST4: an order's lines as a group, one line a day, with a watermark of 30 days and a
+    time-out of 20. The first line of every 20th order comes one of the four arrivals late:
+    its group times out without it, and the line is late."""
+    rows = _group_rows(spark, d).withColumn("_ms", F.unix_millis("ts"))
+    frames, last = _arrivals(rows, "_ms", (F.col("group_id") % 20 == 0) & (F.col("sample_no") == 1))
+    frames.append(_heartbeat(frames[0], "ts", last + _GROUP_WAIT + _GROUP_DELAY + _DAY).fillna({"group_id": -1}))
+    out, ckpt = scratch_path(spark, "group-timeouts"), scratch_path(spark, "group-timeouts-ckpt")
+    sf.replay(frames, lambda s: st.advance(sf.group_advantages(s, "group_size", "ts", "30 days", _GROUP_WAIT, heartbeat="beat"), out, ckpt), "groups")
+    return spark.read.parquet(out)
+
+
+@register("stream_unique_prompts", with_views(
+    """SELECT prompt, arg_min(example_id, (step, example_id)) AS example_id, arg_min(reward_a, (step, example_id)) AS reward_a,
+              CAST(min(step) AS INTEGER) AS step
+       FROM (SELECT CAST(l_partkey AS VARCHAR) AS prompt, example_id, reward_a, step FROM rollouts) GROUP BY prompt""", "rollouts"))
+def stream_unique_prompts(spark, d):
+    """S9 on a stream: the first record of each prompt of a log that grows year by year,
+    over restarts, equal to the batch operator."""
+    r = vw.rollouts(spark, d).select(F.col("l_partkey").cast("string").alias("prompt"), "example_id", "reward_a", F.col("step").cast("int").alias("step"))
+    r = r.withColumn("ts", F.to_timestamp(F.format_string("%d-01-01", "step"))).withColumn("_ms", F.unix_millis("ts"))
+    frames, _ = _arrivals(r, "_ms", F.lit(False))
+    out, ckpt = scratch_path(spark, "unique-prompts"), scratch_path(spark, "unique-prompts-ckpt")
+    sf.replay([f.drop("beat") for f in frames], lambda s: st.advance(sf.unique_prompts(s, "prompt", ("step", "example_id"), "ts", "366 days", 20 * 366 * _DAY), out, ckpt), "prompts")
+    return spark.read.parquet(out).drop("ts")
+
+
+@register("stream_batch_moments", build_sql([], [
+    *_arrival_sql("events", "epoch_ms(ts)", "false"),
+    ("n", """SELECT k, event_type, count(value) AS batch_n, avg(value) AS batch_mean, stddev_samp(value) AS batch_std FROM a GROUP BY ALL"""),
+    ("r", """SELECT n.k, event_type, count(value) AS count, avg(value) AS mean, var_pop(value) AS var, stddev_samp(value) AS std
+             FROM (SELECT DISTINCT k FROM a) n JOIN a ON a.k <= n.k GROUP BY ALL""")],
+    """SELECT CAST(k AS BIGINT) AS batch, event_type, CAST(coalesce(batch_n, 0) AS BIGINT) AS batch_n, batch_mean, batch_std, count, mean, var, std
+       FROM r LEFT JOIN n USING (k, event_type)"""))
+def stream_batch_moments(spark, d):
+    """ST1: moments of each arrival beside those of all so far, kept as (n, mean, M2) and
+    merged at every restart."""
+    ev = vw.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    frames, _ = _arrivals(ev.withColumn("_ms", F.unix_millis("ts")), "_ms", F.lit(False))
+    path, ckpt = scratch_path(spark, "moments-log"), scratch_path(spark, "moments-log-ckpt")
+
+    def run(s):
+        st.advance_batches(s, sf.moments_sink(path, "event_type", "value"), ckpt)
+
+    sf.replay(frames, run, "moments")
+    return sf.moments_log(spark, path, "event_type")

@@ -7,9 +7,10 @@ here the same computations run as streaming queries:
   aggregates (partial aggregation per micro-batch, state per key);
 * ST3 interval means use an event-time window with a watermark (rows later
   than the watermark are dropped);
-* ST4 group advantages hold each generation group in keyed state until all
-  ``G`` rewards arrived, or emit it flagged incomplete on an event-time
-  timeout;
+* ST4 group advantages hold each generation group in typed keyed state until
+  all ``G`` rewards arrived, or emit it flagged incomplete on an event-time
+  timer (``stateful``, which also has intervals and groups with late rows,
+  first rows of a prompt, and batch beside running moments);
 * ST5 dataset preparation reuses the batch operators unchanged (all are
   stateless column expressions);
 * ST6 keeps a bounded replay buffer: state is split over hash buckets, each
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.readers import read_stream, scratch_path
+from . import stateful
 
-EPS_STD = 1e-4
+#: Keyed state with timers needs the store that keeps several columns a key.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 # ---------------------------------------------------------------- runners
@@ -44,13 +47,32 @@ def _start(spark: SparkSession, writer, state_partitions: int | None):
     recorded in the checkpoint); the query clones the session at start, so the
     setting applies to this query only. Default: the cluster's parallelism."""
     n = state_partitions or spark.sparkContext.defaultParallelism
-    key = "spark.sql.shuffle.partitions"
-    previous = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    wanted = {"spark.sql.shuffle.partitions": str(n), STATE_STORE[0]: STATE_STORE[1]}
+    previous = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         return writer.start()
     finally:
-        spark.conf.set(key, previous)
+        for key, value in previous.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+def advance(stream: DataFrame, out: str, checkpoint: str, state_partitions: int | None = None):
+    """Run ``stream`` over the input there is, appending to the Parquet table ``out``; a
+    later call with the same checkpoint goes on. Returns the query (its progress)."""
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    q = _start(stream.sparkSession, writer.outputMode("append").trigger(availableNow=True), state_partitions)
+    q.awaitTermination()
+    return q
+
+
+def advance_batches(stream: DataFrame, write, checkpoint: str, state_partitions: int | None = None):
+    """Like :func:`advance`, handing each micro-batch to ``write(batch, batch_id)``."""
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    q = _start(stream.sparkSession, writer, state_partitions)
+    q.awaitTermination()
+    return q
 
 
 def run_append(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
@@ -87,9 +109,12 @@ def run_complete(stream: DataFrame, name: str, state_partitions: int | None = No
 
 def stage_files(df: DataFrame, name: str, partition_col: str) -> str:
     """Write a batch frame as several files (one folder per value of
-    ``partition_col``) so a file stream replays it in micro-batches."""
+    ``partition_col``) so a file stream replays it in micro-batches. Files are
+    dealt by the value and a salt, so a hot value is written by several tasks."""
     path = scratch_path(df.sparkSession, name)
-    df.repartition(partition_col).write.partitionBy(partition_col).parquet(path)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(4))
+    df.repartition(n, F.col(partition_col), salt).write.partitionBy(partition_col).parquet(path)
     return path
 
 
@@ -125,62 +150,17 @@ def interval_means_stream(stream: DataFrame, ts: str, metric: str, value: str, i
 
 
 # ---------------------------------------------------------------- ST4
-GROUP_OUT = "group_id long, sample_no long, reward double, advantage double, complete boolean"
-GROUP_STATE = "samples string, max_ts long, need long"
-
-
-def _group_fn(group_size: int | str, timeout_ms: int):
-    def emit(gid, samples, complete):
-        s = pd.DataFrame(samples, columns=["sample_no", "reward"])
-        mean = s["reward"].mean()
-        std = s["reward"].std(ddof=1) if len(s) > 1 else float("nan")
-        adv = (s["reward"] - mean) / (std + EPS_STD)
-        return pd.DataFrame(
-            {"group_id": gid, "sample_no": s["sample_no"].astype("int64"), "reward": s["reward"].astype("float64"),
-             "advantage": adv.astype("float64"), "complete": complete}
-        )
-
-    def fn(key, pdfs, state: GroupState):
-        gid = int(key[0])
-        if state.hasTimedOut:
-            samples = json.loads(state.get[0])
-            state.remove()
-            yield emit(gid, samples, False)
-            return
-        samples = json.loads(state.get[0]) if state.exists else []
-        max_ts = state.get[1] if state.exists else 0
-        need = state.get[2] if state.exists else 0
-        for pdf in pdfs:
-            samples.extend([[int(a), float(b)] for a, b in zip(pdf["sample_no"], pdf["reward"], strict=True)])
-            if len(pdf):
-                max_ts = max(max_ts, int(pd.Timestamp(pdf["ts"].max()).timestamp() * 1000))
-                need = int(pdf["group_size"].max()) if isinstance(group_size, str) else int(group_size)
-        if len(samples) >= need:
-            state.remove()
-            yield emit(gid, samples, True)
-        else:
-            state.update((json.dumps(samples), max_ts, need))
-            state.setTimeoutTimestamp(max_ts + timeout_ms)
-
-    return fn
-
-
 def group_advantages_stream(stream: DataFrame, group_size: int | str, ts: str = "ts", watermark: str = "10 minutes",
                             timeout_ms: int = 600_000) -> DataFrame:
     """ST4: hold each generation group until ``group_size`` rewards arrived,
     then emit its group-relative advantages (``complete = true``); groups that
     stay incomplete past the event-time timeout are emitted with
-    ``complete = false``. State per group is bounded by ``group_size``."""
-    size_col = F.col(group_size) if isinstance(group_size, str) else F.lit(group_size)
-    s = stream.select(
-        "group_id", "sample_no", "reward", size_col.cast("long").alias("group_size"), F.col(ts).cast("timestamp").alias("ts")
-    ).withWatermark("ts", watermark)
-    out = s.groupBy("group_id").applyInPandasWithState(
-        _group_fn("group_size" if isinstance(group_size, str) else group_size, timeout_ms),
-        GROUP_OUT, GROUP_STATE, "append", GroupStateTimeout.EventTimeTimeout,
-    )
-    # a group of one has no sample std: NULL advantage, as in the batch operator
-    return out.withColumn("advantage", F.nanvl("advantage", F.lit(None).cast("double")))
+    ``complete = false``. State per group is bounded by ``group_size``. Rows
+    behind the watermark are left out; :func:`stateful.group_advantages`
+    gives them as well."""
+    size = group_size if isinstance(group_size, str) else F.lit(group_size)
+    out = stateful.group_advantages(stream, size, ts, watermark, timeout_ms).where("kind <> 'late'")
+    return out.withColumn("complete", F.col("kind") == "complete").drop("kind")
 
 
 # ---------------------------------------------------------------- ST6

@@ -116,6 +116,6 @@ def test_running_moments_keep_their_digits(spark):
     for b in range(3):
         seen, own = rng[: 200 * (b + 1)], rng[200 * b : 200 * (b + 1)]
         var = lambda x: sum((y - sum(x) / len(x)) ** 2 for y in x) / len(x)
-        assert log["a", b].count == len(seen) and abs(log["a", b]["var"] - var(seen)) < 1e-7
+        assert log["a", b]["count"] == len(seen) and abs(log["a", b]["var"] - var(seen)) < 1e-7
         assert abs(log["a", b].batch_std ** 2 - var(own) * 200 / 199) < 1e-7
-    assert log["b", 2]["mean"] is None and log["b", 2].count == 0
+    assert log["b", 2]["mean"] is None and log["b", 2]["count"] == 0

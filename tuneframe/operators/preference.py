@@ -15,11 +15,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rewards import log_sigmoid, sigmoid, softplus
 from .ordering import group_rank
+from .scans import Moments, running
 
 # Exp cap (log of the largest float32), default alpha for the
 # alpha-divergence, the exo_pair smoothing used when none is given.
@@ -115,14 +116,12 @@ def pair_loss(
 
 def running_reward_mean(df: DataFrame, beta: float, step: str = "step", c="c", r="r", c0="c0", r0="r0") -> DataFrame:
     """Running mean of the batch rewards ``β(c-c0)`` and ``β(r-r0)`` up to and
-    including each step (``bco_pair``'s δ): per-step sums and counts, then a
-    cumulative sum over the (small, one row per step) step table."""
-    per = df.groupBy(step).agg(
-        F.sum(F.lit(beta) * (F.col(c) - F.col(c0)) + F.lit(beta) * (F.col(r) - F.col(r0))).alias("_s"),
-        (F.count(F.lit(1)) * 2).alias("_n"),
-    )
-    w = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per.select(step, (F.sum("_s").over(w) / F.sum("_n").over(w)).alias("delta"))
+    including each step (``bco_pair``'s δ): per-step means and counts, then a
+    prefix scan of merges over the step table."""
+    each = F.lit(beta) * (F.col(c) - F.col(c0)) + F.lit(beta) * (F.col(r) - F.col(r0))
+    per = df.groupBy(step).agg((F.count(F.lit(1)) * 2).alias("_n"), (F.avg(each) / 2).alias("_m"))
+    run = running(per, Moments, [], [step], [F.col("_n"), F.col("_m"), F.lit(0.0)], ["_cn", "delta", "_m2"])
+    return run.select(step, "delta")
 
 
 def rank_matched_delta(df: DataFrame, kind: str, step: str = "step", key: str = "example_id") -> DataFrame:
@@ -253,19 +252,20 @@ def reward_model_report(df: DataFrame, rc: str, rr: str, step: str = "step", mar
 
 def running_moments(df: DataFrame, value: str, step: str = "step") -> DataFrame:
     """Per step the batch mean and sample std, and the running mean,
-    population variance and sample std over all steps so far (pooled from
-    per-step ``n, Σx, Σx²`` with a cumulative sum over the step table)."""
+    population variance and sample std over all steps so far. Each step is a
+    mergeable (n, mean, M2); the running figures are a prefix scan of merges over
+    range partitions of the steps."""
     per = df.groupBy(step).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("batch_mean"),
         F.stddev_samp(value).alias("batch_std"),
-        F.sum(value).alias("_s"),
-        F.sum(F.col(value) * F.col(value)).alias("_q"),
+        F.var_pop(value).alias("_var"),
     )
-    w = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n, s, q = F.sum("n").over(w), F.sum("_s").over(w), F.sum("_q").over(w)
-    out = per.select(step, "n", "batch_mean", "batch_std", n.alias("count"), (s / n).alias("mean"), ((q - s * s / n) / n).alias("var"))
-    return out.withColumn("std", F.sqrt(F.col("var") * F.col("count") / F.nullif(F.col("count") - 1, F.lit(0))))
+    out = running(per, Moments, [], [step], [F.col("n"), F.col("batch_mean"), F.col("_var") * F.col("n")], ["_n", "_mean", "_m2"])
+    count = F.col("_n").cast("long")
+    return out.select(
+        step, "n", "batch_mean", "batch_std", count.alias("count"), F.when(count > 0, F.col("_mean")).alias("mean"),
+        (F.col("_m2") / F.nullif(F.col("_n"), F.lit(0.0))).alias("var"), F.sqrt(F.col("_m2") / F.nullif(F.col("_n") - 1, F.lit(0.0))).alias("std"))
 
 
 def k3_kl(logp: Column, ref_logp: Column) -> Column:

@@ -43,6 +43,15 @@ def masked_whiten(spark, d):
     return w.select("example_id", F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("whitened_sum"))
 
 
+@register("masked_moments_shifted", with_views(
+    """SELECT step, avg(x) - 1e6 AS mean, var_samp(x) AS var, CAST(count(x) AS DOUBLE) AS mask_sum
+       FROM (SELECT step, unnest(list_transform(list_filter(list_zip("values", mask), lambda z: z[2] = 1), lambda z: z[1] + 1e6)) AS x FROM rtokens) GROUP BY step""", "rtokens"))
+def masked_moments_shifted(spark, d):
+    """A13 on values a million away from 0: no digits are lost."""
+    t = vw.rtokens(spark, d).withColumn("far", F.transform("values", lambda v: v + 1e6))
+    return po.masked_moments(t, "far", "mask").withColumn("mean", F.col("mean") - 1e6)
+
+
 # A14 + A15 -----------------------------------------------------------------
 _KLR = "list_transform(list_zip(logps, ref_logps), lambda z, i: -0.05 * (exp(z[2] - z[1]) - 1 - (z[2] - z[1])) + CASE WHEN i - 1 = list_sum(mask) - 1 THEN reward_a / 50.0 ELSE 0.0 END)"
 
@@ -83,6 +92,29 @@ def gae_advantages(spark, d):
                     s(F.col("returns")).alias("return_sum"))
 
 
+@register("gae_long_tokens", build_sql(["rtokens"], [_DELTA, _ADVS],
+    "SELECT example_id, adv[1] AS adv_first, list_sum(adv) AS adv_sum, list_sum(list_transform(list_zip(adv, v), lambda z: z[1] + z[2])) AS return_sum FROM av"))
+def gae_long_tokens(spark, d):
+    """A15 with a row for each token: the same advantages by a scan over range partitions."""
+    t = vw.rtokens(spark, d).withColumn("score", F.col("reward_a") / 50.0)
+    r = po.kl_token_rewards("logps", "ref_logps", "mask", "score", 0.05, "k3")
+    t = t.select("example_id", F.posexplode(F.arrays_zip(r.alias("r"), F.col("values").alias("v"))).alias("t", "z"))
+    g = po.gae_long(t.select("example_id", "t", "z.r", "z.v"), ["example_id"], "t", "r", "v", GAMMA, LAM)
+    return g.groupBy("example_id").agg(F.max(F.when(F.col("t") == 0, F.col("advantage"))).alias("adv_first"), F.sum("advantage").alias("adv_sum"), F.sum("ret").alias("return_sum"))
+
+
+@register("gae_event_trajectories", build_sql([], [
+    ("e", "SELECT event_type, value AS r, value / 3.0 AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS t, event_id FROM events"),
+    ("dl", f"SELECT *, r + {GAMMA} * coalesce(lead(v) OVER (PARTITION BY event_type ORDER BY t), 0.0) - v AS delta FROM e"),
+    # beyond 700 steps a term is below 1e-18 of the first
+    ("av", f"SELECT a.event_id, any_value(a.v) AS v, sum(pow({GAMMA * LAM}, b.t - a.t) * b.delta) AS adv FROM dl a JOIN dl b ON a.event_type = b.event_type AND b.t BETWEEN a.t AND a.t + 700 GROUP BY a.event_id")],
+    "SELECT event_id, adv AS advantage, adv + v AS ret FROM av"))
+def gae_event_trajectories(spark, d):
+    """A15 over five trajectories that hold all events between them."""
+    ev = vw.table(spark, d, "events").select("event_id", "event_type", F.struct("ts", "event_id").alias("t"), F.col("value").alias("r"), (F.col("value") / 3.0).alias("v"))
+    return po.gae_long(ev, ["event_type"], "t", "r", "v", GAMMA, LAM).select("event_id", "advantage", "ret")
+
+
 @register("ppo_report", build_sql(["rtokens"], [_DELTA, _ADVS],
     """SELECT step, sum(pg) / sum(n) AS pg_loss, sum(pgc) / sum(n) AS pg_clipfrac, 0.5 * sum(d2) / sum(ntok) AS approxkl,
               sum(ratio) / sum(n) AS ratio_mean, 0.5 * sum(vf) / sum(n) AS vf_loss, sum(vfc) / sum(n) AS vf_clipfrac, sum(ent) / sum(n) AS entropy

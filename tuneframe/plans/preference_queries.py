@@ -249,6 +249,17 @@ def running_moments(spark, d):
     return pf.running_moments(vw.rollouts(spark, d), "reward_a")
 
 
+@register("running_moments_shifted", with_views(
+    """SELECT s.step, any_value(s.n) AS n, any_value(s.batch_mean) AS batch_mean, any_value(s.batch_std) AS batch_std, count(x) AS count,
+              avg(x) - 1e6 AS mean, var_pop(x) AS var, stddev_samp(x) AS std
+       FROM (SELECT step, count(x) AS n, avg(x) - 1e6 AS batch_mean, stddev_samp(x) AS batch_std FROM (SELECT step, reward_a + 1e6 AS x FROM rollouts) GROUP BY step) s
+       JOIN (SELECT step, reward_a + 1e6 AS x FROM rollouts) r ON r.step <= s.step GROUP BY s.step""", "rollouts"))
+def running_moments_shifted(spark, d):
+    """A12 on rewards a million away from 0: no digits are lost."""
+    m = pf.running_moments(vw.rollouts(spark, d).withColumn("far", F.col("reward_a") + 1e6), "far")
+    return m.withColumns({"mean": F.col("mean") - 1e6, "batch_mean": F.col("batch_mean") - 1e6})
+
+
 @register("kl_k3", with_views(
     """SELECT step, avg(k) AS kl FROM (
          SELECT step, list_sum(list_transform(list_zip(logps, ref_logps, mask), lambda z: (exp(z[2] - z[1]) - (z[2] - z[1]) - 1) * z[3]))

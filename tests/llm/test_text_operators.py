@@ -2,7 +2,10 @@
 
 import random
 import textwrap
+from bisect import bisect_left
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -188,6 +191,80 @@ def test_license_notices(spark):
     assert licenses.license_notices(frame(spark, rows).limit(0)).count() == 0
 
 
+def exhaustive(text, ranker):
+    """Every template aligned over every stretch first; of the spans that overlap, the one
+    that its template compresses most stays, and the words between are searched again."""
+    text = text.lower()
+    found = [(m.start(), m.end()) for m in licenses.WORD.finditer(text)]
+    codes = np.array([ranker.code.get(text[x:y], len(ranker.code)) for x, y in found], dtype=np.int64)
+    out, todo = [], [(0, len(found))]
+    while todo:
+        low, high = todo.pop()
+        hits = []
+        for t, holds in zip(ranker.templates, ranker.holds, strict=True):
+            for a, b in licenses._stretches(holds[codes[low:high]], t):
+                for first, end, missing, extra in licenses._spans(t, codes, low + a, low + b):
+                    hits.append((-ranker.saved(text[found[first][0] : found[end - 1][1]], t)[0], t.name, first, end, missing, [text[slice(*found[x])] for x in extra]))
+        taken = []
+        for _, name, first, end, missing, extra in sorted(hits, key=lambda x: x[:4]):
+            at = bisect_left(taken, (first, end))
+            if (at and taken[at - 1][1] > first) or (at < len(taken) and taken[at][0] < end):
+                continue
+            taken.insert(at, (first, end))
+            out.append((text.count("\n", 0, found[first][0]), name, sorted(missing), sorted(extra)))
+        if taken:
+            todo += [(a, b) for a, b in zip([low, *(y for _, y in taken)], [*(x for x, _ in taken), high], strict=True) if a < b]
+    return sorted(out)
+
+
+def ranked(text, ranker):
+    return sorted((first, name, sorted(missing), sorted(extra)) for _, name, first, _, _, missing, extra in licenses.find(text, ranker))
+
+
+def licensed_texts():
+    """Every template in seven layouts, edited, beside others, and in other prose."""
+    rng, vocabulary = texts(6)
+    flat = [" ".join(t.split()) for _, t in licenses.TEMPLATES.values()]
+    out = []
+    for text, words in zip([t for _, t in licenses.TEMPLATES.values()], flat, strict=True):
+        out += [text, words, words.upper(), "// " + text.replace("\n", "\n// "), *(textwrap.fill(words, w, break_long_words=False, break_on_hyphens=False) for w in (1, 30, 72))]
+        for _ in range(3):
+            w = words.split()
+            for _ in range(max(1, len(w) // 12)):
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[], [w[k], rng.choice(vocabulary)], [rng.choice(vocabulary)]])
+            out.append(" ".join(rng.choices(vocabulary, k=30) + w + rng.choices(vocabulary, k=30)))
+    for _ in range(40):
+        out.append("\n".join(rng.sample(flat, 4)))
+        out.append(" ".join(" ".join(rng.choices(vocabulary, k=5)) + " " + x for x in rng.sample(flat, 6)))
+    return out
+
+
+def test_ranked_blocks_find_what_all_alignments_find(spark):
+    ranker = licenses.Ranker(licenses.TEMPLATES, 0.15)
+    whole = licensed_texts() + [t for _, t in [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()] if t and "icense" in t]
+    assert len(whole) > 300
+    assert all(ranked(t, ranker) == exhaustive(t, ranker) for t in whole)
+
+
+def test_every_template_has_triggers_to_spare():
+    import re
+
+    for name, (_, text) in licenses.TEMPLATES.items():
+        least = licenses.Template(name, "", text, licenses.words(text), 0.15).most_missing
+        words = licenses.words(text)
+        hits = sum(any(x in w for x in licenses.TRIGGERS if " " not in x) for w in words) + sum(len(re.findall(x, " ".join(words))) for x in licenses.TRIGGERS if " " in x)
+        assert hits > least, name
+
+
+def test_the_ranking_decides(spark, monkeypatch):
+    ranker = licenses.Ranker(licenses.TEMPLATES, 0.15)
+    whole = [t for t in licensed_texts()]
+    by_rank = [ranked(t, ranker) for t in whole]
+    monkeypatch.setattr(licenses.Ranker, "saved", lambda self, span, t: (0, 0.0))
+    assert sum(a != ranked(t, ranker) for a, t in zip(by_rank, whole, strict=True)) >= 10
+
+
 def test_op1_finds_the_lines_of_notices(spark):
     got = queries.QUERIES["op1_license_scan"](spark, SF).collect()
     lines = {t[1]: name for name, t in licenses.TEMPLATES.items() if name.endswith("-line")}
@@ -198,11 +275,10 @@ def test_op1_finds_the_lines_of_notices(spark):
 def test_line_templates_cases(spark):
     rows = [(i, f"Page {i} of 20 was printed by user{i}\n{chr(97 + i)} line of my own here\n\n  ") for i in range(9)]
     rows += [(20, "Page 3 of 20 was printed by user3"), *[(21, "the very same thing here") for _ in range(9)], *ODD]
-    got = line_templates.drop_recurring_lines(frame(spark, rows)).collect()
-    kept = {r.doc_id: r.kept for r in got}
-    assert kept[0] == "a line of my own here\n\n  " and kept[20] == "" and kept[21] == "the very same thing here"
-    assert kept[1] is None and {r.n_dropped for r in got if r.doc_id in (0, 20)} == {1}
-    assert kept[3] == " \n\t " and len(got) == len(rows)
+    got = Counter((r.doc_id, r.text, r.kept, r.n_dropped) for r in line_templates.drop_recurring_lines(frame(spark, rows)).collect())
+    want = Counter((i, t, t.split("\n", 1)[1], 1) for i, t in rows[:9])
+    want += Counter([(20, "Page 3 of 20 was printed by user3", "", 1)] + [(21, "the very same thing here", "the very same thing here", 0)] * 9 + [(i, t, t, 0) for i, t in ODD])
+    assert got == want
     assert line_templates.drop_recurring_lines(frame(spark, rows).limit(0)).count() == 0
 
 

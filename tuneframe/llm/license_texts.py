@@ -40,6 +40,95 @@ but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
 GNU General Public License for more details."""
 
+GPL2_NOTICE = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU General Public License for more details."""
+
+LGPL_NOTICE = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+Lesser General Public License for more details."""
+
+AGPL3_NOTICE = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU Affero General Public License for more details."""
+
+MPL2_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+EPL2_NOTICE = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""
+
+BSD3_CLAUSE = """Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission."""
+
+BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+MIT_DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+BSD0_GRANT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted."""
+
+ZLIB_GRANT = """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not
+claim that you wrote the original software. If you use this software
+in a product, an acknowledgment in the product documentation would be
+appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+
+BSL_GRANT = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:"""
+
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+
+CC0_NOTICE = """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty."""
+
 #: name of the template -> (license, text)
 TEMPLATES = {
     "mit-grant": ("MIT", MIT_GRANT),
@@ -50,11 +139,24 @@ TEMPLATES = {
     "apache-line": ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     "gpl3-notice": ("GPL-3.0", GPL3_NOTICE),
     "gpl3-line": ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    "gpl2-notice": ("GPL-2.0", GPL2_NOTICE),
+    "lgpl-notice": ("LGPL-2.1", LGPL_NOTICE),
+    "agpl3-notice": ("AGPL-3.0", AGPL3_NOTICE),
+    "mpl2-notice": ("MPL-2.0", MPL2_NOTICE),
+    "epl2-notice": ("EPL-2.0", EPL2_NOTICE),
+    "bsd3-clause": ("BSD-3-Clause", BSD3_CLAUSE),
+    "bsd-disclaimer": ("BSD", BSD_DISCLAIMER),
+    "mit-disclaimer": ("MIT", MIT_DISCLAIMER),
+    "0bsd-grant": ("0BSD", BSD0_GRANT),
+    "zlib-grant": ("Zlib", ZLIB_GRANT),
+    "bsl-grant": ("BSL-1.0", BSL_GRANT),
+    "unlicense": ("Unlicense", UNLICENSE),
+    "cc0-notice": ("CC0-1.0", CC0_NOTICE),
     "cc-by-line": ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     "cc-by-sa-line": ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     "cc-by-nc-line": ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     "reserved-line": ("All-Rights-Reserved", "All rights reserved."),
 }
 
-#: words that a line of a notice holds
-TRIGGERS = ["license", "licence", "licensed", "copyright", "copies", "permission", "permitted", "redistribut", "warrant", "rights reserved"]
+#: A notice holds one of these at least, whatever words it may lack.
+TRIGGERS = ["license", "licence", "licensed", "copyright", "copies", "permission", "permitted", "redistribut", "warrant", "rights reserved", "public domain", "distribut", "software", "hereby", "conditions", "disclaimer"]

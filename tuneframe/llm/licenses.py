@@ -1,29 +1,39 @@
 """License notices in documents by conditional compression (operator 1).
 
 A text is one sequence of words with the line of each, so wrapping, comment marks
-and the words around a notice don't count. Per template, only stretches can hold it
-where as many words as a span may have (its words and the allowed extra ones)
-include enough words of its vocabulary; this bound is exact. In these stretches the
-alignment decides: a notice lacks at most ``difference_share`` of the template's
-words, and missing and extra words together are at most twice that. Spans that
-overlap are ranked by the bytes that zstandard saves on the span with the template
-as a raw dictionary; the words of the best are taken, and the words between go on.
-The result states the exact words that are missing or extra.
+and the words around a notice don't count.
+
+1. Candidate blocks: per template, windows of twice a span's greatest length, one
+   length apart, over the stretches where as many words as a span may have include
+   enough words of the template's vocabulary (an exact bound: no notice lies outside).
+2. Each block is compressed with zstandard alone and with its template as a raw
+   dictionary; the blocks of all templates are ranked by the bytes that this saves.
+3. In rank order a block's winner is confirmed by the exact alignment of words: a notice
+   lacks at most ``difference_share`` of the template's words, and missing and extra words
+   together are at most twice that. The templates are ranked once more on the confirmed
+   words alone, without what lay beside them in the block, and the first that the wording
+   confirms takes them; if none is confirmed, the next block in rank is tried on the words
+   still free.
+
+So the ranking decides which template a passage belongs to where several fit, and no
+block is left unaligned for its rank. The result states the exact words that are missing
+or extra. ``saved`` is the share of the notice's compressed size that the template saves.
 
 The work is one pass without a shuffle: a native filter keeps the documents with
-a trigger word, and their texts are read in Arrow batches; templates are a few
+a trigger, and their texts are read in Arrow batches; templates are a few
 short texts. Compression sees lower case and single spaces, so layout and case
 don't count. A document's findings are several rows.
 
 Defined cases: null and empty texts have no notices; nor has a document without
-any trigger word; null ids are carried through; repeated rows are found each; ties
-in rank go by template name, then position; extra columns are ignored; no document
-is shortened, whatever its length."""
+any trigger (the default ones occur in every template of ``TEMPLATES``, more often than a
+notice may lack words; with other templates all documents are read); null ids are carried through; repeated rows are
+found each; ties in rank go by template name, then position; extra columns are ignored; no
+document is shortened, whatever its length."""
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,34 +165,74 @@ def _spans(t: Template, text: np.ndarray, a: int, b: int) -> list[tuple[int, int
     return out
 
 
+def blocks(codes: np.ndarray, ranker: Ranker) -> Iterator[tuple[int, int, int]]:
+    """(template, first word, end) of the blocks that can hold a notice. Every span of the
+    template's greatest length lies within one of them."""
+    for i, (t, holds) in enumerate(zip(ranker.templates, ranker.holds, strict=True)):
+        width = len(t.codes) + t.most
+        for a, b in _stretches(holds[codes], t):
+            for start in range(a, max(b - width, a + 1), width):
+                yield i, start, min(b, start + 2 * width)
+
+
 def find(text: str, ranker: Ranker) -> list[tuple]:
     """(license, template, first line, last line, saved, missing, extra) in a text."""
     text = text.lower()
     found = [(m.start(), m.end()) for m in WORD.finditer(text)]
     codes = np.array([ranker.code.get(text[x:y], len(ranker.code)) for x, y in found], dtype=np.int64)
     breaks = [m.start() for m in re.finditer("\n", text)]
-    out, todo = [], [(0, len(found))]
-    while todo:
-        low, high = todo.pop()
-        hits = []
-        for t, holds in zip(ranker.templates, ranker.holds, strict=True):
-            for a, b in _stretches(holds[codes[low:high]], t):
-                for first, end, missing, extra in _spans(t, codes, low + a, low + b):
-                    less, saved = ranker.saved(text[found[first][0] : found[end - 1][1]], t)
-                    hits.append((-less, t.name, first, end, t.license, saved, missing, extra))
-        taken: list[tuple[int, int]] = []
-        for _, name, first, end, license_, saved, missing, extra in sorted(hits, key=lambda x: x[:4]):
-            at = bisect_left(taken, (first, end))
-            if (at and taken[at - 1][1] > first) or (at < len(taken) and taken[at][0] < end):
-                continue
-            taken.insert(at, (first, end))
-            lines = bisect_left(breaks, found[first][0]), bisect_left(breaks, found[end - 1][0])
-            out.append((first, (license_, name, *lines, saved, missing, [text[slice(*found[x])] for x in extra])))
-        if taken:
-            todo += [(a, b) for a, b in zip([low, *(y for _, y in taken)], [*(x for x, _ in taken), high], strict=True) if a < b]
+    text_of = lambda a, b: text[found[a][0] : found[b - 1][1]]
+    ranked, where = [], [[] for _ in ranker.templates]
+    for i, a, b in blocks(codes, ranker):
+        ranked.append((-ranker.saved(text_of(a, b), ranker.templates[i])[0], ranker.templates[i].name, a, b, i))
+        where[i].append((a, b))
+    taken: list[tuple[int, int]] = []
+    out = []
+
+    def confirm(i: int, a: int, b: int) -> Iterator[tuple[int, int, list[str], list[int]]]:
+        t = ranker.templates[i]
+        for low, high in _free(taken, a, b):
+            if high - low >= len(t.codes) - t.most_missing:
+                yield from _spans(t, codes, low, high)
+
+    def take(i: int, first: int, end: int, missing: list[str], extra: list[int]) -> None:
+        insort(taken, (first, end))
+        t, lines = ranker.templates[i], (bisect_left(breaks, found[first][0]), bisect_left(breaks, found[end - 1][0]))
+        out.append((first, (t.license, t.name, *lines, ranker.saved(text_of(first, end), t)[1], missing, [text[slice(*found[x])] for x in extra])))
+
+    def settle(i: int, first: int, end: int, missing: list[str], extra: list[int]) -> None:
+        """Take the notice, or the better one that its words alone point to."""
+        span = text_of(first, end)
+        least = ranker.saved(span, ranker.templates[i])[0]
+        rivals = [(-ranker.saved(span, ranker.templates[j])[0], ranker.templates[j].name, j) for j in range(len(where)) if j != i and any(x < end and first < y for x, y in where[j])]
+        for less, _, j in sorted(rivals):
+            if -less <= least:
+                break
+            width = len(ranker.templates[j].codes) + ranker.templates[j].most
+            better = next((x for x in confirm(j, max(0, first - width), min(len(codes), end + width)) if x[0] < end and first < x[1]), None)
+            if better:
+                return take(j, *better)
+        return take(i, first, end, missing, extra)
+
+    for *_, a, b, i in sorted(ranked):
+        while (notice := next(confirm(i, a, b), None)) is not None:
+            settle(i, *notice)
     return [x for _, x in sorted(out, key=lambda x: x[0])]
 
 
+def _free(taken: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    """The parts of a to b that no notice has taken."""
+    out = []
+    for x, y in taken[max(0, bisect_left(taken, (a, a)) - 1) :]:
+        if x >= b:
+            break
+        if y > a:
+            if x > a:
+                out.append((a, x))
+            a = y
+    return [*out, (a, b)] if a < b else out
+
+
 def pattern(triggers: list[str]) -> str:
     """Java's regular expression; the words of a trigger can be on two lines."""
     return "(?i)" + "|".join(r"[^\p{L}\p{N}]+".join(map(re.escape, t.split())) for t in triggers)
@@ -208,9 +258,12 @@ def _scanner(templates: dict[str, tuple[str, str]], share: float):
 
 
 def license_notices(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, tuple[str, str]] = TEMPLATES,
-                    triggers: list[str] = TRIGGERS, difference_share: float = 0.15) -> DataFrame:
-    """One row per notice found; lines count from 0. ``saved`` is the share of the
-    notice's compressed size that the template saves."""
+                    triggers: list[str] | None = None, difference_share: float = 0.15) -> DataFrame:
+    """One row per notice found; lines count from 0. ``triggers``: documents without any
+    are not read (default: ``TRIGGERS`` for the given templates, else all documents are)."""
+    if triggers is None:
+        triggers = TRIGGERS if templates is TEMPLATES else []
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = rows.where(F.col("text").rlike(pattern(triggers)))
+    if triggers:
+        rows = rows.where(F.col("text").rlike(pattern(triggers)))
     return rows.mapInArrow(_scanner(templates, difference_share), FOUND)

@@ -159,4 +159,4 @@ TEMPLATES = {
 }
 
 #: A notice holds one of these at least, whatever words it may lack.
-TRIGGERS = ["license", "licence", "licensed", "copyright", "copies", "permission", "permitted", "redistribut", "warrant", "rights reserved", "public domain", "distribut", "software", "hereby", "conditions", "disclaimer"]
+TRIGGERS = ["license", "licence", "licensed", "copyright", "copies", "permission", "permitted", "redistribut", "warrant", "rights reserved", "public domain", "distribut", "software", "hereby", "conditions", "disclaimer", "public", "merchantability", "fitness"]

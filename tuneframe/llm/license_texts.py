@@ -159,4 +159,8 @@ TEMPLATES = {
 }
 
 #: A notice holds one of these at least, whatever words it may lack.
-TRIGGERS = ["license", "licence", "licensed", "copyright", "copies", "permission", "permitted", "redistribut", "warrant", "rights reserved", "public domain", "distribut", "software", "hereby", "conditions", "disclaimer", "public", "merchantability", "fitness"]
+TRIGGERS = [
+    "license", "licence", "licensed", "copyright", "copies", "permission", "permitted", "redistribut", "distribut", "warrant", "rights reserved",
+    "public", "software", "hereby", "conditions", "disclaim", "merchantability", "fitness", "mozilla", "mpl", "eclipse", "epl",
+    "holder", "contributor", "liab", "damage", "misrepresent", "granted", "alter", "binary", "unencumbered", "original", "notice",
+]

@@ -162,5 +162,5 @@ TEMPLATES = {
 TRIGGERS = [
     "license", "licence", "licensed", "copyright", "copies", "permission", "permitted", "redistribut", "distribut", "warrant", "rights reserved",
     "public", "software", "hereby", "conditions", "disclaim", "merchantability", "fitness", "mozilla", "mpl", "eclipse", "epl",
-    "holder", "contributor", "liab", "damage", "misrepresent", "granted", "alter", "binary", "unencumbered", "original", "notice",
+    "holder", "contributor", "liab", "damage", "misrepresent", "granted", "alter", "binary", "unencumbered", "original", "notice", "anyone",
 ]

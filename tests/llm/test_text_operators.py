@@ -169,6 +169,44 @@ def test_decontamination_cases(spark):
     assert decontamination.decontaminate(frame(spark, rows).limit(0), bench).count() == 0
 
 
+def test_repetitive_texts_need_little_memory():
+    import tracemalloc
+
+    rng, v = texts(9)
+    line = " ".join(rng.choice(v) for _ in range(12)) + "\n"
+    pair, other = "ab" * 150, decontamination.normal(line)
+    for text, item in [("ab" * 50_000, pair), (line * 1500, other), ("a" * 100_000, "a" * 200), ("ab" * 1000 + "x" + "ab" * 1000, pair)]:
+        index = decontamination.Index([(1, item)], 12, 0.05)
+        tracemalloc.start()
+        got = index.matches([decontamination.normal(text)])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 300e6
+        spans = [(a, b) for _, _, a, b, _ in got]
+        assert all(y <= x for (_, y), (x, _) in zip(spans, spans[1:], strict=False))  # none overlaps another
+        # all but what is too short for another one is covered
+        assert sum(b - a for a, b in spans) > 0.85 * len(decontamination.normal(text)) - len(item) and any(e == 0 for *_, e in got)
+
+
+def test_counts_of_positions_add_up_over_slices(monkeypatch):
+    rng = random.Random(8)
+    items = [(i, "".join(rng.choice("abc") for _ in range(40))) for i in range(6)]
+    found = ["".join(rng.choice("abc") for _ in range(300)) + rng.choice(items)[1] for _ in range(12)]
+    index = decontamination.Index(items, 5, 0.1)
+    want = index.matches(found)
+    monkeypatch.setattr(decontamination, "SLICE", 50)
+    monkeypatch.setattr(decontamination, "WIDE", 64)
+    assert index.matches(found) == want and {t for t, *_ in want} == set(range(12))
+
+
+def test_items_shorter_than_a_gram_match_exactly(spark):
+    bench = spark.createDataFrame([(1, "tiny"), (2, "é"), (3, ""), (4, "eleven chrs")], "item_id long, text string")
+    rows = [(10, "a Tiny thing"), (11, "tin y"), (12, "cafÉ"), (13, "eleven  chrs"), (14, "eleven chr"), (15, None)]
+    got = {(r.doc_id, r.item_id, r.start, r.end, r.edits, r.item_chars) for r in decontamination.leaks(frame(spark, rows), bench).collect()}
+    assert got == {(10, 1, 2, 6, 0, 4), (12, 2, 3, 4, 0, 1), (13, 4, 0, 11, 0, 11)}
+    assert {r.doc_id for r in decontamination.decontaminate(frame(spark, rows), bench, max_index_chars=70).collect()} == {11, 14, 15}
+
+
 def test_op3_finds_every_exact_passage(spark):
     normal = decontamination.normal
     bench = [(r.item_id, normal(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

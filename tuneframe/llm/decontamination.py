@@ -1,26 +1,33 @@
 """Benchmark passages in documents by the q-gram lemma (operator 3).
 
-An item of m characters that occurs in a text with at most k edits shares at
-least ``m - q + 1 - k * q`` of its q-grams with it, on diagonals (text position
-minus item position) that differ by at most k. So the shared q-grams of each
-document and item are counted, by distinct item position, in diagonal bands that
-overlap such that some band holds all diagonals of any occurrence; bands that
-reach the bound are verified by a banded alignment, which gives the edits and the
-span. Texts are compared lower-cased, with each run of white space as one space;
-spans are positions in that form.
+An item of m characters that occurs in a text with at most k edits leaves at
+least ``m - q + 1 - k * q`` q-grams intact, at as many text positions, on diagonals (text
+position minus item position) that differ by at most k. So for each document and item the
+text positions that share a q-gram are counted in diagonal bands that
+overlap such that some band holds all diagonals of any occurrence. Bands that
+reach the bound are verified by a banded alignment, neighbouring ones as one, which gives
+the edits and the span. Texts are compared lower-cased, with each run of white space as one
+space; spans are positions in that form.
+
+A q-gram that repeats in a text and in an item meets itself on very many diagonals. Counts
+of text positions add up over slices of a text, so pairs are made some ``SLICE`` at a
+time, and wide bands are aligned ``WIDE`` diagonals at a time: memory doesn't grow with
+repetition.
 
 Documents stay where they are: a pass over them reads a broadcast index of the
-items' q-grams. An index holds at most ``max_index_chars`` characters; a larger
-benchmark is cut into several indexes by a hash of the item, one pass each.
+items' q-grams. An index holds at most ``max_index_chars`` characters (some 36 bytes each);
+a larger benchmark is cut into several indexes by a hash of the item, one pass each,
+written before the next, so that one index is in memory at a time.
 
-Defined cases: null and empty texts match nothing; items of fewer than ``q``
-characters are too short to be evidence and match nothing; the budget is lowered
+Defined cases: null and empty texts and items match nothing; items of fewer than ``q``
+characters are matched without edits, by q-grams of their own length; the budget is lowered
 where the bound would fall below one shared q-gram; items with equal texts match
 together; null ids are carried through; repeated rows match each for itself;
 other columns are kept or ignored, whatever their names."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .words import chunks, grams, mix
 
 MAP_BITS, UNIT = 22, 1 << 32
+SLICE, WIDE = 1 << 20, 1 << 16
 
 
 def normal(text: str | None) -> str:
@@ -46,17 +55,12 @@ def _gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return grams(mix(codes.astype(np.uint64)), q)
 
 
-class Index:
-    """The q-grams of some items: ``hashes`` sorted, each with its places
-    ``owner``/``place`` between ``first`` and the next ``first``."""
+class Grams:
+    """The q-grams of some items of q characters at least: ``hashes`` sorted, each with its
+    places ``owner``/``place`` between ``first`` and the next ``first``."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, edit_share: float):
-        by_text: dict[str, list[int]] = {}
-        for item_id, text in items:
-            if len(text) >= q:
-                by_text.setdefault(text, []).append(item_id)
-        self.q, self.ids = q, list(by_text.values())
-        self.codes = [_codes(t) for t in by_text]
+    def __init__(self, texts: list[str], q: int, edit_share: float):
+        self.q, self.codes = q, [_codes(t) for t in texts]
         size = np.array([len(c) for c in self.codes], np.int64)
         self.budget = np.minimum((edit_share * size).astype(np.int64), (size - q) // q)
         self.need = size - q + 1 - self.budget * q
@@ -84,26 +88,38 @@ class Index:
         same = self.hashes[k] == h[at]
         at, k = at[same], k[same]
         n = self.first[k + 1] - self.first[k]
-        slot = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(at) else at
-        at = np.repeat(at, n)
-        text, item, place = text_of[at], self.owner[slot], self.place[slot]
-        diagonal = at - begin[text] - place
-        band = diagonal // (self.budget[item] + 1)
-        # a band is two steps wide, so a diagonal is in the band of its step and the one before
-        rows = np.concatenate([np.stack([text, item, b, place], 1) for b in (band, band - 1)])
-        rows = rows[np.lexsort(rows.T[::-1])]
-        if len(rows):
-            rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])]
-            new = np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(1)])
-            counts = np.diff(np.append(np.flatnonzero(new), len(rows)))
-            rows = rows[new][:, :3]
-            rows = rows[counts >= self.need[rows[:, 1]]]
-        return rows[:, :3]
-
-    def align(self, codes: np.ndarray, item: int, low: int, high: int) -> tuple[int, int, int] | None:
-        """(edits, start, end) of the best occurrence of the item whose diagonals
-        lie in low .. high, or None beyond the budget. Costs and starts are carried
-        in one integer: edits * UNIT + start."""
+        step = self.budget + 1
+        span = int(len(codes) + self.size.max(initial=0)) * 2 + 4  # more bands than any item has
+        keys, counts = [], []
+        part = (np.cumsum(n) - 1) // SLICE
+        for a, b in zip(np.searchsorted(part, np.unique(part)).tolist(), np.searchsorted(part, np.unique(part), "right").tolist(), strict=True):
+            m = n[a:b]
+            slot = np.repeat(self.first[k[a:b]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            where = np.repeat(at[a:b], m)
+            text, item = text_of[where], self.owner[slot]
+            band = (where - begin[text] - self.place[slot]) // step[item]
+            key = (text * len(self.codes) + item) * span + band + span // 2
+            # a band is two steps wide, so a diagonal is in the band of its step and the one before
+            key, where = np.concatenate([key, key - 1]), np.concatenate([where, where])
+            order = np.lexsort((where, key))
+            key, where = key[order], where[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (where[1:] != where[:-1])
+            key, count = np.unique(key[new], return_counts=True)
+            keys.append(key)
+            counts.append(count)
+        if not keys:
+            return np.zeros((0, 3), np.int64)
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+        pair, band = np.divmod(key, span)
+        rows = np.stack([pair // len(self.codes), pair % len(self.codes), band - span // 2], 1)
+        return rows[total >= self.need[rows[:, 1]]]
+
+    def occurrences(self, codes: np.ndarray, item: int, low: int, high: int) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of the item on the diagonals low .. high: those with the
+        fewest edits first, then the first to end; none overlaps one before it. Costs and
+        starts are carried in one integer: edits * UNIT + start."""
         p, width = self.codes[item], high - low + 1
         n = len(codes)
         padded = np.full(len(p) + width + 1, -1, np.int64)
@@ -120,31 +136,68 @@ class Index:
             new[there < 0] = far
             new[:-1] = np.minimum(new[:-1], row[1:] + UNIT)
             row = np.minimum.accumulate(new - steps) + steps
-        best = int(row.min())
-        if best // UNIT > self.budget[item]:
-            return None
-        return best // UNIT, best % UNIT, min(n, low + int(row.argmin()) + len(p))
+        out: list[tuple[int, int, int]] = []
+        ends = np.flatnonzero(row // UNIT <= self.budget[item])
+        base = max(0, low)
+        taken = np.zeros(max(0, high - base) + len(p) + 2, bool)
+        for j in ends[np.argsort(row[ends] // UNIT, kind="stable")].tolist():
+            edits, start = divmod(int(row[j]), UNIT)
+            end = min(n, low + j + len(p))
+            if not taken[start - base : end - base].any():
+                taken[start - base : end - base] = True
+                out.append((start, end, edits))
+        return out
 
-    def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, start, end, edits) of all occurrences, overlapping bands'
-        best one."""
-        codes = [_codes(t) for t in texts]
+    def matches(self, codes: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, start, end, edits) of all occurrences, of overlapping ones the best."""
         sizes = np.array([len(c) for c in codes], np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes)])
-        rows = self.bands(np.concatenate(codes) if codes else np.zeros(0, "<u4"), np.repeat(np.arange(len(texts)), sizes), begin)
+        rows = self.bands(np.concatenate(codes) if codes else np.zeros(0, "<u4"), np.repeat(np.arange(len(codes)), sizes), begin)
         out: list[tuple[int, int, int, int, int]] = []
-        for text, item, band in rows.tolist():
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1) | (rows[1:, 2] > rows[:-1, 2] + 1)
+        first = np.flatnonzero(new)
+        for a, b in zip(first.tolist(), np.append(first[1:], len(rows)).tolist(), strict=False):
+            text, item, band = rows[a].tolist()
             step = int(self.budget[item]) + 1
-            found = self.align(codes[text], item, band * step, (band + 2) * step - 1)
-            if found is None:
-                continue
-            edits, start, end = found
-            if out and out[-1][:2] == (text, item) and start < out[-1][3]:
-                if edits < out[-1][4]:
-                    out[-1] = (text, item, start, end, edits)
-            else:
+            low, high = band * step, (int(rows[b - 1, 2]) + 2) * step - 1
+            found: list[tuple[int, int, int]] = []
+            for at in range(low, high + 1, WIDE):  # parts share two steps, so no occurrence is cut
+                found += self.occurrences(codes[text], item, at, min(high, at + WIDE + 2 * step - 1))
+            held: list[tuple[int, int]] = []
+            for start, end, edits in sorted(found, key=lambda x: (x[2], x[1])) if high - low >= WIDE else found:
+                k = bisect_left(held, (start, end))
+                if (k and held[k - 1][1] > start) or (k < len(held) and held[k][0] < end):
+                    continue
+                held.insert(k, (start, end))
                 out.append((text, item, start, end, edits))
-        return out
+        return sorted(out)
+
+
+class Index:
+    """Items by their q-grams; those too short for ``q`` by grams of their whole length.
+    ``ids``: each different text's items."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int, edit_share: float):
+        by_text: dict[str, list[int]] = {}
+        for item_id, text in items:
+            if text:
+                by_text.setdefault(text, []).append(item_id)
+        groups: dict[int, list[str]] = {}
+        for text in by_text:
+            groups.setdefault(min(q, len(text)), []).append(text)
+        self.grams, self.ids, self.chars = [], [], []
+        for size, group in sorted(groups.items(), reverse=True):
+            self.grams.append((len(self.ids), Grams(group, size, edit_share)))
+            self.ids += [by_text[t] for t in group]
+            self.chars += [len(t) for t in group]
+        self.codes = [c for _, g in self.grams for c in g.codes]
+        self.budget = [int(k) for _, g in self.grams for k in g.budget]
+
+    def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, start, end, edits); ``item`` counts along ``ids``."""
+        codes = [_codes(t) for t in texts]
+        return sorted((text, first + item, *rest) for first, grams in self.grams for text, item, *rest in grams.matches(codes))
 
 
 def _indexes(benchmark: DataFrame, id_column: str, text_column: str, q: int, edit_share: float, max_index_chars: int) -> Iterator[Index]:
@@ -160,8 +213,7 @@ def _pass(shared, columns: list[str], text_column: str, clean: bool):
     """mapInArrow function: the rows without a match, or the matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index.__new__(Index)  # the broadcast is plain arrays: workers need no package
-        index.__dict__.update(shared.value)
+        index = shared.value
         for whole in batches:
             for batch in chunks(whole, text_column):
                 found = index.matches([normal(t) for t in batch.column(text_column).to_pylist()])
@@ -171,7 +223,7 @@ def _pass(shared, columns: list[str], text_column: str, clean: bool):
                     yield batch.filter(pa.array(keep)) if len(found) else batch
                     continue
                 ids = batch.column(columns[0]).to_pylist()
-                rows = [(ids[t], item_id, a, b, e, len(index.codes[i])) for t, i, a, b, e in found for item_id in index.ids[i]]
+                rows = [(ids[t], item_id, a, b, e, index.chars[i]) for t, i, a, b, e in found for item_id in index.ids[i]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "start", "end", "edits", "item_chars"])
 
@@ -179,22 +231,33 @@ def _pass(shared, columns: list[str], text_column: str, clean: bool):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text",
-          q: int = 12, edit_share: float = 0.05, max_index_chars: int = 20_000_000) -> DataFrame:
+          q: int = 12, edit_share: float = 0.05, max_index_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, start, end, edits, item_chars): the occurrences of items
     with at most ``edit_share`` of their characters inserted, deleted or replaced."""
-    out = None
+    out, scratch, spark = [], Scratch(docs.sparkSession, "leaks"), docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     for index in _indexes(benchmark, item_column, item_text_column, q, edit_share, max_index_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(vars(index))
-        part = rows.mapInArrow(_pass(shared, ["doc_id"], "text", False), "doc_id long, item_id long, start long, end long, edits long, item_chars long")
-        out = part if out is None else out.unionByName(part)
-    return out
+        shared = spark.sparkContext.broadcast(index)
+        found = rows.mapInArrow(_pass(shared, ["doc_id"], "text", False), "doc_id long, item_id long, start long, end long, edits long, item_chars long")
+        out.append(scratch.save(found))
+        shared.destroy()
+    both = out[0]
+    for part in out[1:]:
+        both = both.unionByName(part)
+    return both
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text",
-                  q: int = 12, edit_share: float = 0.05, max_index_chars: int = 20_000_000) -> DataFrame:
+                  q: int = 12, edit_share: float = 0.05, max_index_chars: int = 2_000_000) -> DataFrame:
     """``docs`` without the rows in which an item occurs."""
+    scratch, before, shared = Scratch(docs.sparkSession, "decontaminated"), None, None
     for index in _indexes(benchmark, item_column, item_text_column, q, edit_share, max_index_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(vars(index))
+        if shared is not None:  # another pass: write what the last one kept and free its index
+            kept = scratch.save(docs)
+            shared.destroy()
+            if before is not None:
+                scratch.drop(before)
+            docs = before = kept
+        shared = docs.sparkSession.sparkContext.broadcast(index)
         docs = docs.mapInArrow(_pass(shared, docs.columns, text_column, True), docs.schema)
     return docs

@@ -226,3 +226,88 @@ def test_pipeline_classes_each_text_of_a_repeated_doc_id(spark):
     got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF).collect()
     assert sorted(r.text[0] for r in got if r.doc_id is not None and r.text) == ["a", "b", "c", "d"]
     assert {r.doc_id for r in got} == {1, 5, 7, 8, 9, None} or {r.doc_id for r in got} == {1, 5, 8, 9, None}
+
+
+def plain_score(net, text):
+    """The network's answer for one text, filter by filter and place by place."""
+    data = (text or "").encode()
+    step = quality.CHUNK - quality.OVERLAP
+    pooled = []
+    for at in range(0, max(1, len(data) - quality.OVERLAP), step):
+        piece = data[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+        best = np.full(quality.FILTERS, -np.inf)
+        for k in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+            seen = np.concatenate([net.embed[b] for b in piece[k : k + quality.WIDTH]])
+            best = np.maximum(best, seen @ net.filters)
+        pooled.append(np.maximum(best + net.bias, 0))
+    pooled = np.array(pooled)
+    features = np.concatenate([pooled.mean(0), pooled.max(0), pooled.min(0)])
+    hidden = np.tanh(features @ net.hidden + net.hidden_bias)
+    return float(1 / (1 + np.exp(-(hidden @ net.out + net.out_bias)[0])))
+
+
+def test_scores_equal_a_plain_loop_over_whole_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    net = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r.score for r in quality.score(docs, net).collect()}
+    rows = sorted(documents(spark), key=lambda r: len(r[1]))
+    picked = rows[:10] + rows[len(rows) // 2 : len(rows) // 2 + 10] + rows[-4:]
+    assert len(picked[-1][1]) > 10 * quality.CHUNK
+    for i, t in picked:
+        assert abs(got[i] - plain_score(net, t)) < 1e-4
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of longs, ints (given as ("int", x)) and texts; nulls are skipped."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = struct.pack("<i", v[1]) if isinstance(v, tuple) else struct.pack("<q", v) if isinstance(v, int) else v.encode()
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_taken(rows, block=32, seed=10):
+    """(doc_id, taken) from the draws' sums and a plain form of the permutations."""
+    import math
+
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(plain.split(t))
+    out = Counter()
+    for number, (source, target) in enumerate(mixing.targets(dict(sizes), (3, 1, 2), 1.5, 2.0).items()):
+        blocks = math.ceil(sizes[source] / block)
+        slots = min(int(2.0 * blocks), round(target / sizes[source] * blocks)) if sizes[source] else 0
+        uses = Counter()
+        for n in range(slots):
+            x, key = n % blocks, (("int", seed), ("int", number), ("int", n // blocks))
+            for r in range(1, mixing.ROUNDS + 1):
+                mirror = (spark_hash(("int", r), *key) % blocks - x) % blocks
+                if spark_hash(max(x, mirror), ("int", r), "swap", *key) % 2 == 0:
+                    x = mirror
+            uses[x] += 1
+        at, mine = 0, []
+        for i, t, s in rows:
+            if s == source:
+                row_print = spark_hash(i, t, s)
+                mine.append((spark_hash(i, row_print) % mixing.SUBS, (i is not None, i), row_print, len(plain.split(t))))
+        for _, (_, i), _, size in sorted(mine):
+            out[i] += sum(uses[k // block] for k in range(at, at + size))
+            at += size
+    return out
+
+
+def test_op10_equals_a_plain_reenactment(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
+    got = {r.doc_id: r.taken for r in queries.QUERIES["op10_source_mixing"](spark, SF).collect()}
+    assert {i: n for i, n in plain_taken(rows).items() if n} == {i: n for i, n in got.items() if n}
+    odd = [(i, t, ["a", None, "b"][k % 3]) for k, (i, t) in enumerate([*ODD, (9, "one two three four " * 30), (10, "five six " * 41)])]
+    frame_ = spark.createDataFrame(odd, "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.Mix(frame_).taken().collect():
+        taken[r.doc_id] += r.taken
+    assert +taken == +plain_taken(odd)

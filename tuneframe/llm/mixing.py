@@ -1,7 +1,8 @@
 """Mixing sources to target weights (operator 10).
 
 Each source's words, its documents one after another in hash order, are cut into
-blocks of one fixed length. The mix is a number of output shards with equally
+blocks of one fixed length, ``block_words`` in every source (the last block of a source can
+be shorter). The mix is a number of output shards with equally
 many slots; a slot takes one block. Multinomial draws give each shard its slots
 per source, with odds in proportion to what the source still has to give, so a
 source's draws add up to its target. A source's n-th slot overall is mapped
@@ -89,7 +90,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
                  weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
-                 block_words: int = 128, n_shards: int = 64, seed: int = 10):
+                 block_words: int = 32, n_shards: int = 64, seed: int = 10):
         spark = docs.sparkSession
         self.scratch = scratch = Scratch(spark, "mixing")
         # a row's print tells different rows apart; equal rows are numbered
@@ -106,10 +107,9 @@ class Mix:
         sizes = {r.source: r.words for r in parts.groupBy("source").agg(F.sum("words").alias("words")).collect()}  # one row per source
         plan = []
         for i, (s, target) in enumerate(targets(sizes, weights, share, cap).items()):
-            width = min(block_words, max(1, sizes[s] // 64))  # small sources have blocks small enough to mix
-            n_blocks = -(-sizes[s] // width)
+            n_blocks = -(-sizes[s] // block_words)
             n_slots = min(int(cap * n_blocks), round(target / sizes[s] * n_blocks)) if sizes[s] else 0
-            plan.append((s, i, sizes[s], float(target), width, n_blocks, n_slots))
+            plan.append((s, i, sizes[s], float(target), block_words, n_blocks, n_slots))
         self.plan = spark.createDataFrame(plan, PLAN)
         here = Window.partitionBy("source").orderBy("sub")
         offsets = parts.select("source", "sub", (F.sum("words").over(here) - F.col("words")).alias("offset"))

@@ -5,10 +5,11 @@ are embedded, ``FILTERS`` filters of ``WIDTH`` bytes run over each chunk every
 ``STRIDE`` bytes, and each filter's largest answer in the chunk is kept. A
 document's mean, largest and smallest answer over its chunks go through a hidden
 layer to one probability. Training (Adam, cross-entropy with both classes
-weighing the same) runs on the driver over a bounded sample: at most ``max_docs``
-labelled documents of each class (those with the smallest hash of their id) and
-``max_chunks`` evenly spaced chunks of each; scoring covers every chunk of every
-text in Arrow batches.
+weighing the same) runs on the driver over a bounded sample of whole documents: at most
+``max_docs`` labelled ones of each class (those with the smallest hash of their id), but
+for texts over ``max_bytes``, with all their chunks. A pass shortens a ``SHORT``
+share of the good ones at random, so that a short text isn't taken for a poor one. Scoring
+covers every chunk of every text, of any length, in Arrow batches.
 
 Defined cases: null and empty texts are scored as one chunk of zero bytes;
 labels that are null are no labels; a document with several label rows counts
@@ -146,30 +147,24 @@ def train(texts: list[np.ndarray], y: np.ndarray, *, epochs: int = 14, least_ste
     return net
 
 
-def _sample_chunks(max_chunks: int):
-    """mapInArrow function: (doc_id, label, text) -> (doc_id, label, chunks): evenly spaced chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in chunks(whole):
-                pieces, first = cut(*utf8(batch.column("text")))
-                out = []
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    pick = np.unique(np.linspace(a, b - 1, min(max_chunks, b - a)).round().astype(int))
-                    out.append(pieces[pick].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "chunks"])
-
-    return run
+def _all_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (doc_id, label, text) -> (doc_id, label, chunks)."""
+    for whole in batches:
+        for batch in chunks(whole):
+            pieces, first = cut(*utf8(batch.column("text")))
+            out = [pieces[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "chunks"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality",
-        max_docs: int = 1500, max_chunks: int = 24, seed: int = 8) -> Network:
+        max_docs: int = 1500, max_bytes: int = 1 << 17, seed: int = 8) -> Network:
     """A network for the 0/1 labels of ``labels`` (id, label)."""
     pool = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
     chosen = [pool.where(f"label = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 x max_docs rows
-    sample = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(chosen, "doc_id").select("doc_id", "label", "text")
-    rows = sample.mapInArrow(_sample_chunks(max_chunks), "doc_id long, label int, chunks binary").collect()
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    sample = texts.join(chosen, "doc_id").select("doc_id", "label", "text")
+    rows = sample.mapInArrow(_all_chunks, "doc_id long, label int, chunks binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.chunks))
     return train([np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK) for r in rows], np.array([r.label for r in rows], np.float32), seed=seed)
 

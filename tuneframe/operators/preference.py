@@ -114,6 +114,31 @@ def pair_loss(
     raise ValueError(f"no such loss: {loss_type}")
 
 
+def mixed_pair_report(df: DataFrame, weights: dict[str, float | None], beta: float = 0.1, step: str = "step", c="c", r="r", c0="c0", r0="r0", *,
+                      nll: str | None = None, rpo_alpha: float | None = None, policy_weight: str | None = None, **loss_options) -> DataFrame:
+    """A21 with several objectives at once, per step. Each loss type counts by its weight
+    (null: 1), and so do the rewards ``β(c - c0)`` and ``β(r - r0)`` that it brings along:
+    losses, rewards, margins and accuracy are those of the weighted sums. ``rpo_alpha``
+    adds that share of the column ``nll``; ``policy_weight`` multiplies the whole loss."""
+    if not weights:
+        raise ValueError("a mixture needs one loss at least")
+    per = {k: 1.0 if w is None else float(w) for k, w in weights.items()}
+    col = lambda x: F.col(x) if isinstance(x, str) else x
+    loss = F.lit(0.0)
+    for kind, w in per.items():
+        loss = loss + pair_loss(kind, beta, c=c, r=r, c0=c0, r0=r0, **loss_options) * w
+    if rpo_alpha is not None:
+        loss = loss + F.lit(rpo_alpha) * F.col(nll)
+    if policy_weight is not None:
+        loss = loss * F.col(policy_weight)
+    total = sum(per.values())
+    chosen, rejected = (col(c) - col(c0)) * (beta * total), (col(r) - col(r0)) * (beta * total)
+    rows = df.select(step, loss.alias("_l"), chosen.alias("_c"), rejected.alias("_r"))
+    return rows.groupBy(step).agg(
+        F.avg("_l").alias("loss"), F.avg("_c").alias("rewards_chosen"), F.avg("_r").alias("rewards_rejected"),
+        F.avg((F.col("_c") > F.col("_r")).cast("double")).alias("rewards_accuracies"), F.avg(F.col("_c") - F.col("_r")).alias("rewards_margins"))
+
+
 def running_reward_mean(df: DataFrame, beta: float, step: str = "step", c="c", r="r", c0="c0", r0="r0") -> DataFrame:
     """Running mean of the batch rewards ``β(c-c0)`` and ``β(r-r0)`` up to and
     including each step (``bco_pair``'s δ): per-step means and counts, then a

@@ -50,3 +50,16 @@ def replace_zero_variance(scored: DataFrame, buffer: DataFrame, group: str = "gr
     todo = todo.select(F.col(group).alias("_tf_group"), (F.col("k") - 1).alias("draw"))
     drawn = weighted_draws(todo, buffer, "score", group, seed)
     return drawn.select(F.col("_tf_group").alias(group), F.col(group).alias("replacement_group_id"))
+
+
+def replace_rollouts(rollouts: DataFrame, stored: DataFrame, scored: DataFrame, buffer: DataFrame, group: str = "group_id", seed: int = 0) -> DataFrame:
+    """L7 with the rollouts themselves: every group of ``rollouts`` without reward variance
+    gets the rows of its replacement in ``stored`` (the rollouts of the buffer's groups),
+    under its own key; ``source_group_id`` says where a row came from. With an empty buffer
+    nothing is replaced. The joins are by group; a buffer group that is drawn often is
+    copied once for each group it replaces."""
+    to = replace_zero_variance(scored, buffer, group, seed)
+    source = f"source_{group}"
+    kept = rollouts.join(to.select(group), group, "left_anti").withColumn(source, F.col(group))
+    new = stored.withColumnRenamed(group, source).join(to.withColumnRenamed("replacement_group_id", source), source)
+    return kept.unionByName(new.select(*kept.columns))

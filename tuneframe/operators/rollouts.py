@@ -11,7 +11,7 @@ are aggregates per ``step`` joined back.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,6 +208,55 @@ def select_all_online_pairs(df: DataFrame, group: str = "group_id", reward: str
     ).withColumn("scores_margin", F.col("chosen_reward") - F.col("rejected_reward"))
 
 
+def online_pair_report(df: DataFrame, beta: float = 0.1, loss_type: str = "sigmoid", group: str = "group_id", order: str = "sample_no", step: str = "step", *,
+                       reward: str | None = "reward", logp: str = "logp", ref_logp: str = "ref_logp", entropy: str = "entropy", has_eos: str = "has_eos",
+                       first_wins: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """A28 as training logs it, per step, over groups of any size: completions are paired
+    as in :func:`select_all_online_pairs`; of the first ``a`` and the second ``b`` of a
+    pair the higher reward is chosen, or what the judge says: ``first_wins(a, b)`` of the
+    structs of their columns (a judge's rank 0 for the first). A row holds a completion's
+    summed ``logp`` and ``ref_logp``, its ``entropy`` sum and whether it ends by itself.
+
+    ``objective_scores`` and ``objective_rlhf_reward`` are null without rewards. A
+    completion that is in two pairs (the first, where the group is odd) counts in both.
+    The pairs are made by one aggregate of the completions, whatever the group's size."""
+    columns = [c for c in (order, reward, logp, ref_logp, entropy, has_eos, *df.columns) if c and c not in (group, step)]
+    row = F.struct(*dict.fromkeys(columns))
+    sizes = df.groupBy(group).agg((F.max(order) + 1).alias("_n"))
+    half = F.floor(F.col(order) / 2)
+    # the first completion of an odd group is the second of its last pair as well
+    places = F.when((F.col(order) == 0) & (F.col("_n") % 2 == 1), F.array(F.struct(half.alias("pair"), F.lit(0).alias("side")), F.struct(F.floor(F.col("_n") / 2).alias("pair"), F.lit(1).alias("side"))))
+    places = places.otherwise(F.array(F.struct(half.alias("pair"), (F.col(order) % 2).cast("int").alias("side"))))
+    at = df.join(sizes.where("_n > 1"), group).withColumn("_row", row).select(group, step, "_row", F.inline(places))
+    side = lambda k: F.first(F.when(F.col("side") == k, F.col("_row")), ignorenulls=True)
+    first_step = F.first(F.when(F.col("side") == 0, F.col(step)), ignorenulls=True).alias(step)  # a pair's step is its first completion's
+    pairs = at.groupBy(group, "pair").agg(first_step, side(0).alias("a"), side(1).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    wins = first_wins(a, b) if first_wins else a[reward] >= b[reward]
+    best, other = F.when(wins, a).otherwise(b), F.when(wins, b).otherwise(a)
+    pairs = pairs.select(step, best.alias("w"), other.alias("l"))
+    w, lost = F.col("w"), F.col("l")
+    z = (w[logp] - lost[logp]) - (w[ref_logp] - lost[ref_logp])
+    if loss_type == "sigmoid":
+        loss = -rw.log_sigmoid(F.lit(beta) * z)
+    elif loss_type == "ipo":
+        loss = F.pow(z - 1 / (2 * beta), 2)
+    else:
+        raise ValueError(f"no such loss: {loss_type}")
+    both = lambda f: (f(w) + f(lost)) / 2
+    kl = lambda x: x[logp] - x[ref_logp]
+    score = (lambda x: x[reward]) if reward else (lambda x: F.lit(None).cast("double"))
+    win, loss_ = F.lit(beta) * kl(w), F.lit(beta) * kl(lost)
+    return pairs.groupBy(step).agg(
+        F.count(F.lit(1)).alias("pairs"), F.avg(loss).alias("loss"),
+        F.avg(score(w) - score(lost)).alias("objective_scores_margin"), F.avg(both(score)).alias("objective_scores"),
+        F.avg(both(lambda x: x[has_eos].cast("double"))).alias("contain_eos"), F.avg(w[logp]).alias("logps_chosen"), F.avg(lost[logp]).alias("logps_rejected"),
+        F.avg(both(kl)).alias("objective_kl"), F.avg(both(lambda x: -F.lit(beta) * kl(x))).alias("objective_non_score_reward"),
+        F.avg(both(lambda x: score(x) - F.lit(beta) * kl(x))).alias("objective_rlhf_reward"), F.avg(both(lambda x: x[entropy])).alias("objective_entropy"),
+        F.avg(win).alias("rewards_chosen"), F.avg(loss_).alias("rewards_rejected"), F.avg(win - loss_).alias("rewards_margins"),
+        F.avg((win > loss_).cast("double")).alias("rewards_accuracies"))
+
+
 def eos_report(df: DataFrame, eos_id: int, pad_id: int, penalty: float, ids: str = "input_ids", key: str = "example_id") -> DataFrame:
     """F4-F6 over whole token lists: truncation and EOS flags, a length score
     less ``penalty`` without EOS, and the tokens that carry loss."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import global_rank
+from .scans import Affine, running
 
 _U_BITS = 1 << 52
 
@@ -118,25 +119,26 @@ def weighted_sample_with_replacement(buffer: DataFrame, n: int, weight: str, key
 
 def weighted_draws(draws: DataFrame, buffer: DataFrame, weight: str, key: str, seed: int = 0) -> DataFrame:
     """A draw with probability proportional to ``weight`` for every row of
-    ``draws`` (its column ``draw`` seeds it), from a *bounded* table (a replay
-    buffer of fixed capacity): the buffer's cumulative weights are one sorted
-    array (size = capacity), each draw finds its item by binary search."""
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = buffer.filter(F.col(weight) > 0).withColumn("_tf_c", F.sum(weight).over(w))
-    table = cum.agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_tf_c").alias("c"), F.col(key).alias("k")))).alias("_tf_items"),
-        F.max("_tf_c").alias("_tf_total"),
-    )
-    d = draws.join(F.broadcast(table), how="inner", on=F.lit(True)).withColumn("_tf_x", uniform("draw", seed) * F.col("_tf_total"))
-    size = F.size("_tf_items")
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(size.cast("double") + 1)).cast("int"))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = ((lo + hi) / 2).cast("int")
-        go_left = F.element_at("_tf_items", mid + 1)["c"] > F.col("_tf_x")
-        return F.when(lo < hi, F.struct(F.when(go_left, lo).otherwise(mid + 1).alias("lo"), F.when(go_left, mid).otherwise(hi).alias("hi"))).otherwise(acc)
-
-    idx = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), (size - 1).alias("hi")), step)["lo"]
-    picked = d.select(*draws.columns, F.element_at("_tf_items", idx + 1)["k"].alias(key))
-    return picked.join(buffer, key)
+    ``draws`` (its column ``draw`` seeds it), from a table of any size: the item
+    is the first in ``key`` order whose running weight exceeds the drawn point.
+
+    Running weights come from a scan over range partitions, so an item is an
+    interval of points. Points and intervals meet in as many equal bins as there
+    are items: a bin holds on average one item's worth of points, so a bin full of
+    light items gets few points, and a heavy item's interval is repeated in the
+    bins it spans. Items of no weight are never drawn."""
+    items = buffer.filter(F.col(weight) > 0)
+    cum = running(items, Affine, [], [key], [F.lit(1.0), F.col(weight)], ["_tf_lo"], inclusive=False).checkpoint()
+    cum = cum.withColumn("_tf_hi", F.col("_tf_lo") + F.col(weight))
+    total, n = cum.agg(F.max("_tf_hi"), F.count(F.lit(1))).first()
+    if not n:
+        return draws.join(buffer.limit(0), F.lit(False))
+    bin_of = lambda x: F.least(F.floor(x / F.lit(total) * n), F.lit(n - 1))
+    step = 1 << 16  # a heavy item's bins are made some at a time
+    first, last = bin_of(F.col("_tf_lo")), bin_of(F.col("_tf_hi"))
+    spans = cum.withColumn("_tf_from", F.explode(F.sequence(first, last, F.lit(step).cast("long"))))
+    spans = spans.withColumn("_tf_bin", F.explode(F.sequence(F.col("_tf_from"), F.least(F.col("_tf_from") + step - 1, last)))).drop("_tf_from")
+    point = uniform("draw", seed) * F.lit(total)
+    asked = draws.withColumn("_tf_x", point).withColumn("_tf_bin", bin_of(F.col("_tf_x")))
+    hit = asked.join(spans, "_tf_bin").where("_tf_lo <= _tf_x AND _tf_x < _tf_hi")
+    return hit.drop("_tf_bin", "_tf_x", "_tf_lo", "_tf_hi")

@@ -114,6 +114,23 @@ def replay_fill(spark, d):
     return rp.replace_zero_variance(sc, buf, seed=9)
 
 
+@register("replay_rollouts", build_sql(["rollouts"], _BUFFER_CTES + [
+    ("cum", "SELECT group_id, sum(score) OVER (ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM buf"),
+    ("todo", "SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS draw FROM g WHERE coalesce(gs, 0) <= 0"),
+    ("pick", f"""SELECT todo.group_id, min(cum.group_id) AS source_group_id
+        FROM todo JOIN cum ON cum.c > {sm.uniform_sql('draw', 9)} * (SELECT max(c) FROM cum) GROUP BY todo.group_id""")],
+    """SELECT group_id, source_group_id, sample_no, reward FROM pick JOIN (SELECT group_id AS source_group_id, sample_no, reward FROM scored) USING (source_group_id)
+       UNION ALL SELECT group_id, group_id, sample_no, reward FROM scored WHERE group_id NOT IN (SELECT group_id FROM pick)"""))
+def replay_rollouts(spark, d):
+    """The rollouts of a step with its zero-variance groups replaced by those that the
+    buffer's draws give."""
+    rows = _scored(spark, d).select("group_id", "sample_no", "reward")
+    sc = _replay_scores(spark, d)
+    buf = rp.buffer_add(sc, 64).select("group_id", "score").checkpoint()
+    stored = rows.join(buf.select("group_id"), "group_id", "left_semi")
+    return rp.replace_rollouts(rows, stored, sc, buf, seed=9)
+
+
 @register("embedding_sample", f"SELECT vec_id, label FROM embeddings ORDER BY -ln({sm.uniform_sql('vec_id', 1)}), vec_id LIMIT 512")
 def embedding_sample(spark, d):
     """512 embedding rows drawn uniformly without replacement (hash-seeded)."""

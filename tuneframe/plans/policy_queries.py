@@ -137,6 +137,62 @@ def ppo_report(spark, d):
     return po.ppo_report(g)
 
 
+_HIT = "list_sum(list_transform(list_zip(logps, old_logps, mask), lambda z: CASE WHEN {} THEN z[3] ELSE 0 END))"
+
+
+@register("clip_ratios", rt_sql(
+    """SELECT step, avg(low / n) AS low_mean, min(low / n) AS low_min, avg(high / n) AS high_mean, max(high / n) AS high_max, avg((low + high) / n) AS region_mean
+       FROM (SELECT step, group_id % 8 AS batch, sum(low) AS low, sum(high) AS high, sum(n) AS n FROM per GROUP BY ALL HAVING sum(n) > 0) GROUP BY step""",
+    [("per", f"""SELECT step, group_id, CAST({_HIT.format('exp(z[1] - z[2]) < 0.99 AND advantage < 0')} AS DOUBLE) AS low,
+        CAST({_HIT.format('exp(z[1] - z[2]) > 0.995 AND advantage > 0')} AS DOUBLE) AS high, CAST(list_sum(mask) AS DOUBLE) AS n FROM rt""")]))
+def clip_ratios(spark, d):
+    """Clip shares over eight processes' batches a step: means, smallest low and
+    largest high share (narrow bounds, as the logged policies are close)."""
+    t = _rt(spark, d).withColumn("batch", F.col("group_id") % 8)
+    return po.clip_ratio_report(t, epsilon_low=0.01, epsilon_high=-0.005)
+
+
+# A28 -----------------------------------------------------------------------
+_SAMPLES = ("s", """SELECT group_id, sample_no, step, reward_a AS reward, NOT truncated AS eos,
+    list_sum(list_transform(list_zip(logps, mask), lambda z: z[1] * z[2])) AS lp, list_sum(list_transform(list_zip(ref_logps, mask), lambda z: z[1] * z[2])) AS rp FROM rtokens""")
+
+
+def _pair_stats_sql(first_wins: str, scored: bool) -> str:
+    side = lambda x, y: f"CASE WHEN {first_wins} THEN {x} ELSE {y} END"
+    pairs = f"""SELECT a.step, {side('a.lp', 'b.lp')} AS lw, {side('b.lp', 'a.lp')} AS ll, {side('a.rp', 'b.rp')} AS rw, {side('b.rp', 'a.rp')} AS rl,
+        {side('a.reward', 'b.reward')} AS sw, {side('b.reward', 'a.reward')} AS sl, CAST(a.eos AS INT) + CAST(b.eos AS INT) AS eos
+        FROM s a JOIN (SELECT group_id, count(*) AS n FROM s GROUP BY group_id) USING (group_id) JOIN s b ON b.group_id = a.group_id AND b.sample_no = (a.sample_no + 1) % n
+        WHERE a.sample_no % 2 = 0 AND n >= 2"""
+    score = lambda x: f"avg({x})" if scored else "CAST(NULL AS DOUBLE)"
+    return build_sql(["rtokens"], [_SAMPLES, ("p", pairs)], f"""SELECT step, count(*) AS pairs, avg(ln(1 + exp(-0.1 * ((lw - ll) - (rw - rl))))) AS loss,
+        {score('sw - sl')} AS objective_scores_margin, {score('(sw + sl) / 2')} AS objective_scores, avg(eos / 2.0) AS contain_eos, avg(lw) AS logps_chosen, avg(ll) AS logps_rejected,
+        avg((lw - rw + ll - rl) / 2) AS objective_kl, avg(-0.1 * (lw - rw + ll - rl) / 2) AS objective_non_score_reward,
+        {score('(sw + sl - 0.1 * (lw - rw + ll - rl)) / 2')} AS objective_rlhf_reward, avg(-(lw + ll) / 2) AS objective_entropy,
+        avg(0.1 * (lw - rw)) AS rewards_chosen, avg(0.1 * (ll - rl)) AS rewards_rejected, avg(0.1 * (lw - rw) - 0.1 * (ll - rl)) AS rewards_margins,
+        avg(CASE WHEN 0.1 * (lw - rw) > 0.1 * (ll - rl) THEN 1.0 ELSE 0.0 END) AS rewards_accuracies FROM p GROUP BY step""")
+
+
+def _samples(spark, d):
+    t = vw.rtokens(spark, d)
+    total = lambda c: F.aggregate(F.zip_with(c, "mask", lambda x, m: x * m), F.lit(0.0), lambda a, x: a + x)
+    t = t.select("group_id", "sample_no", "step", F.col("reward_a").alias("reward"), (~F.col("truncated")).alias("has_eos"), total("logps").alias("logp"), total("ref_logps").alias("ref_logp"))
+    return t.withColumn("entropy", -F.col("logp"))
+
+
+@register("online_pair_stats", _pair_stats_sql("a.reward >= b.reward", True))
+def online_pair_stats(spark, d):
+    """What training logs of the pairs chosen by reward: loss, scores, KL, entropy,
+    rewards with and without score, margins."""
+    return ro.online_pair_report(_samples(spark, d))
+
+
+@register("online_pair_stats_judged", _pair_stats_sql("a.rp >= b.rp", False))
+def online_pair_stats_judged(spark, d):
+    """A28 with a judge in the rewards' place: it ranks the completion first that the
+    reference model finds likelier."""
+    return ro.online_pair_report(_samples(spark, d), reward=None, first_wins=lambda a, b: a["ref_logp"] >= b["ref_logp"])
+
+
 # A19 -----------------------------------------------------------------------
 @register("entropy_mask", with_views(
     """SELECT step, threshold, CAST(sum(kept) AS BIGINT) AS kept FROM (

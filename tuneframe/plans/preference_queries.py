@@ -91,6 +91,18 @@ def dpo_report(spark, d):
     return pf.preference_report(lp, pf.pair_loss("sigmoid", BETA), BETA)
 
 
+@register("pair_loss_mixture", with_views(
+    f"""SELECT step, avg(0.8 * ({_LOSS_SQL['sigmoid']}) + 0.2 * ({_LOSS_SQL['hinge']}) + ({_LOSS_SQL['ipo']}) + 0.5 * (-c)) AS loss,
+    avg(2.0 * {BETA} * {CR}) AS rewards_chosen, avg(2.0 * {BETA} * {RR}) AS rewards_rejected,
+    avg(CASE WHEN 2.0 * {BETA} * {CR} > 2.0 * {BETA} * {RR} THEN 1.0 ELSE 0.0 END) AS rewards_accuracies,
+    avg(2.0 * {BETA} * {CR} - 2.0 * {BETA} * {RR}) AS rewards_margins FROM logps GROUP BY step""", "logps"))
+def pair_loss_mixture(spark, d):
+    """A21 with three objectives at weights 0.8, 0.2 and 1, and half of the chosen
+    answer's negative log-likelihood."""
+    lp = vw.logps(spark, d).withColumn("nll", -F.col("c"))
+    return pf.mixed_pair_report(lp, {"sigmoid": 0.8, "hinge": 0.2, "ipo": None}, BETA, nll="nll", rpo_alpha=0.5)
+
+
 @register("bco_pair_loss", build_sql(["logps"], [
     ("per", f"SELECT step, sum({BETA} * {CR} + {BETA} * {RR}) AS s, count(*) * 2 AS n FROM logps GROUP BY step"),
     ("run", "SELECT step, sum(s) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / "

@@ -109,6 +109,23 @@ def unpaired_truncate(spark, d):
     return t.select("example_id", ints_text(cols[0]).alias("prompt_ids"), ints_text(cols[1]).alias("completion_ids"), ints_text(cols[2]).alias("labels"))
 
 
+_PAIR = [_TB, ("q1", "SELECT example_id, p, c, list_slice(c, 1, len(c) // 2) AS r FROM tb"),
+         ("q2", f"SELECT *, CASE WHEN len(p) + len(c) > 96 THEN {_keep_end_sql('p', 32)} ELSE p END AS pp FROM q1"),
+         ("q3", "SELECT *, CASE WHEN len(pp) + len(c) > 96 THEN list_slice(c, 1, 64) ELSE c END AS cc, CASE WHEN len(pp) + len(c) > 96 THEN list_slice(r, 1, 64) ELSE r END AS rr FROM q2")]
+
+
+@register("pair_truncate", tok_sql(
+    f"""SELECT example_id, {_txt('pp')} AS prompt_ids, {_txt('list_concat(pp, cc)')} AS chosen_ids, {_txt('list_concat(pp, rr)')} AS rejected_ids,
+        {_txt('list_concat(list_transform(pp, lambda x: -100), cc)')} AS chosen_labels, {_txt('list_concat(list_transform(pp, lambda x: -100), rr)')} AS rejected_labels FROM q3""", _PAIR))
+def pair_truncate(spark, d):
+    """T6 for pairs: both sides cut against the longer response (96 ids, the prompt keeps
+    its last 32); the rejected response is the first half of the chosen one."""
+    t = _tb(spark, d).withColumn("r", F.slice("c", F.lit(1), F.floor(F.size("c") / 2).cast("int")))
+    cols = tk.pair_truncate("p", "c", "r", 96, 32)
+    names = ("prompt_ids", "chosen_ids", "chosen_labels", "rejected_ids", "rejected_labels")
+    return t.select("example_id", *[ints_text(c).alias(n) for c, n in zip(cols, names, strict=True)])
+
+
 # T7 ------------------------------------------------------------------------
 _T7 = [
     _TB,

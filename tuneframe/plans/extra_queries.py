@@ -49,6 +49,29 @@ def multimodal_blocks(spark, d):
     return out.select("example_id", F.when(F.col("reject_reason").isNull(), rendered).alias("rendered"), "reject_reason")
 
 
+@register("bind_image_blocks", with_views(
+    """SELECT example_id, CASE WHEN u IS NULL THEN CASE WHEN k > 0 THEN NULL ELSE body END WHEN k <> n THEN NULL ELSE body END AS rendered,
+         CASE WHEN coalesce(CASE WHEN u IS NULL THEN 0 ELSE n END, 0) <> k THEN 'image count does not match placeholders' END AS reject_reason
+       FROM (SELECT example_id, u, n, k, array_to_string(list_transform(messages, lambda m, i: m.role || ':' || CASE WHEN i = u THEN
+               array_to_string(list_transform(range(n), lambda j: '[img:img://' || example_id || '/' || j || ']'), '') ELSE '' END || m.content), '|') AS body
+             FROM (SELECT example_id, messages, list_position(list_transform(messages, lambda m: m.role = 'user'), true) AS u, example_id % 3 AS n,
+                          example_id % 3 + CASE WHEN example_id % 5 = 0 THEN 1 ELSE 0 END AS k FROM msgs))""", "msgs"))
+def bind_image_blocks(spark, d):
+    """P13 for contents that are blocks already: empty image blocks get the references in
+    order; every fifth conversation has an image too many."""
+    m = vw.msgs(spark, d)
+    refs = lambda n: F.transform(F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>")), lambda j: F.concat(F.lit("img://"), F.col("example_id").cast("string"), F.lit("/"), j.cast("string")))
+    n = F.col("example_id") % 3
+    # rows without a user turn have no place for images: no block is made there
+    made = mm.prepare_multimodal(m.withColumn("images", refs(n)))
+    empty = lambda b: F.struct(b["type"].alias("type"), b["text"].alias("text"), F.lit(None).cast("string").alias("image"))
+    open_ = made.withColumn("messages", F.transform("messages", lambda x: F.struct(x["role"].alias("role"), F.transform(x["content"], empty).alias("content"))))
+    out = mm.bind_images(open_.withColumn("images", refs(n + F.when(F.col("example_id") % 5 == 0, 1).otherwise(0))).drop("reject_reason"))
+    blk = lambda b: F.when(b["type"] == "image", F.concat(F.lit("[img:"), b["image"], F.lit("]"))).otherwise(b["text"])
+    rendered = F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), F.array_join(F.transform(x["content"], blk), ""))), "|")
+    return out.select("example_id", F.when(F.col("reject_reason").isNull(), rendered).alias("rendered"), "reject_reason")
+
+
 # J6 ------------------------------------------------------------------------
 _WS_SPLIT = r"\S+|\s+"
 
@@ -110,6 +133,21 @@ def bco_objective(spark, d):
                                  F.avg(rr).alias("rewards_rejected"), F.max("delta").alias("delta"))
 
 
+@register("bco_objective_weighted")
+def bco_objective_weighted(spark, d):
+    """A27 with A26: the undesirable side weighted by the density ratio of its pair's
+    embedding (a hash of the pair's key picks the vector, as the tables share no key)."""
+    e = vw.table(spark, d, "embeddings").withColumn("desirable", F.col("label") % 2 == 1)
+    w = dn.density_ratio_weights(dn.fit_density_classifier(e, per_class=512), e).select("vec_id", "weight")
+    n = e.agg((F.max("vec_id") + 1).alias("n"))
+    lp = vw.logps(spark, d)
+    j = lp.join(pf.running_reward_mean(lp, BETA), "step").join(F.broadcast(n), how="inner", on=F.lit(True))
+    j = j.withColumn("vec_id", F.pmod(F.xxhash64("example_id"), F.col("n"))).join(w, "vec_id")
+    cr, rr = F.lit(BETA) * (F.col("c") - F.col("c0")), F.lit(BETA) * (F.col("r") - F.col("r0"))
+    c_loss, r_loss = dn.bco_losses(cr, rr, F.col("delta"), F.col("weight"))
+    return j.groupBy("step").agg(F.avg(c_loss).alias("chosen_loss"), F.avg(r_loss).alias("rejected_loss"), F.avg("weight").alias("mean_weight"), F.count(F.lit(1)).alias("pairs"))
+
+
 # A31 / A32 -----------------------------------------------------------------
 @register("scorer_summary", with_views(
     """SELECT CAST(count(*) AS BIGINT) AS total_predictions, avg(fmt) AS avg_fmt, CAST(count(CASE WHEN fmt IS NULL THEN 1 END) AS BIGINT) AS failed_fmt,

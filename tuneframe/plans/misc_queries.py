@@ -8,6 +8,7 @@ from ..operators import replay as rp
 from ..operators import rollouts as ro
 from ..operators import sampling as sm
 from ..sources import readers as rd
+from ..sources import literals as lt
 from ..sources import views as vw
 from ..sources.views import build_sql, with_views
 from .catalog import register
@@ -227,3 +228,21 @@ def completion_log_unique(spark, d):
     logged = rd.read(spark, path)
     u = rd.unique_prompts(logged, "prompt", ("step", "example_id"))
     return u.select("prompt", "example_id", "reward_a", F.col("step").cast("int").alias("step"))
+
+
+@register("read_message_literals", """
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS position, role, md5(text) AS digest, false AS rejected
+FROM conversations WHERE conv_id % 10 <> 7
+UNION ALL SELECT conv_id, NULL, NULL, NULL, true FROM conversations WHERE conv_id % 10 = 7 GROUP BY conv_id""")
+def read_message_literals(spark, d):
+    """Conversations written as tuples of mappings, texts as two neighbouring strings,
+    one raw or with escapes, and read back; every tenth lacks its last bracket."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n"))
+    m = vw.msgs(spark, d)
+    half = lambda t, k: F.substr(t, F.lit(1), F.lit(20)) if k == 0 else F.substr(t, F.lit(21), F.length(t))
+    one = lambda x: F.concat(
+        F.lit("{'from': u'"), esc(x["role"]), F.lit("', 'value': '"), esc(half(x["content"], 0)), F.lit("'  # first part\n '"), esc(half(x["content"], 1)), F.lit("', 'n': (1, None)},"))
+    text = F.concat(F.lit("("), F.array_join(F.transform("messages", one), " "), F.when(F.col("example_id") % 10 == 7, F.lit("")).otherwise(F.lit(")")))
+    read = lt.read_message_literals(m.select(F.col("example_id").alias("conv_id"), text.alias("text")), "text")
+    return read.select("conv_id", F.col("reject_reason").isNotNull().alias("rejected"), F.posexplode_outer("messages").alias("position", "m")).select(
+        "conv_id", "position", F.col("m.from").alias("role"), F.md5("m.value").alias("digest"), "rejected")

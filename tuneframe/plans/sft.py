@@ -32,6 +32,7 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``example_id, prompt_ids, input_ids``: the prompt and prompt+completion
     encoded separately with one corpus vocabulary (T1)."""
     pc = rendered_pairs(spark, sf_dir).withColumn("full", F.concat("prompt", "completion"))
+    pc = pc.select("example_id", tk.split_tokens("prompt").alias("prompt"), tk.split_tokens("full").alias("full")).checkpoint()
     vocab = tk.build_vocab(pc, ["full"])
     enc = tk.encode(pc, "example_id", {"prompt_ids": F.col("prompt"), "input_ids": F.col("full")}, vocab)
     return enc.select("example_id", "prompt_ids", "input_ids")
@@ -43,12 +44,12 @@ def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     Only prompt+completion is encoded: the prompt's token count and the
     prefix check come from the token *strings* (no ids needed), which halves
     the exploded token volume of the vocabulary join."""
-    pc = rendered_pairs(spark, sf_dir).withColumn("full", F.concat("prompt", "completion"))
+    pc = rendered_pairs(spark, sf_dir).select("example_id", tk.split_tokens("prompt").alias("pt"), tk.split_tokens(F.concat("prompt", "completion")).alias("full"))
+    n_p = F.size("pt")
+    ok = (n_p <= F.size("full")) & F.when(n_p == 0, F.lit(True)).otherwise(F.slice("full", 1, F.greatest(n_p, F.lit(1))) == F.col("pt"))
+    # the texts are rendered and split once, for the vocabulary and for the ids
+    pc = pc.select("example_id", "full", n_p.alias("n_prompt"), ok.alias("prompt_is_prefix")).checkpoint()
     vocab = tk.build_vocab(pc, ["full"])
-    pt, ft = tk.split_tokens("prompt"), tk.split_tokens("full")
-    n_p = F.size(pt)
-    ok = (n_p <= F.size(ft)) & F.when(n_p == 0, F.lit(True)).otherwise(F.slice(ft, 1, F.greatest(n_p, F.lit(1))) == pt)
-    pc = pc.withColumn("n_prompt", n_p).withColumn("prompt_is_prefix", ok)
     enc = tk.encode(pc, "example_id", {"input_ids": F.col("full")}, vocab, carry=["n_prompt", "prompt_is_prefix"])
     mask = F.concat(
         F.array_repeat(F.lit(0), F.col("n_prompt")),

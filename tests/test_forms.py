@@ -83,3 +83,23 @@ def test_replaced_rollouts_come_under_their_new_key(spark):
     assert got == [(g, 2, i, x) for g in (1, 2, 3) for i, x in ((0, 5.0), (1, 7.0))]
     kept = rp.replace_rollouts(rows, rows.limit(0), scored, buffer.limit(0))
     assert kept.count() == 5 and kept.where(F.col("group_id") != F.col("source_group_id")).count() == 0
+
+
+def test_answers_rotate_inside_batches_of_any_size(spark):
+    import random
+
+    from tuneframe.operators import joins as jn
+
+    rng = random.Random(2)
+    sizes = {"hot": 900, "a": 1, "b": 2, "c": 40, None: 7}
+    rows = [(b, i, f"{b}-{i}" if i % 5 else None, float(i)) for b, n in sizes.items() for i in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "batch string, pos int, answer string, score double")
+    out = jn.rotate_partners(df, "batch", "pos", ["answer", "score"], num_partitions=7)
+    got = {(r.batch, r.pos): (r.answer, r.KL_answer, r.KL_score) for r in out.collect()}
+    text = lambda b, i: f"{b}-{i}" if i % 5 else None
+    assert len(got) == len(rows) and out.columns == [*df.columns, "KL_answer", "KL_score"]
+    for b, n in sizes.items():
+        for i in range(n):
+            assert got[b, i] == (text(b, i), text(b, (i - 1) % n), float((i - 1) % n))
+    assert jn.rotate_partners(df.limit(0), "batch", "pos", ["answer"]).count() == 0

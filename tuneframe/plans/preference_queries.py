@@ -150,11 +150,9 @@ def _unpaired(spark, d):
     the previous example in the same batch, batch = generation group)."""
     lp = vw.logps(spark, d)
     rot = jn.rotate_partners(lp, "group_id", "sample_no", ["c", "c0"])
-    good = rot.select("example_id", "step", F.lit(True).alias("label"), F.col("c").alias("lp"), F.col("c0").alias("lp0"),
-                      F.col("KL_c").alias("kl_lp"), F.col("KL_c0").alias("kl_lp0"))
-    bad = rot.select("example_id", "step", F.lit(False).alias("label"), F.col("r").alias("lp"), F.col("r0").alias("lp0"),
-                     F.col("KL_c").alias("kl_lp"), F.col("KL_c0").alias("kl_lp0"))
-    return good.unionByName(bad)
+    side = lambda label, lp, lp0: F.struct(F.lit(label).alias("label"), F.col(lp).alias("lp"), F.col(lp0).alias("lp0"))
+    both = F.inline(F.array(side(True, "c", "c0"), side(False, "r", "r0")))
+    return rot.select("example_id", "step", F.col("KL_c").alias("kl_lp"), F.col("KL_c0").alias("kl_lp0"), both)
 
 
 _UNPAIRED_CTES = [

@@ -196,15 +196,20 @@ def pack_wrapped(
     batch). Output: ``chunk`` (0-based) and every list column.
     """
     lists = _list_columns(df)
-    base = df.select(key, *lists).withColumn("_tf_len", F.size(lists[0]).cast("long"))
+    # the lists are made and written once; only (key, length) is put in order, and the
+    # offsets come back by the row's number in that table
+    base = df.select(key, *lists).withColumn("_tf_row", F.monotonically_increasing_id()).checkpoint()
+    narrow = base.select("_tf_row", key, F.size(lists[0]).cast("long").alias("_tf_len"))
+    order = [key, "_tf_row"]
     if shard_rows:
-        ranked = global_rank(base, [key], "_tf_rank")
+        ranked = global_rank(narrow, order, "_tf_rank")
         ranked = ranked.withColumn("_tf_batch", F.floor((F.col("_tf_rank") - 1) / shard_rows).cast("long"))
-        starts = prefix_sum(ranked, [key], "_tf_len", "_tf_start", inclusive=False)
+        starts = prefix_sum(ranked, order, "_tf_len", "_tf_start", inclusive=False)
         first = starts.groupBy("_tf_batch").agg(F.min("_tf_start").alias("_tf_b0"))
         starts = starts.join(first, "_tf_batch").withColumn("_tf_start", F.col("_tf_start") - F.col("_tf_b0"))
     else:
-        starts = prefix_sum(base, [key], "_tf_len", "_tf_start", inclusive=False).withColumn("_tf_batch", F.lit(0).cast("long"))
+        starts = prefix_sum(narrow, order, "_tf_len", "_tf_start", inclusive=False).withColumn("_tf_batch", F.lit(0).cast("long"))
+    starts = base.join(starts.select("_tf_row", "_tf_len", "_tf_start", "_tf_batch"), "_tf_row")
     L = F.lit(seq_length)
     s, n = F.col("_tf_start"), F.col("_tf_len")
     first_chunk = F.floor(s / L)

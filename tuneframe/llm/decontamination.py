@@ -194,6 +194,21 @@ class Index:
         self.codes = [c for _, g in self.grams for c in g.codes]
         self.budget = [int(k) for _, g in self.grams for k in g.budget]
 
+    def plain(self) -> dict:
+        """The index as arrays and lists: workers that load it need no package."""
+        return vars(self) | {"grams": [(first, vars(g)) for first, g in self.grams]}
+
+    @classmethod
+    def of(cls, plain: dict) -> Index:
+        index = cls.__new__(cls)
+        index.__dict__.update(plain)
+        index.grams = []
+        for first, values in plain["grams"]:
+            grams_ = Grams.__new__(Grams)
+            grams_.__dict__.update(values)
+            index.grams.append((first, grams_))
+        return index
+
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits); ``item`` counts along ``ids``."""
         codes = [_codes(t) for t in texts]
@@ -213,7 +228,7 @@ def _pass(shared, columns: list[str], text_column: str, clean: bool):
     """mapInArrow function: the rows without a match, or the matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = Index.of(shared.value)
         for whole in batches:
             for batch in chunks(whole, text_column):
                 found = index.matches([normal(t) for t in batch.column(text_column).to_pylist()])
@@ -237,7 +252,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", t
     out, scratch, spark = [], Scratch(docs.sparkSession, "leaks"), docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     for index in _indexes(benchmark, item_column, item_text_column, q, edit_share, max_index_chars):
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(index.plain())
         found = rows.mapInArrow(_pass(shared, ["doc_id"], "text", False), "doc_id long, item_id long, start long, end long, edits long, item_chars long")
         out.append(scratch.save(found))
         shared.destroy()
@@ -258,6 +273,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_column: str = "
             if before is not None:
                 scratch.drop(before)
             docs = before = kept
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(index.plain())
         docs = docs.mapInArrow(_pass(shared, docs.columns, text_column, True), docs.schema)
     return docs

@@ -9,8 +9,8 @@ slices of one table. Coordinates are banded; documents meeting in a band are
 compared with a pivot of their bucket, and every pair is confirmed by the exact
 Jaccard similarity of the full shingle sets.
 
-Skew: documents with equal shingle sets are one class before banding. A bucket
-never emits all its pairs. All members are compared with one pivot, the member
+Skew: documents with equal shingle sets are one class before banding. A bucket of
+copies never emits all its pairs. All members are compared with one pivot, the member
 with the largest buckets (the original of a family of edited copies), and the
 links found are contracted into components. What is left to find are links
 between members o, x of different components that have a pivot c in common, and
@@ -27,13 +27,15 @@ each round, until each has been one or all are connected. Every pair but those
 with the first pivot passes a filter on one bit a signature coordinate first,
 which a link fails with a probability of some 1e-8. So
 nothing is capped, and a bucket of edited copies costs about as many pairs as it
-has members.
+has members; members of a bucket that are unlike all others meet all of them in
+sketches, which a bucket of many such members pays for.
 
 Defined cases: null or empty texts (or only white space) have no shingles and no
 links; texts of fewer than ``k`` words are one shingle; rows with a null doc_id
 keep their own row, unlinked with others (component null, kept); a doc_id that
-repeats with the same text is one document, with another text each row is
-classed by its own text; other columns are ignored."""
+repeats with the same text is one document, with another text its texts are linked
+with each other as well (a caller that wants them apart gives each its own id, as the
+pipeline's stage does); other columns are ignored."""
 
 from __future__ import annotations
 

@@ -9,11 +9,16 @@ watermark alone, hence a restart changes nothing.
 * intervals (ST3): running (n, mean) for each (metric, interval, salt), closed by a timer
   at the interval's end. The salt spreads a metric with a third of all rows over tasks;
   :func:`closed_intervals` merges the parts.
-* groups (ST4): the samples of a group until all are there, or until the timer, set
-  ``timeout`` after the newest sample, fires. State is bounded by the group size.
+* groups (ST4): the samples of a group until all are there, or until ``timeout`` after the
+  newest sample has passed.
 * first rows (S9): the first row of each key; the key is forgotten ``horizon`` after its
   last occurrence.
 
+Groups and prompts are many and small, so a call to the state for each of them would be
+the whole run time. They go to a fixed number of hash buckets: a bucket's open entries are
+one state value (a compressed Arrow table), read and written once a micro-batch, with one
+timer for the earliest of their deadlines.
+
 A row whose ``heartbeat`` column is true moves the watermark and nothing else: a source
 that falls silent sends one to close what is open."""
 
@@ -23,6 +28,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -32,6 +38,8 @@ from ..sources.readers import scratch_path
 EPS_STD = 1e-4
 #: Stands for a null number in a key: pandas would turn the numbers beside it into floats.
 NO_TIME = -(1 << 62)
+#: Hash buckets of groups or prompts; a task holds the open entries of one at a time. Fixed for a checkpoint's life.
+BUCKETS = 256
 
 
 def _with_time(stream: DataFrame, ts: str, watermark: str, heartbeat: str | None) -> DataFrame:
@@ -129,131 +137,160 @@ def late_rows(out: DataFrame) -> DataFrame:
     return out.where("kind = 'late'").select("window_start", "metric", "ts", "value")
 
 
+# ---------------------------------------------------------------- buckets of keys
+class _Bucket(StatefulProcessor):
+    """The open entries of a bucket's keys as one table; a key's rows share a ``due`` time, and
+    ``expire`` gets those whose time the watermark has reached."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "entries binary, due long")
+
+    def load(self) -> tuple[pd.DataFrame | None, int | None]:
+        """(open entries, time of the timer)"""
+        if not self.held.exists():
+            return None, None
+        entries, due = self.held.get()
+        return pa.ipc.open_stream(bytes(entries)).read_all().to_pandas(), due
+
+    def store(self, entries: pd.DataFrame, before: int | None) -> None:
+        due = int(entries["due"].min()) if len(entries) else None
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before - 1)
+            if due is not None:
+                # fires once the watermark has reached the time
+                self.handle.registerTimer(due - 1)
+        if due is None:
+            self.held.clear()
+            return
+        table, sink = pa.Table.from_pandas(entries, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        self.held.update((sink.getvalue().to_pybytes(), due))
+
+    def expire(self, entries: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        entries, before = self.load()
+        if entries is None:
+            return
+        due = entries["due"] <= timerValues.getCurrentWatermarkInMs()
+        if due.any():
+            self.store(entries[~due], before)
+            yield from self.expire(entries[due])
+
+    def close(self) -> None:
+        pass
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
+
+
 # ---------------------------------------------------------------- ST4
 GROUPS = "group_id long, sample_no long, reward double, advantage double, kind string"
 
 
-class _Groups(StatefulProcessor):
+class _Groups(_Bucket):
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.samples = handle.getListState("samples", "sample_no long, reward double")
-        self.open = handle.getValueState("open", "n long, need long, deadline long")
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        n, need, deadline = self.open.get() if self.open.exists() else (0, 0, None)
-        before, new = deadline, []
+        new = []
         for pdf in rows:
             pdf = pdf[~pdf["is_beat"].astype(bool)]
             late = pdf["event_ms"].isna() | (pdf["event_ms"] < now)
             if late.any():
-                yield self._rows(key, pdf["sample_no"][late], pdf["reward"][late], "late")
+                yield self._rows(pdf[late], "late")
             pdf = pdf[~late]
             if len(pdf):
-                new += list(zip(pdf["sample_no"].astype("int64").tolist(), pdf["reward"].astype("float64").tolist(), strict=True))
-                need = max(need, int(pdf["group_size"].max()))
-                deadline = max(deadline or 0, int(pdf["event_ms"].max()) + self.timeout_ms)
+                whole = {c: pdf[c].astype("int64") for c in ("group_id", "sample_no", "group_size")}
+                new.append(pd.DataFrame({**whole, "reward": pdf["reward"].astype("float64"), "due": pdf["event_ms"].astype("int64") + self.timeout_ms}))
         if not new:
             return
-        n += len(new)
-        if n >= need:
-            held = list(self.samples.get()) if before is not None else []
-            self._clear(before)
-            yield self._scored(key, held + new, "complete")
-            return
-        self.samples.appendList(new)
-        self.open.update((n, need, deadline))
-        if deadline != before:
-            if before is not None:
-                self.handle.deleteTimer(before - 1)
-            self.handle.registerTimer(deadline - 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.open.exists():
-            return
-        held = list(self.samples.get())
-        self._clear(None)
-        yield self._scored(key, held, "timed_out")
-
-    def _clear(self, deadline: int | None) -> None:
-        if deadline is not None:
-            self.handle.deleteTimer(deadline - 1)
-        self.samples.clear()
-        self.open.clear()
+        entries, before = self.load()
+        entries = pd.concat(([] if entries is None else [entries]) + new, ignore_index=True)
+        of = entries.groupby("group_id", sort=False)
+        entries["due"], entries["group_size"] = of["due"].transform("max"), of["group_size"].transform("max")
+        complete = of["group_id"].transform("size") >= entries["group_size"]
+        # rows come before time-outs: a group with a new sample is not due
+        due = ~complete & (entries["due"] <= now)
+        self.store(entries[~complete & ~due], before)
+        if complete.any():
+            yield self._scored(entries[complete], "complete")
+        if due.any():
+            yield self._scored(entries[due], "timed_out")
+
+    def expire(self, entries: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        yield self._scored(entries, "timed_out")
 
     @classmethod
-    def _scored(cls, key, samples, kind) -> pd.DataFrame:
-        numbers, rewards = [int(s[0]) for s in samples], np.array([float(s[1]) for s in samples])
-        std = rewards.std(ddof=1) if len(rewards) > 1 else np.nan
-        return cls._rows(key, pd.Series(numbers), pd.Series(rewards), kind, (rewards - rewards.mean()) / (std + EPS_STD))
+    def _scored(cls, entries: pd.DataFrame, kind: str) -> pd.DataFrame:
+        entries = entries.sort_values("group_id", kind="stable")
+        _, first, size = np.unique(entries["group_id"].to_numpy(), return_index=True, return_counts=True)
+        reward = entries["reward"].to_numpy()
+        gap = reward - np.repeat(np.add.reduceat(reward, first) / size, size)
+        with np.errstate(invalid="ignore", divide="ignore"):  # a group of one has no deviation
+            std = np.sqrt(np.add.reduceat(gap * gap, first) / (size - 1))
+        return cls._rows(entries, kind, gap / (np.repeat(std, size) + EPS_STD))
 
     @staticmethod
-    def _rows(key, numbers, rewards, kind, advantage=None) -> pd.DataFrame:
-        size = len(numbers)
-        return pd.DataFrame({
-            "group_id": pd.Series([int(key[0])] * size, dtype="int64"), "sample_no": pd.Series(list(numbers), dtype="int64"),
-            "reward": pd.Series(list(rewards), dtype="float64"), "advantage": pd.Series(np.full(size, np.nan) if advantage is None else advantage, dtype="float64"),
-            "kind": pd.Series([kind] * size, dtype="object")})
-
-    def close(self) -> None:
-        pass
+    def _rows(entries: pd.DataFrame, kind: str, advantage=None) -> pd.DataFrame:
+        out = pd.DataFrame({"group_id": entries["group_id"].astype("int64"), "sample_no": entries["sample_no"].astype("int64"), "reward": entries["reward"].astype("float64")})
+        out["advantage"] = np.nan if advantage is None else advantage
+        out["kind"] = kind
+        return out
 
 
-def group_advantages(stream: DataFrame, group_size: Column | str, ts: str, watermark: str, timeout_ms: int, *, heartbeat: str | None = None) -> DataFrame:
+def group_advantages(stream: DataFrame, group_size: Column | str, ts: str, watermark: str, timeout_ms: int, *,
+                     heartbeat: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """ST4: every sample once, with the advantage within its group: of kind ``complete``
     (all ``group_size`` samples arrived), ``timed_out`` (those there when ``timeout_ms``
     after the newest of them had passed) or ``late`` (behind the watermark, or without event
     time: no advantage). A group of one has no advantage."""
     size = F.col(group_size) if isinstance(group_size, str) else group_size
     s = _with_time(stream, ts, watermark, heartbeat)
-    s = s.select("group_id", F.col("sample_no").cast("long").alias("sample_no"), F.col("reward").cast("double").alias("reward"),
+    s = s.select(_bucket("group_id", buckets), F.col("group_id").cast("long").alias("group_id"), F.col("sample_no").cast("long").alias("sample_no"), F.col("reward").cast("double").alias("reward"),
                  size.cast("long").alias("group_size"), "event_ms", "is_beat").where("group_id IS NOT NULL")
-    out = s.groupBy("group_id").transformWithStateInPandas(_Groups(timeout_ms), GROUPS, "append", "eventTime")
+    out = s.groupBy("bucket").transformWithStateInPandas(_Groups(timeout_ms), GROUPS, "append", "eventTime")
     return out.withColumn("advantage", F.nanvl("advantage", F.lit(None).cast("double")))
 
 
 # ---------------------------------------------------------------- S9
-class _First(StatefulProcessor):
+class _First(_Bucket):
     def __init__(self, horizon_ms: int, columns: list[str], order: list[str]):
         self.horizon_ms, self.columns, self.order = horizon_ms, columns, order
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.until = handle.getValueState("until", "ms long")
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        before = self.until.get()[0] if self.until.exists() else None
-        first, until = None, before
+        entries, before = self.load()
+        known = pd.Index([] if entries is None else entries["prompt_key"], dtype="object")
+        first, seen = None, []
         for pdf in rows:
             pdf = pdf[~pdf["is_beat"].astype(bool) & (pdf["event_ms"].isna() | (pdf["event_ms"] >= now))]
             if not len(pdf):
                 continue
-            newest = pdf["event_ms"].max()
-            until = max(until or 0, int(newest if newest == newest else now) + self.horizon_ms)
-            if before is None:
-                best = pdf.sort_values(self.order, kind="stable").head(1)
-                first = best if first is None else pd.concat([first, best]).sort_values(self.order, kind="stable").head(1)
-        if until != before:
-            if before is not None:
-                self.handle.deleteTimer(before - 1)
-            self.until.update((until,))
-            self.handle.registerTimer(until - 1)
-        if first is not None:
+            pdf = pdf.assign(prompt_key=pdf["prompt_key"].fillna(""))  # of a null prompt
+            newest = pdf["event_ms"].astype("float64").fillna(now).groupby(pdf["prompt_key"]).max()
+            seen.append(pd.DataFrame({"prompt_key": newest.index, "due": newest.to_numpy().astype("int64") + self.horizon_ms}))
+            best = pdf[~pdf["prompt_key"].isin(known)]
+            first = self._best(best if first is None else pd.concat([first, best]))
+        if not seen:
+            return
+        entries = pd.concat(([] if entries is None else [entries]) + seen).groupby("prompt_key", as_index=False, sort=False)["due"].max()
+        self.store(entries[entries["due"] > now], before)
+        if len(first):
             yield first[self.columns]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.until.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    def _best(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(self.order, kind="stable").drop_duplicates("prompt_key")
 
 
-def unique_prompts(stream: DataFrame, prompt: str, order: Sequence[str], ts: str, watermark: str, horizon_ms: int, *, heartbeat: str | None = None) -> DataFrame:
+def unique_prompts(stream: DataFrame, prompt: str, order: Sequence[str], ts: str, watermark: str, horizon_ms: int, *,
+                   heartbeat: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """S9 on a stream: the first row of each prompt: of its first micro-batch the first in
     ``order``. Repetitions are dropped until ``horizon_ms`` after the prompt's last
     occurrence; rows behind the watermark are dropped (a forgotten prompt can't come back
@@ -261,7 +298,7 @@ def unique_prompts(stream: DataFrame, prompt: str, order: Sequence[str], ts: str
     columns = stream.columns
     s = _with_time(stream, ts, watermark, heartbeat).withColumn("prompt_key", F.sha2(F.col(prompt), 256))
     schema = stream.schema
-    return s.groupBy("prompt_key").transformWithStateInPandas(_First(horizon_ms, columns, list(order)), schema, "append", "eventTime")
+    return s.withColumn("bucket", _bucket("prompt_key", buckets)).groupBy("bucket").transformWithStateInPandas(_First(horizon_ms, columns, list(order)), schema, "append", "eventTime")
 
 
 # ---------------------------------------------------------------- ST1

@@ -129,6 +129,13 @@ _DAY = 86_400_000
 _ARRIVALS = 4
 
 
+def _staged(df, name):
+    """``df`` from a file: the arrivals are read from there, the joins and windows before them run once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _arrivals(df, at, delayed):
     """One frame for each quarter of the span of ``at`` (ms), with ``beat`` false; rows
     with ``delayed`` come one quarter later (those of the last one don't)."""
@@ -214,7 +221,7 @@ def stream_group_timeouts(spark, d):
     """ST4: an order's lines as a group, one line a day, with a watermark of 30 days and a
     time-out of 20. The first line of every 20th order comes one of the four arrivals late:
     its group times out without it, and the line is late."""
-    rows = _group_rows(spark, d).withColumn("_ms", F.unix_millis("ts"))
+    rows = _staged(_group_rows(spark, d).withColumn("_ms", F.unix_millis("ts")), "group-rows")
     frames, last = _arrivals(rows, "_ms", (F.col("group_id") % 20 == 0) & (F.col("sample_no") == 1))
     frames.append(_heartbeat(frames[0], "ts", last + _GROUP_WAIT + _GROUP_DELAY + _DAY).fillna({"group_id": -1}))
     out, ckpt = scratch_path(spark, "group-timeouts"), scratch_path(spark, "group-timeouts-ckpt")

@@ -238,7 +238,7 @@ def stream_unique_prompts(spark, d):
     over restarts, equal to the batch operator."""
     r = vw.rollouts(spark, d).select(F.col("l_partkey").cast("string").alias("prompt"), "example_id", "reward_a", F.col("step").cast("int").alias("step"))
     r = r.withColumn("ts", F.to_timestamp(F.format_string("%d-01-01", "step"))).withColumn("_ms", F.unix_millis("ts"))
-    frames, _ = _arrivals(r, "_ms", F.lit(False))
+    frames, _ = _arrivals(_staged(r, "prompt-rows"), "_ms", F.lit(False))
     out, ckpt = scratch_path(spark, "unique-prompts"), scratch_path(spark, "unique-prompts-ckpt")
     sf.replay([f.drop("beat") for f in frames], lambda s: st.advance(sf.unique_prompts(s, "prompt", ("step", "example_id"), "ts", "366 days", 20 * 366 * _DAY), out, ckpt), "prompts")
     return spark.read.parquet(out).drop("ts")

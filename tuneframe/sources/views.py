@@ -91,6 +91,18 @@ _LINE_ORDER = [
 ]
 
 
+#: Rows that one task puts in order, at most: a larger table is dealt to more tasks than the
+#: session's shuffle partitions, so that a task's memory doesn't grow with it.
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by hash of ``key``, in parts of some ``TASK_ROWS`` rows, if the session's
+    partitions would be larger."""
+    n = -(-df.count() // TASK_ROWS)
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored completions: one generation group per order, one sample per line.
 
@@ -101,7 +113,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     group's size. Group sizes are bounded by the number of generations per
     prompt, so the per-group ``row_number`` is a bounded window.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     w = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
     return li.select(
         F.col("l_orderkey").alias("group_id"),
@@ -169,12 +181,16 @@ def rtokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference (``ref_logps``) and current policy (``logps``) log-probs,
     entropies, value estimates and the completion mask (the last token of a
     truncated completion is masked). Lengths are ``sample_no + 3``."""
-    ro = rollouts(spark, sf_dir)
+    return token_lists(rollouts(spark, sf_dir))
+
+
+def token_lists(ro: DataFrame, *carry: str) -> DataFrame:
+    """``rtokens`` of given rollouts, with their columns ``carry``."""
     n = F.col("sample_no") + 3
     idx = F.sequence(F.lit(0), n - 1)
     tax, disc, qty = F.col("l_tax"), F.col("l_discount"), F.col("l_quantity")
     return ro.select(
-        "example_id", "group_id", "sample_no", "step", "reward_a", "reward_b", "truncated",
+        "example_id", "group_id", "sample_no", "step", "reward_a", "reward_b", "truncated", *carry,
         F.transform(idx, lambda i: -(tax + F.lit(0.01) * i)).alias("old_logps"),
         F.transform(idx, lambda i: -(disc + F.lit(0.015) * i)).alias("ref_logps"),
         F.transform(idx, lambda i: -(tax * F.lit(1.2) + F.lit(0.011) * i)).alias("logps"),

@@ -103,7 +103,8 @@ def leave_one_out_advantages(
     out = out.withColumn("advantage", F.col("_tf_r") - baseline).withColumn("shaped_reward", F.col("_tf_r"))
     if normalize:
         b = out.groupBy(step).agg(F.avg("advantage").alias("_tf_am"), F.stddev_samp("advantage").alias("_tf_as"))
-        out = out.join(b, step).withColumn(
+        # one row a step, broadcast: the rows stay spread over their groups' tasks
+        out = out.join(F.broadcast(b), step).withColumn(
             "advantage", (F.col("advantage") - F.col("_tf_am")) / (F.col("_tf_as") + F.lit(EPS_STD))
         ).drop("_tf_am", "_tf_as")
     return out.drop("_tf_r", "_tf_gsum", "_tf_gn")

@@ -34,8 +34,9 @@ def rotate_partners(df: DataFrame, batch: str, pos: str, cols: list[str], prefix
     Only the first row of each batch is joined, with the last row's values of its batch
     (a partial aggregate, one row a batch)."""
     back = [f"{prefix}{c}" for c in cols]
-    last = df.groupBy(F.col(batch).alias("_tf_b")).agg(F.max_by(F.struct(*cols), pos).alias("_tf_last"))
     tagged = _tag_positions(df, [batch, pos], num_partitions)
+    # of the layout, not of ``df``, whose plan would run again
+    last = tagged.groupBy(F.col(batch).alias("_tf_b")).agg(F.max_by(F.struct(*cols), pos).alias("_tf_last"))
     ends = tagged.groupBy("_tf_pid").agg(F.max_by(F.struct(F.col(batch).alias("_tf_b"), *cols), "_tf_local").alias("end")).collect()
     border, before = {}, None
     for r in sorted(ends, key=lambda r: r["_tf_pid"]):  # one row a partition

@@ -148,7 +148,8 @@ def aot_loss(spark, d):
 def _unpaired(spark, d):
     """Unpaired rows from logged pairs plus their KL partner (J2: the answer of
     the previous example in the same batch, batch = generation group)."""
-    lp = vw.logps(spark, d)
+    # what the rotation lays out is written: the lengths aren't needed after it
+    lp = vw.logps(spark, d).drop("completion_len", "rejected_len")
     rot = jn.rotate_partners(lp, "group_id", "sample_no", ["c", "c0"])
     side = lambda label, lp, lp0: F.struct(F.lit(label).alias("label"), F.col(lp).alias("lp"), F.col(lp0).alias("lp0"))
     both = F.inline(F.array(side(True, "c", "c0"), side(False, "r", "r0")))
@@ -193,7 +194,8 @@ def _kto_sql(loss_type: str) -> str:
 def _kto(spark, d, loss_type):
     up = _unpaired(spark, d)
     kl = pf.kl_from_mismatched(up)
-    return pf.unpaired_report(up.join(kl, "step"), BETA, F.col("kl"), undesirable_weight=1.33, loss_type=loss_type)
+    # one row a step, broadcast: else the rows would meet in a task a step
+    return pf.unpaired_report(up.join(F.broadcast(kl), "step"), BETA, F.col("kl"), undesirable_weight=1.33, loss_type=loss_type)
 
 
 @register("kto_report", _kto_sql("kto"))

@@ -167,8 +167,9 @@ def running(df: DataFrame, kind, by: Sequence[str], order: Sequence[Column | str
     ``order`` together must be unique for a defined result; a null element counts as 0."""
     names = [f"_tf_e{i}" for i in range(kind.size)]
     keep = df.columns
-    rows = df.withColumns({n: e.cast("double") for n, e in zip(names, elements, strict=True)})
-    tagged = _tag_positions(rows, [*by, *order], num_partitions).drop("_tf_mid", "_tf_local")
+    # the elements come from their row: they are made where it is read, not moved and written
+    tagged = _tag_positions(df, [*by, *order], num_partitions).drop("_tf_mid", "_tf_local")
+    tagged = tagged.withColumns({n: e.cast("double") for n, e in zip(names, elements, strict=True)})
     ends = tagged.mapInArrow(_summary(kind, by, names), "pid long, first binary, last binary, single boolean, state array<double>").collect()
     starts, state, last = {}, None, None
     for r in sorted(ends, key=lambda r: r.pid):  # one row a partition

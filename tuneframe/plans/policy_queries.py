@@ -98,9 +98,11 @@ def gae_long_tokens(spark, d):
     """A15 with a row for each token: the same advantages by a scan over range partitions."""
     t = vw.rtokens(spark, d).withColumn("score", F.col("reward_a") / 50.0)
     r = po.kl_token_rewards("logps", "ref_logps", "mask", "score", 0.05, "k3")
-    t = t.select("example_id", F.posexplode(F.arrays_zip(r.alias("r"), F.col("values").alias("v"))).alias("t", "z"))
-    g = po.gae_long(t.select("example_id", "t", "z.r", "z.v"), ["example_id"], "t", "r", "v", GAMMA, LAM)
-    return g.groupBy("example_id").agg(F.max(F.when(F.col("t") == 0, F.col("advantage"))).alias("adv_first"), F.sum("advantage").alias("adv_sum"), F.sum("ret").alias("return_sum"))
+    # a trajectory's key is two numbers, not the text they make: shorter rows to sort and write
+    t = t.select("group_id", F.col("sample_no").cast("int").alias("sample_no"), F.posexplode(F.arrays_zip(r.alias("r"), F.col("values").alias("v"))).alias("t", "z"))
+    g = po.gae_long(t.select("group_id", "sample_no", "t", "z.r", "z.v"), ["group_id", "sample_no"], "t", "r", "v", GAMMA, LAM)
+    g = g.groupBy("group_id", "sample_no").agg(F.max(F.when(F.col("t") == 0, F.col("advantage"))).alias("adv_first"), F.sum("advantage").alias("adv_sum"), F.sum("ret").alias("return_sum"))
+    return g.select(F.concat_ws("-", "group_id", "sample_no").alias("example_id"), "adv_first", "adv_sum", "return_sum")
 
 
 @register("gae_event_trajectories", build_sql([], [

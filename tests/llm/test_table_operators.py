@@ -1,9 +1,13 @@
 """Vectors, mixing, sharding, quality and the pipeline."""
 
+import contextlib
 import hashlib
+import threading
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +80,66 @@ def test_nearest_recall_where_not_all_lists_are_probed(spark):
     assert hits >= 0.95 * 20 * 125  # 65 % of the lists are probed
 
 
+def test_nearest_where_lists_are_cut(spark):
+    rng = np.random.default_rng(3)
+    vectors = {i: x.astype(np.float32).astype(np.float64) for i, x in enumerate(np.repeat(rng.standard_normal((3, 8)), 300, axis=0) + 0.1 * rng.standard_normal((900, 8)))}
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in vectors.items()], "vec_id long, embedding array<float>")
+    want = {q: [(i, -s) for s, i in x] for q, x in brute(vectors, 3).items()}
+    for lists in (0.001, 4.0):  # one list in 15 parts; small lists
+        got = defaultdict(list)
+        for r in ann.nearest(rows, F.col("vec_id") % 20 == 0, k=3, probe_share=1.0, epsilon=50.0, lists_per_root=lists, part_rows=64).collect():
+            got[r.query_id].append((r.rank, r.vec_id, r.score))
+        assert {q: [i for _, i, _ in sorted(x)] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+        assert all(np.allclose([s for *_, s in sorted(x)], [s for _, s in want[q]]) for q, x in got.items())
+
+
+def test_units_and_blocks():
+    first, blocks = ann.layout(np.array([10.0, 0.0, 250.0, 90.0]), 100, 120)
+    assert first.tolist() == [0, 1, 2, 5, 6] and blocks.tolist() == [0, 0, 0, 1, 1, 2]
+
+
+def test_queries_keep_their_best_rows():
+    rng = np.random.default_rng(4)
+    x, q = rng.integers(-1, 2, (500, 4)).astype(float), rng.integers(-1, 2, (7, 4)).astype(float)  # many ties
+    norm, uid, least = 2.0, rng.permutation(500), rng.integers(0, 50, 500)
+    asked = ann.Asked(np.arange(7), q, np.full(7, np.inf), 5, np.eye(5))
+    for a in range(0, 500, 50):
+        asked.look(np.arange(7), x[a : a + 50], ann._lift(x[a : a + 50], norm), uid[a : a + 50], least[a : a + 50], 2, 50.0)
+        if a % 100:
+            asked.keep()
+    got = sorted(zip(*(c.to_pylist() for c in asked.found()), strict=True))
+    assert got == sorted((i, f, n, s) for i in range(7) for s, n, f in sorted(zip((x @ q[i]).tolist(), least.tolist(), uid.tolist(), strict=True), key=lambda r: (-r[0], *r[1:]))[:5])
+
+
+def test_nearest_moves_no_query_to_every_list(spark):
+    dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    sizes, done = {}, threading.Event()
+
+    def watch(seen):  # files can be cleaned up meanwhile
+        for d in dirs:
+            for f in Path(d).rglob("shuffle_*.data"):
+                with contextlib.suppress(OSError):
+                    seen[f.name] = f.stat().st_size
+
+    def watching():
+        while not done.wait(0.1):
+            watch(sizes)
+
+    rng = np.random.default_rng(6)
+    table = pa.table({"vec_id": pa.array(range(12_000)), "embedding": pa.array(list(rng.standard_normal((12_000, 64)).astype(np.float32)), pa.list_(pa.float32()))})
+    rows, before, thread = spark.createDataFrame(table), {}, threading.Thread(target=watching)
+    watch(before)
+    thread.start()
+    try:
+        assert ann.nearest(rows, F.col("vec_id") % 20 == 0, k=20).count() == 20 * 600
+    finally:
+        done.set()
+        thread.join()
+    watch(sizes)
+    moved = sum(n for name, n in sizes.items() if name not in before)
+    assert 0 < moved < 8 * 12_000 * 64 * 4  # 600 queries go to 286 of 439 lists
+
+
 def capacity(rows, shards):
     sizes = Counter()
     for _, t in rows:

@@ -301,7 +301,13 @@ def nearest(vectors: DataFrame, is_query, *, id_column: str = "vec_id", vector_c
         pairs = sides[0].hint("shuffle_replicate_nl").crossJoin(sides[1])  # reads both, shuffles neither
         found = home.unionByName(pairs.mapInArrow(_search(rotation, centres, first, norm, code, k + 1, columns, epsilon), FOUND))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "least", "found")
-    top = scratch.save(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"))
+    at, batch = "spark.sql.execution.arrow.maxBytesPerBatch", 2**23  # a row holds a block
+    before = spark.conf.get(at)
+    spark.conf.set(at, batch)
+    try:
+        top = scratch.save(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"))
+    finally:
+        spark.conf.set(at, before)
     scratch.drop(packed)
 
     # each found vector's ids, then the queries that asked with that vector
